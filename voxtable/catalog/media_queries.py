@@ -359,15 +359,14 @@ query(
         F.count_if("is_downloaded").alias("downloaded"),
     )
 )
-_order = "action <> 'accepted', (CASE WHEN is_downloaded THEN verdict_score ELSE rank END) DESC, ordinal"
 query(
     "sort_candidates",
-    f"WITH {REVIEWED}, s AS (SELECT job_id, ordinal, action, row_number() OVER (PARTITION BY job_id ORDER BY {_order}) AS place FROM reviewed) SELECT * FROM s WHERE place <= 100",
-)(lambda spark, sf: M.top_per(
-    reviewed(spark, sf).select("job_id", "ordinal", "action", "is_downloaded", "verdict_score", "rank"),
-    ["job_id"], 100, F.col("action") != "accepted",
-    F.when(F.col("is_downloaded"), F.col("verdict_score")).otherwise(F.col("rank")).desc(), F.col("ordinal"), rank="place",
-).select("job_id", "ordinal", "action", "place"))
+    f"WITH {REVIEWED} SELECT job_id, ordinal, action, CASE WHEN is_downloaded THEN verdict_score ELSE rank END AS sort_score FROM reviewed ORDER BY job_id, action <> 'accepted', sort_score DESC, ordinal",
+)(
+    lambda spark, sf: reviewed(spark, sf)
+    .select("job_id", "ordinal", "action", F.when(F.col("is_downloaded"), F.col("verdict_score")).otherwise(F.col("rank")).alias("sort_score"))
+    .orderBy("job_id", F.col("action") != "accepted", F.col("sort_score").desc(), "ordinal")
+)
 
 # --- search results ----------------------------------------------------------------------------
 

@@ -199,26 +199,33 @@ def wanted_tokens(emphasis: Column) -> Column:
     return F.filter(norm_tokens(emphasis), lambda t: t != "")
 
 
-def emphasis_ok(text: Column, emphasis: Column) -> Column:
-    """One or two words, not all filler, found side by side in the text."""
+def _wanted_in(spaced_text: Column, emphasis: Column) -> Column:
     return let(
         wanted_tokens(emphasis),
         lambda w: F.size(w).between(1, 2)
         & ~F.forall(w, lambda t: one_of(t, rules.FILLER))
-        & _spaced(norm_tokens(text)).contains(_spaced(w)),
+        & spaced_text.contains(_spaced(w)),
     )
 
 
+def emphasis_ok(text: Column, emphasis: Column) -> Column:
+    """One or two words, not all filler, found side by side in the text."""
+    return let(_spaced(norm_tokens(text)), lambda t: _wanted_in(t, emphasis))
+
+
 def emphasis_flags(text: Column, emphasis: Column) -> Column:
     """Per token: is it part of the first place the emphasis appears?"""
     cores, wanted = norm_tokens(text), wanted_tokens(emphasis)
 
     def flags(s):
         at = F.instr(_spaced(s["cores"]), _spaced(s["wanted"]))
-        before = F.size(F.split(F.substr(_spaced(s["cores"]), F.lit(1), at), " ")) - 2
-        return F.transform(
-            s["cores"],
-            lambda t, i: (F.size(s["wanted"]) > 0) & (at > 0) & (i >= before) & (i < before + F.size(s["wanted"])),
+        # tokens in front of the match; past the end when there is no match
+        before = F.when((at == 0) | (F.size(s["wanted"]) == 0), F.size(s["cores"])).otherwise(
+            F.size(F.split(F.substr(_spaced(s["cores"]), F.lit(1), at), " ")) - 2
+        )
+        return let(
+            F.struct(before.alias("lo"), (before + F.size(s["wanted"])).alias("hi"), s["cores"].alias("cores")),
+            lambda b: F.transform(b["cores"], lambda t, i: (i >= b["lo"]) & (i < b["hi"])),
         )
 
     return let(F.struct(cores.alias("cores"), wanted.alias("wanted")), flags)
@@ -236,7 +243,10 @@ def key_for(text: Column, key: Column) -> Column:
         ).otherwise(F.array().cast("array<string>"))
         return F.concat(F.array(key), pairs, F.reverse(p))
 
-    found = F.filter(let(parts, candidates), lambda k: emphasis_ok(text, k))
+    found = let(
+        F.struct(_spaced(norm_tokens(text)).alias("t"), let(parts, candidates).alias("c")),
+        lambda s: F.filter(s["c"], lambda k: _wanted_in(s["t"], k)),
+    )
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 

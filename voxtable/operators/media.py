@@ -238,8 +238,12 @@ def fallback_queries(text: Column, year: int, max_queries: int) -> Column:
 
     def first_spelling(ws):
         # array_distinct keeps first occurrences; map each distinct key back to its first spelling
-        keys = F.transform(ws, lambda w: F.lower(w))
-        return F.transform(F.slice(F.array_distinct(keys), 1, 6), lambda k: F.get(ws, (F.array_position(keys, k) - 1).cast("int")))
+        return let(
+            F.transform(ws, lambda w: F.lower(w)),
+            lambda keys: F.transform(
+                F.slice(F.array_distinct(keys), 1, 6), lambda k: F.get(ws, (F.array_position(keys, k) - 1).cast("int"))
+            ),
+        )
 
     core = F.array_join(let(useful, first_spelling), " ")
     core = F.when(core == "", F.substring(F.trim(text), 1, 80)).otherwise(core)

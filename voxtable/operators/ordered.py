@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -162,15 +163,15 @@ def ordered_fold(
     out: str,
     *,
     finish: Callable[[State], Iterable[tuple]] | None = None,
-    hot: DataFrame | None = None,
+    hot: "HotKeys | None" = None,
     block_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stream the rows of each key in `order` through `step(state, row) -> (state, emitted rows)`.
 
     `out` is the DDL of the emitted columns; the keys are put in front. `finish`
     turns the last state of a key into rows. `order` must be total within a key.
-    `hot` may give the keys above `block_rows` (e.g. from the words table a caption
-    table was cut from); otherwise one counting job finds them.
+    `hot` may give the keys above `block_rows`, found once on the table everything was cut from
+    (captions are never more than words); otherwise one counting job finds them.
     """
     fields = _key_fields(df, keys)
     schema = T.StructType(fields + T._parse_datatype_string(out).fields)
@@ -179,14 +180,14 @@ def ordered_fold(
         {"_blk": F.lit(0), "_entry": F.lit(None).cast("string"), "_closes": F.lit(True)}
     )
     if hot is None:
-        hot = hot_keys(df, keys, block_rows)
-    n_hot = hot.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
-    if not n_hot["keys"]:
+        hot = find_hot(df, keys, block_rows)
+    if hot.keys is None:
         return _run(whole, keys, order, step, start, finish, schema)
 
+    n_rows, hot = hot.rows, hot.keys
     hot = hot.select(*keys)
     cold = _run(whole.join(hot, list(keys), "left_anti"), keys, order, step, start, finish, schema)
-    parts = max(2, -(-int(n_hot["rows"]) // block_rows))
+    parts = max(2, -(-n_rows // block_rows))
     blocks = cut_lineage(
         df.join(hot, list(keys), "left_semi")
         .repartitionByRange(parts, *keys, *order)
@@ -225,9 +226,18 @@ def ordered_fold(
     return cold.unionByName(_run(final, keys, order, step, start, finish, schema))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], block_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than `block_rows` rows; counted with map-side partial sums."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
+class HotKeys(NamedTuple):
+    """Keys too large for one task: their table (None when there are none) and their rows in all."""
+
+    keys: DataFrame | None
+    rows: int
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], block_rows: int = HOT_ROWS) -> HotKeys:
+    """One counting job with map-side partial sums; only its totals reach the driver."""
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
+    total = large.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    return HotKeys(large if total["keys"] else None, int(total["rows"] or 0))
 
 
 def dense_ids(df: DataFrame, keys: Sequence[str], ordinal: str, alias: str) -> DataFrame:

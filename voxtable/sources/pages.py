@@ -106,8 +106,10 @@ def page_media(pages: DataFrame) -> DataFrame:
     embeds = F.transform(tags(html, "iframe"), lambda t: _row(F.lit("embed"), clean(attr(t, "src")), "dom"))
 
     def distinct(rows):
-        names = F.transform(rows, lambda r: r["url"])
-        return F.filter(rows, lambda r, i: F.array_position(names, r["url"]) == i + 1)
+        return let(
+            F.transform(rows, lambda r: r["url"]),
+            lambda names: F.filter(rows, lambda r, i: F.array_position(names, r["url"]) == i + 1),
+        )
 
     found = F.filter(F.concat(videos, images, og, downloads, embeds), lambda r: r["url"] != "")
     return pages.select(
