@@ -72,10 +72,11 @@ def span_means(
     per_bucket = tr.groupBy("video_id", "_b").agg(F.max(before).alias("_hi"), F.min(after).alias("_lo"))
     empty = alone.select("video_id", "_b").distinct().join(per_bucket, ["video_id", "_b"], "left_anti")
     by_video = Window.partitionBy("video_id").orderBy("_b")
+    backwards = Window.partitionBy("video_id").orderBy(F.desc("_b"))
     carry = (
         per_bucket.unionByName(empty, allowMissingColumns=True)
         .withColumn("_prev", F.last("_hi", ignorenulls=True).over(by_video.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_next", F.lead("_lo", ignoreNulls=True).over(by_video))
+        .withColumn("_next", F.last("_lo", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
         .select("video_id", "_b", "_prev", "_next")
     )
     own = (

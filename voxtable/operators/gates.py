@@ -5,10 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtable.functions import text as X
-from voxtable.operators.ordered import HotKeys, first_per, ordered_fold, top_per
+from voxtable.operators.ordered import HotKeys, dense_ids, first_per, ordered_fold, top_per
 
 VIDEO = ["video_id"]
 
@@ -237,14 +237,12 @@ def weakest_mix(lines: DataFrame) -> DataFrame:
     """Mix lines beyond 45 % of a video's lines, weakest first, go back to plain.
 
     Ranks come from a running count over the few distinct (weight, key length) values;
-    only the tied value at the limit is ranked row by row, and top-k pruned per task.
+    only the tied value at the limit is numbered row by row, in blocks.
     """
     weight, size = F.col("weight"), F.length(X.norm(F.col("emphasis")))
     mixes = lines.filter("style = 'mix'").select("video_id", "line_id", F.struct(weight.alias("w"), size.alias("s")).alias("_v"))
     sizes = lines.groupBy("video_id").agg(F.count("*").alias("_n"), F.count_if(F.col("style") == "mix").alias("_m"))
     surplus = sizes.withColumn("_drop", F.col("_m") - F.floor(F.col("_n") * 45 / 100)).filter("_drop > 0")
-    from pyspark.sql import Window
-
     by_value = Window.partitionBy("video_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     below = (
         mixes.groupBy("video_id", "_v")
@@ -256,8 +254,7 @@ def weakest_mix(lines: DataFrame) -> DataFrame:
     ranked = mixes.join(below, ["video_id", "_v"])
     whole = ranked.filter(F.col("_below") + F.col("_c") <= F.col("_drop")).select("video_id", "line_id")
     edge = ranked.filter(F.col("_below") + F.col("_c") > F.col("_drop")).withColumn("_take", F.col("_drop") - F.col("_below"))
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("line_id"))
-    tied = edge.withColumn("_p", place).filter(F.col("_p") <= F.col("_take")).select("video_id", "line_id")
+    tied = dense_ids(edge, VIDEO, "line_id", "_p").filter(F.col("_p") < F.col("_take")).select("video_id", "line_id")
     flagged = mark(lines, whole.unionByName(tied), ["video_id", "line_id"], "_weak")
     return flagged.withColumns(
         {
