@@ -7,10 +7,12 @@ the work still grows with the tables, and every rule meets rows it fires on.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtable.functions.text import tokens
-from voxtable.operators.ordered import neighbours
+from voxtable.operators.ordered import HotKeys, find_hot, neighbours
 
 PHRASES = [
     "So what does that mean?",
@@ -97,10 +99,15 @@ SEGMENTS = f"""segments AS (
   FROM conversations)"""
 
 
+@lru_cache
+def hot_turns(spark: SparkSession, sf: str) -> HotKeys:
+    return find_hot(table(spark, sf, "conversations").select(F.col("conv_id").alias("video_id")), ["video_id"])
+
+
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Timed words: 350 ms apart, 600 ms more at each segment, a 500 ms pause after every 23rd word."""
     segs = segments(spark, sf).withColumn("toks", tokens(F.col("txt"))).drop("txt")
-    placed = neighbours(segs, ["video_id"], "segment_id", total_before={"base": F.size("toks").cast("bigint")})
+    placed = neighbours(segs, ["video_id"], "segment_id", total_before={"base": F.size("toks").cast("bigint")}, hot=hot_turns(spark, sf))
     return (
         placed.select("video_id", "segment_id", "speaker", "base", F.posexplode("toks").alias("pos", "word"))
         .withColumn("word_id", F.col("base") + F.col("pos"))

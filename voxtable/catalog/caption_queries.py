@@ -217,8 +217,8 @@ query("lab_palette")(lambda spark, sf: palette(spark, sf))
 
 def palette(spark, sf):
     c = A.color_track(pixels(spark, sf))
-    tints = A.halo_palette(A.is_bright(F.col("luma")), *[F.floor(F.col(x) / 100) for x in ("r", "g", "b")])
-    return c.select("video_id", "frame", *[v.alias(n) for n, v in tints.items()])
+    rgb = c.withColumns({x: F.floor(F.col(x) / 100) for x in ("r", "g", "b")})
+    return A.with_palette(rgb, A.is_bright(F.col("luma"))).select("video_id", "frame", "outline", "shade", "glow")
 
 
 query(
@@ -320,7 +320,8 @@ SELECT r.video_id, r.line_id FROM r JOIN c USING (video_id) WHERE p <= k - (n *
                 "style": F.when(F.col("line_id") % 2 == 0, F.lit("mix")).otherwise(F.col("style")),
                 "emphasis": F.get(X.tokens(F.col("text")), F.lit(0)),
             }
-        ).withColumn("_was", F.col("style"))
+        ).withColumn("_was", F.col("style")),
+        hot_videos(spark, sf),
     )
     .filter((F.col("style") == "plain") & (F.col("_was") == "mix"))
     .select("video_id", "line_id")
@@ -428,7 +429,7 @@ query(
  UNION ALL SELECT s.video_id, s.caption_id, greatest(s.start_ms, w.end_ms + 40), greatest(s.end_ms, greatest(s.start_ms, w.end_ms + 40) + 220) FROM w JOIN sq s ON s.video_id = w.video_id AND s.caption_id = w.caption_id + 1),
 x AS (SELECT w.*, unnest(range(len(ws))) AS i, unnest(ws) AS u FROM w JOIN sq USING (video_id, caption_id))
 SELECT video_id, caption_id, start_ms, end_ms, i, u.text AS word, greatest(u.s, start_ms) AS word_start, least(greatest(u.e, greatest(u.s, start_ms) + 50), end_ms) AS word_end FROM x""",
-)(lambda spark, sf: flat_words(I.dedupe_overlaps(squeezed(spark, sf))))
+)(lambda spark, sf: flat_words(I.dedupe_overlaps(squeezed(spark, sf), hot=hot_videos(spark, sf))))
 query(
     "ivl_clamp_holds",
     f"""WITH {SQUEEZED}, n AS (SELECT s.*, lead(start_ms) OVER (PARTITION BY video_id ORDER BY caption_id) AS nx, list_max(list_transform(ws, lambda w: w.e)) AS spoken, duration_ms // 2 AS dur FROM sq s JOIN durations USING (video_id)),
@@ -438,7 +439,7 @@ x AS (SELECT video_id, caption_id, start_ms, e2, unnest(range(len(ws))) AS i, un
 SELECT video_id, caption_id, start_ms, e2 AS end_ms, i, u.text AS word, least(greatest(u.s, start_ms), least(u.e, e2) - 50) AS word_start, least(u.e, e2) AS word_end FROM x""",
 )(
     lambda spark, sf: flat_words(
-        I.clamp_holds(squeezed(spark, sf).join(durations(spark, sf).withColumn("duration_ms", F.floor(F.col("duration_ms") / 2)), "video_id"))
+        I.clamp_holds(squeezed(spark, sf).join(durations(spark, sf).withColumn("duration_ms", F.floor(F.col("duration_ms") / 2)), "video_id"), hot=hot_videos(spark, sf))
     )
 )
 
@@ -479,7 +480,7 @@ query(
     "ivl_cover_duration",
     f"""WITH {BEATS}, n AS (SELECT *, lag(start_ms) OVER v AS p, lead(start_ms) OVER v AS nx FROM beats WINDOW v AS (PARTITION BY video_id ORDER BY beat_id)),
 t AS (SELECT video_id, beat_id, CASE WHEN p IS NULL THEN 0 ELSE start_ms END AS start_ms, COALESCE(nx, duration_ms) AS end_ms FROM n) SELECT * FROM t WHERE end_ms - start_ms >= 500""",
-)(lambda spark, sf: I.cover_duration(raw_beats(spark, sf), "beat_id").select("video_id", "beat_id", "start_ms", "end_ms"))
+)(lambda spark, sf: I.cover_duration(raw_beats(spark, sf), "beat_id", hot=hot_videos(spark, sf)).select("video_id", "beat_id", "start_ms", "end_ms"))
 query(
     "ivl_clamp_duration",
     f"WITH {BEATS} SELECT video_id, beat_id, start_ms, least(end_ms, duration_ms) AS end_ms FROM beats WHERE least(end_ms, duration_ms) - start_ms >= 900",
@@ -554,7 +555,7 @@ def keyframes(spark, sf):
         "video_id", F.col("sentence_id").alias("zoom_no"), "start_ms", "ease_in_ms", "hold_ms", "ease_out_ms", "target_scale",
         F.lit(0.5).alias("anchor_x"), F.lit(0.41).alias("anchor_y"),
     )
-    return I.zoom_keyframes(p)
+    return I.zoom_keyframes(p, hot_videos(spark, sf))
 
 
 def _s_ramp(slot0, n, s0, s1):
@@ -593,9 +594,9 @@ _fig = "nullif(trim(regexp_extract(t, '(?i)(?:^|[^\\p{L}\\p{N}_])([0-9]+(?:\\.[0
 CARDS = f"""{LABELS}, {DUR}, k0 AS (SELECT *, {sql_fix_asr('text')} AS t FROM labelled),
 k1 AS (SELECT *, list_transform({sql_terms('t')}, lambda x: string_split(x, '=')[1]) AS names, {_fig} IS NOT NULL AS fig, {sql_matches('t', rules.PROCESS)} AS steps, contains(lower(t), 'cost') AS cost,
   role IN ('contrast', 'contradiction') OR {sql_matches('t', rules.COMPARISON)} AS vs FROM k0),
-k2 AS (SELECT *, list_contains(names, 'RAG') AS rag, list_contains(names, 'Fine-tuning') AS ft, len(names) > 0 AS some FROM k1),
-k3 AS (SELECT *, CASE WHEN role IN ('cta', 'generic') AND NOT some THEN NULL WHEN vs OR (rag AND ft) THEN 'compare' WHEN role = 'important_number' AND fig THEN 'figure' WHEN list_contains(names, 'LoRA') OR list_contains(names, 'PEFT') THEN 'adapters'
-  WHEN rag AND steps THEN 'retrieval_steps' WHEN ft AND steps THEN 'tuning_steps' WHEN rag AND cost THEN 'retrieval_cost' WHEN ft AND cost THEN 'tuning_cost' WHEN some THEN 'concept' WHEN role IN ('hook', 'key_insight', 'reveal', 'strong_opinion') THEN 'take' END AS rule FROM k2),
+k2 AS (SELECT *, list_contains(names, 'RAG') AS rag, list_contains(names, 'Fine-tuning') AS ft, len(names) > 0 AS told FROM k1),
+k3 AS (SELECT *, CASE WHEN role IN ('cta', 'generic') AND NOT told THEN NULL WHEN vs OR (rag AND ft) THEN 'compare' WHEN role = 'important_number' AND fig THEN 'figure' WHEN list_contains(names, 'LoRA') OR list_contains(names, 'PEFT') THEN 'adapters'
+  WHEN rag AND steps THEN 'retrieval_steps' WHEN ft AND steps THEN 'tuning_steps' WHEN rag AND cost THEN 'retrieval_cost' WHEN ft AND cost THEN 'tuning_cost' WHEN told THEN 'concept' WHEN role IN ('hook', 'key_insight', 'reveal', 'strong_opinion') THEN 'take' END AS rule FROM k2),
 cards0 AS (SELECT video_id, sentence_id AS beat_id, start_ms, least(greatest(end_ms, start_ms + 4200), start_ms + 7400) AS end_ms, rule,
   CASE rule WHEN 'compare' THEN 'vs_split' WHEN 'figure' THEN 'stat' WHEN 'retrieval_steps' THEN 'process' WHEN 'tuning_steps' THEN 'process' ELSE 'bullets' END AS kind, CASE rule WHEN 'figure' THEN 'scale_in' ELSE 'slide_up' END AS motion,
   CASE rule WHEN 'compare' THEN 0.86 WHEN 'retrieval_steps' THEN 0.82 WHEN 'concept' THEN 0.74 WHEN 'take' THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence,
@@ -658,6 +659,6 @@ def flat_scene(df):
 
 
 query("lab_scene_rules")(
-    lambda spark, sf: flat_scene(K.scene_rows(labelled(spark, sf).withColumn("is_first", F.col("sentence_id") == 0)))
+    lambda spark, sf: flat_scene(K.scene_rows(labelled(spark, sf).withColumn("is_first", F.col("sentence_id") == 0))).drop("is_first")
 )
 query("plan_scenes")(lambda spark, sf: flat_scene(K.plan_scenes(labelled(spark, sf), durations(spark, sf), hot_videos(spark, sf))))

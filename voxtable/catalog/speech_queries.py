@@ -52,7 +52,7 @@ def in_sentences(spark, sf):
 
 
 def sentences(spark, sf):
-    return S.sentence_table(in_sentences(spark, sf))
+    return S.sentence_table(in_sentences(spark, sf), hot_videos(spark, sf))
 
 
 query("seg_sentences", f"WITH RECURSIVE {SENTENCES} SELECT video_id, word_id, sentence_id FROM inw")(
@@ -98,13 +98,13 @@ FLAT = f"""{WORDS}, raw AS (SELECT video_id, segment_id, word_id AS position, CA
   start_ms, CASE WHEN word_id % 11 = 3 THEN start_ms ELSE end_ms END AS end_ms FROM words),
 flat AS (SELECT video_id, segment_id, position, trim(word) AS word, start_ms, CASE WHEN end_ms > start_ms THEN end_ms ELSE start_ms + 80 END AS end_ms,
   row_number() OVER (PARTITION BY video_id ORDER BY position) - 1 AS word_id FROM raw WHERE trim(word) <> '')"""
-query("seg_flatten_words", f"WITH {FLAT} SELECT * FROM flat")(lambda spark, sf: S.flatten_words(raw_words(spark, sf)))
+query("seg_flatten_words", f"WITH {FLAT} SELECT * FROM flat")(lambda spark, sf: S.flatten_words(raw_words(spark, sf), hot_videos(spark, sf)))
 query(
     "seg_word_ranges",
     f"WITH {FLAT}, r AS (SELECT video_id, segment_id, min(word_id) AS lo, max(word_id) + 1 AS hi FROM flat GROUP BY ALL) SELECT video_id, segment_id, lo, hi FROM segments LEFT JOIN r USING (video_id, segment_id)",
 )(
     lambda spark, sf: S.segment_ranges(
-        segments(spark, sf).select("video_id", "segment_id"), S.flatten_words(raw_words(spark, sf))
+        segments(spark, sf).select("video_id", "segment_id"), S.flatten_words(raw_words(spark, sf), hot_videos(spark, sf))
     )
 )
 
@@ -244,7 +244,7 @@ t AS (SELECT video_id, sentence_id, 3 AS span, 'setup → reversal → reveal' A
 a AS (SELECT video_id, sentence_id, 2 AS span, 'question → answer' AS pattern, 0.8::DOUBLE AS confidence FROM n WHERE role = 'question' AND r2 IS NOT NULL AND r1 IN ('answer', 'reveal', 'key_insight')),
 b AS (SELECT video_id, sentence_id, 2 AS span, 'question → answer' AS pattern, 0.78::DOUBLE AS confidence FROM n WHERE role = 'question' AND r1 IN ('answer', 'reveal', 'key_insight', 'important_number'))
 SELECT * FROM t UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN a USING (video_id, sentence_id)""",
-)(lambda spark, sf: L.story_patterns(labelled(spark, sf)))
+)(lambda spark, sf: L.story_patterns(labelled(spark, sf), hot_videos(spark, sf)))
 
 _roles = ["reveal", "generic", "question", "warning", "story_climax"]
 

@@ -314,21 +314,26 @@ def names_figure(c: Column) -> Column:
     return matches(c, rules.MONEY)
 
 
-def clip_words(c: Column, limit: int, edge: str = " ,.;:") -> Column:
-    """Cut at a word boundary to at most `limit` characters."""
+def tidy(c: Column) -> Column:
+    """stabilize() for one line whose words were corrected before: the correction is idempotent."""
+    return strip(squish(c), " ,.;:")
+
+
+def clip_words(c: Column, limit: int, edge: str = " ,.;:", fixed: bool = False) -> Column:
+    """Cut at a word boundary to at most `limit` characters. `fixed` marks text that is corrected already."""
 
     def clipped(t):
         head = F.substring(t, 1, limit + 1)
         cut = strip(F.regexp_replace(head, r" [^ ]*\z", ""), edge)
         return F.when(F.length(t) <= limit, t).when(cut != "", cut).otherwise(F.substring(t, 1, limit))
 
-    return let(stabilize(c), clipped)
+    return let(tidy(c) if fixed else stabilize(c), clipped)
 
 
 HEADLINE_OPENERS = ["so", "and", "but", "well", "okay", "um", "uh"]
 
 
-def headline(c: Column, max_words: int = 7, default: str = "Listen to this") -> Column:
+def headline(c: Column, max_words: int = 7, default: str = "Listen to this", fixed: bool = False) -> Column:
     """Scene title: leading connective dropped, first words, clipped to 44 characters."""
 
     def built(ts):
@@ -336,12 +341,12 @@ def headline(c: Column, max_words: int = 7, default: str = "Listen to this") ->
             one_of(F.lower(F.get(ts, F.lit(0))), HEADLINE_OPENERS) & (F.size(ts) > 1), F.slice(ts, 2, 1 << 20)
         ).otherwise(ts)
         title = strip(F.array_join(F.slice(rest, 1, max_words), " "), " ,.;:")
-        return F.when(F.size(ts) == 0, F.lit(default)).otherwise(clip_words(title, 44, " ,.;:?"))
+        return F.when(F.size(ts) == 0, F.lit(default)).otherwise(clip_words(title, 44, " ,.;:?", fixed=True))
 
-    return let(tokens(strip(stabilize(c), " \"'")), built)
+    return let(tokens(strip(c if fixed else stabilize(c), " \"'")), built)
 
 
-def even_chunks(c: Column, n: int, width: int) -> Column:
+def even_chunks(c: Column, n: int, width: int, fixed: bool = False) -> Column:
     """At most `n` even word chunks, each clipped to `width`; short texts stay whole."""
 
     def built(ts):
@@ -349,10 +354,10 @@ def even_chunks(c: Column, n: int, width: int) -> Column:
         starts = F.when(F.size(ts) > 0, F.sequence(F.lit(1), F.size(ts), size.cast("int"))).otherwise(
             F.array().cast("array<int>")
         )
-        pieces = F.transform(starts, lambda i: clip_words(F.array_join(F.slice(ts, i, size.cast("int")), " "), width, " ,.;:?"))
+        pieces = F.transform(starts, lambda i: clip_words(F.array_join(F.slice(ts, i, size.cast("int")), " "), width, " ,.;:?", fixed=True))
         return F.slice(F.filter(pieces, lambda p: p != ""), 1, n)
 
-    return let(tokens(stabilize(c)), built)
+    return let(tokens(c if fixed else stabilize(c)), built)
 
 
 def treatment_name(c: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxtable.functions.text import let
 from voxtable.operators.ordered import HotKeys
 from voxtable.operators.gates import select_with_gap
 
@@ -138,32 +139,42 @@ def is_bright(luma: Column, default: bool = False) -> Column:
     return F.coalesce(luma > 15_000, F.lit(default))
 
 
-def halo_palette(bright: Column, r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """Outline, shade and glow tints of the background hue (null where a tint is not used)."""
-    hi, lo = F.greatest(r, g, b) / 255, F.least(r, g, b) / 255
-    span = hi - lo
+def with_palette(colors: DataFrame, bright: Column) -> DataFrame:
+    """Add outline, shade and glow tints ("r,g,b") of the background hue; null where a tint is not used."""
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    df = colors.withColumns({"_bright": bright, "_hi": F.greatest(r, g, b) / 255, "_lo": F.least(r, g, b) / 255})
+    span, hi = F.col("_hi") - F.col("_lo"), F.col("_hi")
     hue = (
         F.when(span == 0, F.lit(0.0))
         .when(r / 255 == hi, F.pmod((g - b) / 255 / span, F.lit(6.0)))
         .when(g / 255 == hi, (b - r) / 255 / span + 2)
         .otherwise((r - g) / 255 / span + 4)
     ) / 6
-    sat = F.when(hi > 0, span / hi).otherwise(0.0)
-    neutral = r.isNull() | (sat < 0.08)
-    hue, sat = F.when(neutral, 0.60).otherwise(hue), F.when(neutral, 0.0).otherwise(sat)
-
-    def tint(s, v):
-        s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))
-        sector = F.floor(hue * 6)
-        f = hue * 6 - sector
-        p, q, t = v * (1 - s), v * (1 - s * f), v * (1 - s * (1 - f))
-        v = F.lit(v)
-        table = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
-        rgb = [F.element_at(F.array(*[row[i] for row in table]), (sector % 6 + 1).cast("int")) for i in range(3)]
-        return F.concat_ws(",", *[F.floor(c * 255).cast("string") for c in rgb])
-
-    return {
-        "outline": F.when(bright, tint(0.55 + 0.35 * sat, 0.34)),
-        "shade": F.when(bright, tint(0.6 + 0.3 * sat, 0.20)).otherwise(tint(F.lit(0.55), 0.10)),
-        "glow": F.when(~bright & r.isNotNull(), tint(0.38 + 0.25 * sat, 1.0)),
-    }
+    df = df.withColumns({"_hue": hue, "_sat": F.when(hi > 0, span / hi).otherwise(0.0)})
+    neutral = r.isNull() | (F.col("_sat") < 0.08)
+    df = df.withColumns({"_hue": F.when(neutral, 0.60).otherwise(F.col("_hue")), "_sat": F.when(neutral, 0.0).otherwise(F.col("_sat"))})
+
+    def tint(sat, value):
+        facts = F.struct(
+            F.least(F.lit(1.0), F.greatest(F.lit(0.0), sat)).alias("s"),
+            (F.col("_hue") * 6 - F.floor(F.col("_hue") * 6)).alias("f"),
+            (F.floor(F.col("_hue") * 6) % 6).alias("sector"),
+        )
+
+        def mixed(x):
+            p, q, t = value * (1 - x["s"]), value * (1 - x["s"] * x["f"]), value * (1 - x["s"] * (1 - x["f"]))
+            v = F.lit(value)
+            rows = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
+            text = [F.concat_ws(",", *[F.floor(c * 255).cast("string") for c in row]) for row in rows]
+            return F.element_at(F.array(*text), (x["sector"] + 1).cast("int"))
+
+        return let(facts, mixed)
+
+    sat = F.col("_sat")
+    return df.withColumns(
+        {
+            "outline": F.when(F.col("_bright"), tint(0.55 + 0.35 * sat, 0.34)),
+            "shade": F.when(F.col("_bright"), tint(0.6 + 0.3 * sat, 0.20)).otherwise(tint(F.lit(0.55), 0.10)),
+            "glow": F.when(~F.col("_bright") & r.isNotNull(), tint(0.38 + 0.25 * sat, 1.0)),
+        }
+    ).drop("_bright", "_hi", "_lo", "_hue", "_sat")

@@ -233,7 +233,7 @@ def lift_plain_runs(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     ).drop("_lift", "_best")
 
 
-def weakest_mix(lines: DataFrame) -> DataFrame:
+def weakest_mix(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Mix lines beyond 45 % of a video's lines, weakest first, go back to plain.
 
     Ranks come from a running count over the few distinct (weight, key length) values;
@@ -254,7 +254,7 @@ def weakest_mix(lines: DataFrame) -> DataFrame:
     ranked = mixes.join(below, ["video_id", "_v"])
     whole = ranked.filter(F.col("_below") + F.col("_c") <= F.col("_drop")).select("video_id", "line_id")
     edge = ranked.filter(F.col("_below") + F.col("_c") > F.col("_drop")).withColumn("_take", F.col("_drop") - F.col("_below"))
-    tied = dense_ids(edge, VIDEO, "line_id", "_p").filter(F.col("_p") < F.col("_take")).select("video_id", "line_id")
+    tied = dense_ids(edge, VIDEO, "line_id", "_p", hot).filter(F.col("_p") < F.col("_take")).select("video_id", "line_id")
     flagged = mark(lines, whole.unionByName(tied), ["video_id", "line_id"], "_weak")
     return flagged.withColumns(
         {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.text import let, matches, one_of
-from voxtable.operators.ordered import first_per, neighbours
+from voxtable.operators.ordered import HotKeys, first_per, neighbours
 
 # Role patterns.
 GENERIC = r"\b(today (we are|we're) going to|welcome back|in this video|let's get started|hey guys)\b"
@@ -165,10 +165,10 @@ def analyze(sentences: DataFrame) -> DataFrame:
     )
 
 
-def story_patterns(labelled: DataFrame) -> DataFrame:
+def story_patterns(labelled: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """(video_id, sentence_id, span, pattern, confidence) for runs of two or three roles."""
-    near = neighbours(labelled.select("video_id", "sentence_id", "role"), ["video_id"], "sentence_id", lead={"r1": "role"})
-    near = neighbours(near, ["video_id"], "sentence_id", lead={"r2": "r1"})
+    near = neighbours(labelled.select("video_id", "sentence_id", "role"), ["video_id"], "sentence_id", lead={"r1": "role"}, hot=hot)
+    near = neighbours(near, ["video_id"], "sentence_id", lead={"r2": "r1"}, hot=hot)
     third = F.col("r2").isNotNull()
     turn = (
         third

@@ -1,8 +1,8 @@
 """Order-sensitive building blocks that hold when one key owns much of the table.
 
-`neighbours` gives lag, lead and running totals without putting a whole key in
-one task: rows are keyed by (key, block of the ordinal), the edge rows of every
-block are aggregated map-side, and only one row per block is windowed per key.
+`neighbours` gives lag, lead and running totals. Keys above a million rows never
+go to one task whole: their rows are keyed by (key, block of the ordinal), the edge
+rows of every block are aggregated map-side, and one row per block is windowed.
 
 `ordered_fold` runs a small state machine over the rows of each key in order.
 Rows stream through sorted partitions, so no group is ever held in memory. Keys
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,16 +36,42 @@ def neighbours(
     lead: dict[str, str] | None = None,
     total_before: dict[str, Column | str] | None = None,
     max_before: dict[str, Column | str] | None = None,
+    hot: "HotKeys | None" = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add columns taken from the previous/next row, and running totals/maxima of all earlier rows.
 
-    `ordinal` is an integer unique within the key, so a block holds at most `block_rows` rows.
-    `total_before` and `max_before` exclude the current row (null when there is none before for maxima).
+    `ordinal` is an integer unique within the key. Totals and maxima exclude the
+    current row (0 and null when there is none before). Keys of ordinary size use one
+    window each; the rows of hot keys are windowed per block of the ordinal, so a
+    block holds at most `block_rows` rows, and one carried row per block links them.
     """
-    lag, lead = lag or {}, lead or {}
     totals = {n: F.expr(c) if isinstance(c, str) else c for n, c in (total_before or {}).items()}
     maxima = {n: F.expr(c) if isinstance(c, str) else c for n, c in (max_before or {}).items()}
+    spec = (list(keys), ordinal, lag or {}, lead or {}, totals, maxima)
+    if hot is None:
+        hot = find_hot(df, keys)
+    if hot.keys is None:
+        return _key_windows(df, *spec)
+    large = hot.keys.select(*keys)
+    cold = _key_windows(df.join(large, list(keys), "left_anti"), *spec)
+    rows = cut_lineage(df.join(large, list(keys), "left_semi"))
+    return cold.unionByName(_block_windows(rows, *spec, block_rows))
+
+
+def _key_windows(df, keys, ordinal, lag, lead, totals, maxima) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(ordinal)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(
+        "*",
+        *[F.lag(c).over(w).alias(n) for n, c in lag.items()],
+        *[F.lead(c).over(w).alias(n) for n, c in lead.items()],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in totals.items()],
+        *[F.max(c).over(before).alias(n) for n, c in maxima.items()],
+    )
+
+
+def _block_windows(df, keys, ordinal, lag, lead, totals, maxima, block_rows) -> DataFrame:
     names = list(df.columns)
     for n, c in totals.items():
         df = df.withColumn(f"_t_{n}", c)
@@ -98,7 +123,7 @@ State = list
 Step = Callable[[State, dict], tuple[State, Iterable[tuple]]]
 
 
-def _fold_batches(keys, step, init, finish, schema, ends_only):
+def _fold_batches(keys, carry, step, init, finish, schema, ends_only):
     """Build the mapInArrow function: one pass over sorted rows, state reset at each (key, block)."""
     arrow = to_arrow_schema(schema)
 
@@ -135,7 +160,8 @@ def _fold_batches(keys, step, init, finish, schema, ends_only):
                     closes = row["_closes"]
                 state, emitted = step(state, row)
                 if not ends_only:
-                    out.extend((*group[: len(keys)], *r) for r in emitted)
+                    along = [row[c] for c in carry]
+                    out.extend((*group[: len(keys)], *along, *r) for r in emitted)
             if len(out) >= 10_000:
                 yield flush()
         close()
@@ -149,9 +175,9 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, df.schema[k].dataType) for k in keys]
 
 
-def _run(df, keys, order, step, init, finish, schema, ends_only=False) -> DataFrame:
+def _run(df, keys, order, carry, step, init, finish, schema, ends_only=False) -> DataFrame:
     ordered = df.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", *order)
-    return ordered.mapInArrow(_fold_batches(list(keys), step, init, finish, schema, ends_only), schema)
+    return ordered.mapInArrow(_fold_batches(list(keys), list(carry), step, init, finish, schema, ends_only), schema)
 
 
 def ordered_fold(
@@ -163,18 +189,21 @@ def ordered_fold(
     out: str,
     *,
     finish: Callable[[State], Iterable[tuple]] | None = None,
+    carry: Sequence[str] = (),
     hot: "HotKeys | None" = None,
     block_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stream the rows of each key in `order` through `step(state, row) -> (state, emitted rows)`.
 
     `out` is the DDL of the emitted columns; the keys are put in front. `finish`
-    turns the last state of a key into rows. `order` must be total within a key.
+    turns the last state of a key into rows. `carry` names columns of the current row
+    that go out in front of what `step` emits for it. `order` must be total within a key.
     `hot` may give the keys above `block_rows`, found once on the table everything was cut from
     (captions are never more than words); otherwise one counting job finds them.
     """
     fields = _key_fields(df, keys)
-    schema = T.StructType(fields + T._parse_datatype_string(out).fields)
+    along = [df.schema[c] for c in carry]
+    schema = T.StructType(fields + along + (T._parse_datatype_string(out).fields if out else []))
     start = json.dumps(init)
     whole = df.withColumns(
         {"_blk": F.lit(0), "_entry": F.lit(None).cast("string"), "_closes": F.lit(True)}
@@ -182,11 +211,11 @@ def ordered_fold(
     if hot is None:
         hot = find_hot(df, keys, block_rows)
     if hot.keys is None:
-        return _run(whole, keys, order, step, start, finish, schema)
+        return _run(whole, keys, order, carry, step, start, finish, schema)
 
     n_rows, hot = hot.rows, hot.keys
     hot = hot.select(*keys)
-    cold = _run(whole.join(hot, list(keys), "left_anti"), keys, order, step, start, finish, schema)
+    cold = _run(whole.join(hot, list(keys), "left_anti"), keys, order, carry, step, start, finish, schema)
     parts = max(2, -(-n_rows // block_rows))
     blocks = cut_lineage(
         df.join(hot, list(keys), "left_semi")
@@ -206,7 +235,7 @@ def ordered_fold(
     ends = T.StructType(fields + T._parse_datatype_string("_blk int, _new string").fields)
     while True:
         dirty = entries.filter("_dirty").drop("_dirty", "_exit")
-        exits = _run(blocks.join(dirty, [*keys, "_blk"]), keys, order, step, start, None, ends, ends_only=True)
+        exits = _run(blocks.join(dirty, [*keys, "_blk"]), keys, order, (), step, start, None, ends, ends_only=True)
         merged = entries.drop("_dirty").join(exits, [*keys, "_blk"], "left").withColumn(
             "_exit", F.coalesce("_new", "_exit")
         )
@@ -223,7 +252,7 @@ def ordered_fold(
         if entries.filter("_dirty").isEmpty():
             break
     final = blocks.join(entries.drop("_dirty", "_exit"), [*keys, "_blk"])
-    return cold.unionByName(_run(final, keys, order, step, start, finish, schema))
+    return cold.unionByName(_run(final, keys, order, carry, step, start, finish, schema))
 
 
 class HotKeys(NamedTuple):
@@ -240,13 +269,9 @@ def find_hot(df: DataFrame, keys: Sequence[str], block_rows: int = HOT_ROWS) ->
     return HotKeys(large if total["keys"] else None, int(total["rows"] or 0))
 
 
-def dense_ids(df: DataFrame, keys: Sequence[str], ordinal: str, alias: str) -> DataFrame:
-    """0-based position of every row within its key by `ordinal`, without one task per key."""
-    return neighbours(df, keys, ordinal, total_before={alias: F.lit(1).cast("bigint")})
-
-
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def dense_ids(df: DataFrame, keys: Sequence[str], ordinal: str, alias: str, hot: HotKeys | None = None) -> DataFrame:
+    """0-based position of every row within its key by `ordinal`; a hot key is numbered block by block."""
+    return neighbours(df, keys, ordinal, total_before={alias: F.lit(1).cast("bigint")}, hot=hot)
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *ordinal: str | Column) -> DataFrame:

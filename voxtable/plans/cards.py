@@ -94,8 +94,8 @@ def plan_cards(
     """Rule cards without overlap or quick repeats, stretched over the whole video; one topic card where none fits."""
     placed = I.dedupe_titles(I.no_overlap(card_rows(labelled, copy), I.CARDS, hot), hot)
     timed = placed.join(durations, "video_id")
-    tiled = I.cover_duration(I.clamp_duration(timed), "beat_id")
-    final = I.cover_duration(I.clamp_duration(tiled), "beat_id")
+    tiled = I.cover_duration(I.clamp_duration(timed), "beat_id", hot=hot)
+    final = I.cover_duration(I.clamp_duration(tiled), "beat_id", hot=hot)
     none = durations.join(tiled.select("video_id").distinct(), "video_id", "left_anti").filter("duration_ms > 1000")
     fallback = none.select(
         "video_id",
@@ -115,7 +115,7 @@ def plan_cards(
 
 
 def _clip(c: Column, n: int) -> Column:
-    return X.clip_words(c, n, " ,.;:?")
+    return X.clip_words(c, n, " ,.;:?", fixed=True)
 
 
 def _node(label: Column, sub: Column | None = None) -> Column:
@@ -126,7 +126,7 @@ def scene_rows(labelled: DataFrame) -> DataFrame:
     """Scene rows: kind, title, kicker, nodes, chips and bullets. `is_first` marks a video's opening sentence."""
     role, hook = F.col("role"), F.col("is_first")
     base = labelled.withColumn("_t", X.stabilize(F.col("text"))).withColumns(
-        {"_terms": X.terms(F.col("_t")), "_fig": X.first_figure(F.col("_t")), "_parts": X.even_chunks(F.col("_t"), 3, 20)}
+        {"_terms": X.terms(F.col("_t")), "_fig": X.first_figure(F.col("_t")), "_parts": X.even_chunks(F.col("_t"), 3, 20, fixed=True)}
     )
     base = base.filter(hook | ~(one_of(role, ["generic", "transition"]) & (F.size("_terms") == 0)))
     terms, parts, n = F.col("_terms"), F.col("_parts"), F.size("_terms")
@@ -163,9 +163,9 @@ def scene_rows(labelled: DataFrame) -> DataFrame:
     )
     title = (
         F.when(is_rule == "figure", F.col("_fig"))
-        .when(is_rule == "compare", X.headline(F.col("_t"), 6))
-        .when(is_rule == "question", X.headline(F.col("_t"), 8))
-        .otherwise(X.headline(F.col("_t")))
+        .when(is_rule == "compare", X.headline(F.col("_t"), 6, fixed=True))
+        .when(is_rule == "question", X.headline(F.col("_t"), 8, fixed=True))
+        .otherwise(X.headline(F.col("_t"), fixed=True))
     )
     confidence = (
         F.when(is_rule == "figure", 0.8)
@@ -209,7 +209,7 @@ def scene_rows(labelled: DataFrame) -> DataFrame:
             F.transform(F.slice(terms, 1, 3), lambda t: _clip(F.concat(t["name"], F.lit(": "), t["subtitle"]), 44)),
             F.transform(F.filter(extra, lambda x: x != ""), lambda x: _clip(x, 44)),
         )
-        full = let(lines, lambda a: F.when(F.size(a) < 3, F.concat(a, X.even_chunks(F.col("_t"), 4, 44))).otherwise(a))
+        full = let(lines, lambda a: F.when(F.size(a) < 3, F.concat(a, X.even_chunks(F.col("_t"), 4, 44, fixed=True))).otherwise(a))
 
         def unique(a):
             return let(
@@ -224,6 +224,7 @@ def scene_rows(labelled: DataFrame) -> DataFrame:
     return base.select(
         "video_id",
         F.col("sentence_id").alias("beat_id"),
+        "is_first",
         "start_ms",
         _hold(F.col("start_ms"), F.col("end_ms"), SCENE_MIN_MS, SCENE_MAX_MS).alias("end_ms"),
         kind.alias("kind"),
@@ -243,8 +244,6 @@ def plan_scenes(labelled: DataFrame, durations: DataFrame, hot: HotKeys | None =
     opening = labelled.groupBy("video_id").agg(F.min("sentence_id").alias("_first"))
     rows = scene_rows(labelled.join(opening, "video_id").withColumn("is_first", F.col("sentence_id") == F.col("_first")))
     timed = rows.join(durations, "video_id").withColumn("end_ms", F.least("end_ms", "duration_ms"))
-    kept = I.no_overlap(timed, I.SCENES, hot)
-    # A video whose scenes all fell out keeps its opening one, as it was before placement.
-    lost = timed.join(kept.select("video_id").distinct(), "video_id", "left_anti").join(opening, "video_id")
-    alone = lost.filter(F.col("beat_id") == F.col("_first")).drop("_first")
-    return I.cover_duration(kept.unionByName(alone), "beat_id")
+    # Where the opening scene finds no room no later one does, so it is the one that stays.
+    kept = I.no_overlap(timed, I.SCENES, hot, forced=F.col("is_first"))
+    return I.cover_duration(kept.drop("is_first"), "beat_id", hot=hot)

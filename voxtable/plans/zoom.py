@@ -28,13 +28,15 @@ def fitted(motion: Column, room: Column) -> dict[str, Column]:
 
 def _step(state, row):
     last, n = state
+    if row["why"] is not None:
+        return state, [(None, "skip", row["why"])]
     gap = row["at_ms"] - last
     distance = max(0, gap)
     if n and gap < GAP and not row["close_ok"]:
-        return state, [(row["sentence_id"], distance, "skip", f"too soon after previous zoom ({gap / 1000:.2f}s)")]
+        return state, [(distance, "skip", f"too soon after previous zoom ({gap / 1000:.2f}s)")]
     if n and gap < -20:
-        return state, [(row["sentence_id"], distance, "skip", "overlaps previous ease-out")]
-    return [row["until_ms"], n + 1], [(row["sentence_id"], distance, "apply", "planned")]
+        return state, [(distance, "skip", "overlaps previous ease-out")]
+    return [row["until_ms"], n + 1], [(distance, "apply", "planned")]
 
 
 def plan_zoom(
@@ -64,33 +66,37 @@ def plan_zoom(
             "held_ms": fit["hold_ms"],
             "out_ms": fit["ease_out_ms"],
             "target_scale": scale,
-            "_why": why,
+            "why": why,
             "close_ok": (F.col("final_score") >= 0.88) & one_of(role, L.PRIORITY_ROLES),
         }
     ).withColumn("until_ms", F.col("at_ms") + F.col("in_ms") + F.col("held_ms") + F.col("out_ms"))
+    style = (
+        F.when((F.col("held_ms") >= 750) & (m["intensity"] >= 0.6), F.lit("hold"))
+        .when(F.col("in_ms") >= 550, F.lit("slow_punch"))
+        .otherwise(F.lit("fast_punch"))
+    )
+    moves = base.select(
+        "video_id", "sentence_id", "role", "final_score", "start_ms", "at_ms", "until_ms", "in_ms", "held_ms", "out_ms", "target_scale",
+        "close_ok", "why", style.alias("style"),
+    )
     decided = ordered_fold(
-        base.filter("_why IS NULL").select("video_id", "sentence_id", "start_ms", "at_ms", "until_ms", "close_ok"),
+        moves,
         ["video_id"],
         ["start_ms", "sentence_id"],
         [-10_000, 0],
         _step,
-        "sentence_id bigint, distance_ms bigint, verdict string, told string",
+        "distance_ms bigint, action string, reason string",
+        carry=moves.columns[1:],
         hot=hot,
     )
-    style = (
-        F.when((F.col("held_ms") >= 750) & (m["intensity"] >= 0.6), F.lit("hold"))
-        .when(F.col("in_ms") >= 550, F.lit("slow_punch"))
-        .otherwise(F.lit("fast_punch"))
-    )
-    j = base.join(decided, ["video_id", "sentence_id"], "left")
-    applied = F.col("verdict").eqNullSafe("apply")
-    return j.select(
+    applied = F.col("action") == "apply"
+    return decided.select(
         "video_id",
         "sentence_id",
         "role",
         "final_score",
-        F.coalesce("verdict", F.lit("skip")).alias("action"),
-        F.coalesce("_why", "told").alias("reason"),
+        "action",
+        "reason",
         "distance_ms",
         *[
             F.when(applied, c).alias(n)
@@ -102,7 +108,7 @@ def plan_zoom(
                 "hold_ms": F.col("held_ms"),
                 "ease_out_ms": F.col("out_ms"),
                 "target_scale": F.col("target_scale"),
-                "style": style,
+                "style": F.col("style"),
             }.items()
         ],
     )
