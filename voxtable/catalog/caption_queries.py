@@ -68,7 +68,7 @@ CAPS = f"{WORDS}, {sql_caps()}, {DUR}"
 def sql_greedy(name, src, gap, ident, order=None, time="start_ms", budget=None):
     """Recursive twin of the signed gap gate: (video_id, id) of the accepted rows in `name`."""
     take = f"n.{time} - g.last >= {gap}" + (f" AND g.picked < n.{budget}" if budget else "")
-    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {order or time + ', ' + ident}) AS k FROM {src}),
+    return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {order or time + ', ' + ident}) AS k FROM {src}),
 {name}_g AS (SELECT video_id, k, {ident} AS id, {time} AS last, 1 AS picked, true AS ok FROM {name}_n WHERE k = 1
   UNION ALL SELECT n.video_id, n.k, n.{ident}, CASE WHEN {take} THEN n.{time} ELSE g.last END, g.picked + CASE WHEN {take} THEN 1 ELSE 0 END, {take}
   FROM {name}_g g JOIN {name}_n n ON n.video_id = g.video_id AND n.k = g.k + 1),
@@ -352,7 +352,7 @@ def s_gate_cues(src, name, gap, cap):
     """Recursive twin: `held` is the cue that may still be replaced, `n` how many are kept."""
     near = f"c.at_ms - w.at_ms < {gap} AND w.n < {cap}"
     return f"""{name}_r AS (SELECT *, CASE kind WHEN 'whoosh' THEN 1 WHEN 'swoosh' THEN 2 WHEN 'hit' THEN 3 WHEN 'impact' THEN 4 ELSE 0 END AS rnk FROM {src} WHERE duration_ms <= 200 OR at_ms < duration_ms - 120),
-{name}_c AS (SELECT video_id, greatest(40, at_ms) AS at_ms, kind, gain, reason, rnk, row_number() OVER (PARTITION BY video_id ORDER BY at_ms, -rnk, ord) AS k FROM {name}_r),
+{name}_c AS MATERIALIZED (SELECT video_id, greatest(40, at_ms) AS at_ms, kind, gain, reason, rnk, row_number() OVER (PARTITION BY video_id ORDER BY at_ms, -rnk, ord) AS k FROM {name}_r),
 {name}_w AS (SELECT video_id, k, at_ms, kind, gain, reason, rnk, 1 AS n FROM {name}_c WHERE k = 1
   UNION ALL SELECT c.video_id, c.k, {', '.join(f"CASE WHEN ({near} AND c.rnk > w.rnk) OR (NOT ({near}) AND w.n < {cap}) THEN c.{x} ELSE w.{x} END" for x in ('at_ms', 'kind', 'gain', 'reason', 'rnk'))},
    w.n + CASE WHEN NOT ({near}) AND w.n < {cap} THEN 1 ELSE 0 END FROM {name}_w w JOIN {name}_c c ON c.video_id = w.video_id AND c.k = w.k + 1),
@@ -461,7 +461,7 @@ def s_no_overlap(src, name, gap, shortest, longest):
     start = f"greatest(b.start_ms, w.last + {gap})"
     end = f"least(b.end_ms, {start} + {longest})" if longest else "b.end_ms"
     fits = f"b.end_ms - {start} >= {shortest}"
-    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, -confidence, beat_id) AS k FROM {src}),
+    return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, -confidence, beat_id) AS k FROM {src}),
 {name}_w AS (SELECT DISTINCT video_id, 0::BIGINT AS k, -1000000::BIGINT AS last, NULL::BIGINT AS beat_id, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms FROM {name}_n
  UNION ALL SELECT b.video_id, b.k, CASE WHEN {fits} THEN {end} ELSE w.last END, CASE WHEN {fits} THEN b.beat_id END, {start}, {end} FROM {name}_w w JOIN {name}_n b ON b.video_id = w.video_id AND b.k = w.k + 1),
 {name} AS (SELECT video_id, beat_id, start_ms, end_ms FROM {name}_w WHERE beat_id IS NOT NULL)"""
@@ -536,7 +536,7 @@ p4 AS (SELECT *, greatest(i - greatest(i + h2 + o2 - room, 0), 450) AS i2 FROM p
 p5 AS (SELECT *, at_ms + i2 + h2 + o2 AS until_ms, CASE WHEN NOT apply THEN 'motion.apply=false' WHEN role IN ('cta', 'generic', 'assumption') THEN 'role=' || role WHEN target_scale <= 1.001 THEN 'intensity maps to no zoom'
   WHEN duration_ms - at_ms < 1050 THEN 'not enough room to ease' WHEN i2 + h2 + o2 > room + 1 THEN 'cannot ease within duration cap' END AS why,
   final_score >= 0.88 AND role IN ('reveal', 'story_climax', 'warning', 'hook', 'strong_opinion') AS close_ok FROM p4),
-pn AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, sentence_id) AS k FROM p5 WHERE why IS NULL),
+pn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, sentence_id) AS k FROM p5 WHERE why IS NULL),
 pw AS (SELECT DISTINCT video_id, 0::BIGINT AS k, -10000::BIGINT AS last, 0 AS n, NULL::BIGINT AS sentence_id, NULL::VARCHAR AS told, NULL::BIGINT AS dist FROM pn
   UNION ALL SELECT b.video_id, b.k, CASE WHEN w.n > 0 AND ((b.at_ms - w.last < 1600 AND NOT b.close_ok) OR b.at_ms - w.last < -20) THEN w.last ELSE b.until_ms END,
    w.n + CASE WHEN w.n > 0 AND ((b.at_ms - w.last < 1600 AND NOT b.close_ok) OR b.at_ms - w.last < -20) THEN 0 ELSE 1 END, b.sentence_id,
@@ -570,7 +570,7 @@ def _s_ramp(slot0, n, s0, s1):
 query(
     "ivl_zoom_keyframes",
     f"""WITH RECURSIVE {ZOOM}, a0 AS (SELECT video_id, sentence_id AS zoom_no, start_ms, ease_in_ms AS i, hold_ms AS h, ease_out_ms AS o, target_scale AS ts FROM zoomed WHERE action = 'apply'),
-a1 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, zoom_no) AS k, count(*) OVER (PARTITION BY video_id) AS total FROM a0),
+a1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, zoom_no) AS k, count(*) OVER (PARTITION BY video_id) AS total FROM a0),
 cu AS (SELECT video_id, zoom_no, k, total, i, h, o, ts, 0::BIGINT AS cursor, start_ms AS s FROM a1 WHERE k = 1
  UNION ALL SELECT a.video_id, a.zoom_no, a.k, a.total, a.i, a.h, a.o, a.ts, c.s + c.i + c.h + c.o, greatest(a.start_ms, c.s + c.i + c.h + c.o) FROM cu c JOIN a1 a ON a.video_id = c.video_id AND a.k = c.k + 1),
 rin AS (SELECT * FROM (VALUES {_s_ramp(1, 8, 0, 1)}) t(slot, j, n, eased)), rout AS (SELECT * FROM (VALUES {_s_ramp(10, 6, 0, 1)}) t(slot, j, n, eased)),
@@ -602,7 +602,7 @@ cards0 AS (SELECT video_id, sentence_id AS beat_id, start_ms, least(greatest(end
   CASE rule WHEN 'compare' THEN 0.86 WHEN 'retrieval_steps' THEN 0.82 WHEN 'concept' THEN 0.74 WHEN 'take' THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence,
   CASE WHEN rule = 'concept' THEN names[1] ELSE '' END AS term, names[1] AS name1, t FROM k3 WHERE rule IS NOT NULL),
 copy AS (SELECT * FROM (VALUES {', '.join(f"({lit(a)}, {lit(b)}, {lit(c)}, {lit(d)})" for a, b, c, d in _copy)}) t(rule, term, ctitle, ckick)),
-cards AS (SELECT c.* EXCLUDE (t, name1), COALESCE(ctitle, CASE WHEN rule = 'figure' THEN NULL WHEN rule = 'take' THEN CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END ELSE COALESCE(name1, rule) END) AS title,
+cards AS MATERIALIZED (SELECT c.* EXCLUDE (t, name1), COALESCE(ctitle, CASE WHEN rule = 'figure' THEN NULL WHEN rule = 'take' THEN CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END ELSE COALESCE(name1, rule) END) AS title,
   COALESCE(ckick, upper(rule)) AS kicker FROM cards0 c LEFT JOIN copy USING (rule, term))"""
 _card_cols = ["video_id", "beat_id", "start_ms", "end_ms", "rule", "kind", "motion", "confidence", "term", "kicker", "title"]
 
@@ -615,7 +615,7 @@ query("lab_beat_rules", f"WITH RECURSIVE {CARDS} SELECT {', '.join(_card_cols)}
     lambda spark, sf: card_rows(spark, sf).withColumn("title", F.when(F.col("rule") != "figure", F.col("title"))).select(*_card_cols)
 )
 PLANNED = f"""{CARDS}, {s_no_overlap('cards', 'pl', 140, 2604, 7400)},
-pt AS (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, COALESCE(c.title, 'figure') AS title, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
+pt AS MATERIALIZED (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, COALESCE(c.title, 'figure') AS title, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
 dw AS (SELECT DISTINCT video_id, 0::BIGINT AS k, '' AS title, -99000::BIGINT AS last, NULL::BIGINT AS beat_id FROM pt
  UNION ALL SELECT b.video_id, b.k, CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.title ELSE b.title END,
   CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.last ELSE b.start_ms END,

@@ -27,7 +27,7 @@ SENTENCES = f"""{WORDS},
 brk AS (SELECT *, CASE WHEN lag(word_id) OVER v IS NULL OR lag(segment_id) OVER v <> segment_id OR start_ms - lag(end_ms) OVER v >= 450
    OR regexp_matches(lag(word) OVER v, '[.?!…]+$') THEN 1 ELSE 0 END AS hard FROM words WINDOW v AS (PARTITION BY video_id ORDER BY word_id)),
 isl AS (SELECT *, sum(hard) OVER (PARTITION BY video_id ORDER BY word_id) AS island FROM brk),
-pos AS (SELECT *, row_number() OVER (PARTITION BY video_id, island ORDER BY word_id) AS k FROM isl),
+pos AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, island ORDER BY word_id) AS k FROM isl),
 walk AS (SELECT video_id, island, k, word_id, start_ms AS since, 1 AS n, 1 AS fresh FROM pos WHERE k = 1
   UNION ALL SELECT p.video_id, p.island, p.k, p.word_id,
     CASE WHEN w.n >= 16 OR (p.start_ms - w.since >= 4500 AND w.n >= 4) THEN p.start_ms ELSE w.since END,
@@ -141,7 +141,7 @@ SELECT video_id, segment_id, i AS pos, word, round_even(start_ms + span * i / n,
 def _sql_walk(src, key, ordinal, test, since="start_ms"):
     """Recursive walk over rows in order: a new chunk whenever `test` holds against the chunk start."""
     return f"""
-n_{src} AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {ordinal}) AS k FROM {src}),
+n_{src} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {ordinal}) AS k FROM {src}),
 w_{src} AS (SELECT {key}, k, {ordinal} AS ord, {since} AS since, 0 AS chunk_id FROM n_{src} WHERE k = 1
   UNION ALL SELECT n.{key}, n.k, n.{ordinal}, CASE WHEN {test} THEN n.{since} ELSE w.since END, w.chunk_id + CASE WHEN {test} THEN 1 ELSE 0 END
   FROM w_{src} w JOIN n_{src} n ON n.{key} = w.{key} AND n.k = w.k + 1)"""
@@ -203,7 +203,7 @@ def _sql_roles():
 r_base AS (SELECT *, CASE WHEN answers THEN 'answer' WHEN asks THEN 'question' ELSE 'generic' END AS role,
   CASE WHEN answers THEN 0.78 WHEN asks THEN 0.45 ELSE 0.2 END::DOUBLE AS interest FROM r_facts),
 {', '.join(steps)},
-labelled AS (SELECT video_id, sentence_id, start_ms, end_ms, text, n_words, first_word, last_word, speaking_rate, pause_before_ms, pause_after_ms,
+labelled AS MATERIALIZED (SELECT video_id, sentence_id, start_ms, end_ms, text, n_words, first_word, last_word, speaking_rate, pause_before_ms, pause_after_ms,
   CASE WHEN is_generic THEN 'generic' WHEN is_cta THEN 'cta' WHEN role = 'generic' AND figure THEN 'important_number' ELSE role END AS role,
   CASE WHEN is_generic THEN 0.05 WHEN is_cta THEN 0.1 ELSE round_even(least(1.0, greatest(interest, CASE WHEN figure THEN 0.8 ELSE 0.0 END) + CASE WHEN paused THEN 0.08 ELSE 0.0 END), 3) END::DOUBLE AS interest,
   {', '.join(signal(n) for n in L.SIGNALS)} FROM {prev})"""
