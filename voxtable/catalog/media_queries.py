@@ -93,9 +93,8 @@ unwrapped AS (SELECT *, CASE
     THEN url_decode(regexp_extract({s_query('href')}, '(?:^|&)uddg=([^&]+)', 1))
   ELSE trim(href) END AS u FROM addresses)"""
 
-HREF = F.col("href")
 query("url_normalize", f"WITH {ADDRESSES} SELECT page_id, {s_plain_normal('u')} AS url FROM unwrapped")(
-    lambda spark, sf: addresses(spark, sf).select("page_id", urls.normalize(HREF).alias("url"))
+    lambda spark, sf: addresses(spark, sf).select("page_id", urls.normalize(F.col("href")).alias("url"))
 )
 _suffixes = ["example.com", "example.org", "site.net"]
 query(
@@ -103,7 +102,7 @@ query(
     f"WITH {ADDRESSES} SELECT page_id, {s_host('trim(href)')} AS host, {s_host_in(s_host('trim(href)'), _suffixes)} AS listed FROM addresses",
 )(
     lambda spark, sf: addresses(spark, sf)
-    .select("page_id", urls.host(F.trim(HREF)).alias("host"))
+    .select("page_id", urls.host(F.trim(F.col("href"))).alias("host"))
     .withColumn("listed", urls.host_in(F.col("host"), _suffixes))
 )
 _ext = f"regexp_extract(lower({s_path('href')}), '(\\.[^./]*)$', 1)"
@@ -120,12 +119,12 @@ def s_kind(ext, mime):
 
 
 query("url_media_kind", f"WITH {ADDRESSES} SELECT page_id, {s_kind(_ext, _mime)} AS kind FROM addresses")(
-    lambda spark, sf: addresses(spark, sf).select("page_id", urls.media_kind(HREF, F.col("mime")).alias("kind"))
+    lambda spark, sf: addresses(spark, sf).select("page_id", urls.media_kind(F.col("href"), F.col("mime")).alias("kind"))
 )
 _base = f"regexp_extract(url_decode(replace({s_path('trim(href)')}, '+', '%2B')), '([^/]*)/*$', 1)"
 _safe = f"trim(regexp_replace(CASE WHEN {_base} = '' THEN 'asset' ELSE {_base} END, '[^A-Za-z0-9._-]+', '_', 'g'), '._')"
 query("url_filename", f"WITH {ADDRESSES} SELECT page_id, (CASE WHEN {_safe} = '' THEN 'asset' ELSE {_safe} END)[1:120] AS name FROM addresses")(
-    lambda spark, sf: addresses(spark, sf).select("page_id", urls.file_name(F.trim(HREF), "asset").alias("name"))
+    lambda spark, sf: addresses(spark, sf).select("page_id", urls.file_name(F.trim(F.col("href")), "asset").alias("name"))
 )
 
 # --- pages with media tags ---------------------------------------------------------------------
@@ -376,7 +375,7 @@ def result_rows(spark, sf):
         pick(i, ["bing", "duckduckgo", "google"]).alias("engine"),
         F.concat(F.lit("query "), (i % 11).cast("string")).alias("query"),
         i.alias("ordinal"),
-        F.when(i % 6 == 0, F.lit("https://accounts.google.com/x")).otherwise(HREF).alias("href"),
+        F.when(i % 6 == 0, F.lit("https://accounts.google.com/x")).otherwise(F.col("href")).alias("href"),
         F.when(i % 5 == 0, F.lit(" ")).otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
         F.regexp_extract("html", "<p>([^<]*)<", 1).alias("snippet"),
     )

@@ -11,7 +11,6 @@ from voxtable.catalog.base import (
 from voxtable.catalog.registry import query
 from voxtable.functions import text as X
 
-TXT = F.col("txt")
 ID = ["doc_id", "line_no"]
 
 
@@ -46,9 +45,11 @@ STABLE = f"{LINES}, {sql_stabilize_cte('lines', 'stable')}"
 FILLER = sql_list(rules.FILLER)
 
 
-def on_lines(**cols):
+def on_lines(build):
+    """Query over all lines; `build(txt)` names the output columns, when there is a session to build them in."""
+
     def run(spark, sf):
-        return lines(spark, sf).select(*ID, *[c.alias(n) for n, c in cols.items()])
+        return lines(spark, sf).select(*ID, *[c.alias(n) for n, c in build(F.col("txt")).items()])
 
     return run
 
@@ -58,22 +59,22 @@ def joined(c):
 
 
 query("txt_asr_fix", f"WITH {LINES} SELECT doc_id, line_no, {sql_fix_asr('txt')} AS fixed FROM lines")(
-    on_lines(fixed=X.fix_asr(TXT))
+    on_lines(lambda txt: dict(fixed=X.fix_asr(txt)))
 )
 query("txt_stabilize", f"WITH {STABLE} SELECT doc_id, line_no, st AS copy FROM stable")(
-    on_lines(copy=X.stabilize(TXT))
+    on_lines(lambda txt: dict(copy=X.stabilize(txt)))
 )
 query(
     "txt_known_terms",
     f"""WITH {LINES}, f AS (SELECT doc_id, line_no, {sql_fix_asr('txt')} AS t FROM lines)
 SELECT doc_id, line_no, array_to_string(list_filter([{', '.join(f"CASE WHEN {sql_matches('t', chr(92) + 'b' + n + chr(92) + 'b')} THEN {lit(n)} END" for n in rules.KNOWN_TERMS)}],
   lambda x: x IS NOT NULL), '|') AS found FROM f""",
-)(on_lines(found=joined(X.known_terms(TXT))))
+)(on_lines(lambda txt: dict(found=joined(X.known_terms(txt)))))
 query(
     "txt_norm_token",
     f"""WITH {LINES}
 SELECT doc_id, line_no, array_to_string(list_transform({sql_tokens('txt')}, lambda t: {sql_norm('t')}), '|') AS cores FROM lines""",
-)(on_lines(cores=joined(X.norm_tokens(TXT))))
+)(on_lines(lambda txt: dict(cores=joined(X.norm_tokens(txt)))))
 
 ACR = sql_list(rules.COPY_ACRONYMS)
 LETTERS = "regexp_replace(t, '[^A-Za-z]', '', 'g')"
@@ -93,7 +94,7 @@ def sql_fix_case_cte(src, out, col, keep="doc_id, line_no"):
 
 
 query("txt_fix_case", f"WITH {LINES}, {sql_fix_case_cte('lines', 'cased', 'txt')} SELECT doc_id, line_no, fc AS cased FROM cased")(
-    on_lines(cased=X.fix_case(TXT))
+    on_lines(lambda txt: dict(cased=X.fix_case(txt)))
 )
 _flat = sql_stabilize_cte("(SELECT doc_id, line_no, replace(txt, chr(10), ' ') AS txt FROM lines)", "flat")
 query(
@@ -102,7 +103,7 @@ query(
 bare AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(trim(trim(st), '"“”'), '\\s+', ' ', 'g'), '[.;:—–-]+$', '')) AS b FROM flat),
 {sql_fix_case_cte('bare', 'cased', 'b')}
 SELECT doc_id, line_no, fc AS clean FROM cased""",
-)(on_lines(clean=X.clean_copy(TXT)))
+)(on_lines(lambda txt: dict(clean=X.clean_copy(txt))))
 
 _kinds = ["plain", "serif", "mix", "stack", "quote"]
 _shape = lit("^([\"“”']*)(.*?)([\"“”',.!?]*)$")
@@ -122,18 +123,18 @@ capped AS (SELECT doc_id, line_no, li, CASE WHEN li = 0 AND list_contains({sql_l
    THEN regexp_extract(b, '^([^\\p{{L}}]*)', 1) || upper(b[length(regexp_extract(b, '^([^\\p{{L}}]*)', 1)) + 1:length(regexp_extract(b, '^([^\\p{{L}}]*)', 1)) + 1])
         || b[length(regexp_extract(b, '^([^\\p{{L}}]*)', 1)) + 2:] ELSE b END AS b FROM built)
 SELECT doc_id, line_no, COALESCE(string_agg(b, chr(10) ORDER BY li) FILTER (WHERE b <> ''), '') AS spoken FROM capped GROUP BY ALL""",
-)(on_lines(spoken=X.spoken_case(TXT, pick(F.col("doc_id") + F.col("line_no"), _kinds))))
+)(on_lines(lambda txt: dict(spoken=X.spoken_case(txt, pick(F.col("doc_id") + F.col("line_no"), _kinds)))))
 query(
     "txt_join_punct",
     f"""WITH {LINES}
 SELECT doc_id, line_no, regexp_replace(regexp_replace(array_to_string({sql_tokens('txt')}, ' '), '([^\\s]) ''', '\\1''', 'g'), '\\s+([,.;:?!])', '\\1', 'g') AS running FROM lines""",
-)(on_lines(running=X.join_words(X.tokens(TXT))))
+)(on_lines(lambda txt: dict(running=X.join_words(X.tokens(txt)))))
 _bare = """list_filter(list_transform(%s, lambda t: trim(t, '.,;:!?"“”()[]{}')), lambda t: NOT list_contains(['', '—', '–', '-'], t))""" % sql_tokens("txt")
 query(
     "txt_tokenize_strip",
     f"""WITH {LINES}, b AS (SELECT doc_id, line_no, txt, {_bare} AS ts FROM lines)
 SELECT doc_id, line_no, array_to_string(CASE WHEN len(ts) > 0 THEN ts ELSE regexp_extract_all(txt, '[A-Za-z0-9][A-Za-z0-9''’+/-]*') END, '|') AS toks FROM b""",
-)(on_lines(toks=joined(X.upload_tokens(TXT))))
+)(on_lines(lambda txt: dict(toks=joined(X.upload_tokens(txt)))))
 _core = sql_norm("t")
 
 
@@ -148,10 +149,13 @@ def sql_content_word(ts):
 query(
     "txt_content_word",
     f"WITH {LINES}, b AS (SELECT doc_id, line_no, {sql_tokens('txt')} AS ts FROM lines) SELECT doc_id, line_no, {sql_content_word('ts')} AS best FROM b",
-)(on_lines(best=X.content_word(X.tokens(TXT))))
+)(on_lines(lambda txt: dict(best=X.content_word(X.tokens(txt)))))
 
 _KEYS = ["the real reason", "fine tunning", "AI", "the", "completely wrong!", "static", "", "a year company was", "Brown Fox", "vector d.b"]
-_key = pick(F.col("doc_id") * 3 + F.col("line_no"), _KEYS)
+def _key():
+    return pick(F.col("doc_id") * 3 + F.col("line_no"), _KEYS)
+
+
 _sql_key = sql_pick("doc_id * 3 + line_no", _KEYS)
 
 
@@ -182,7 +186,7 @@ c AS (SELECT *, {sql_emphasis_ok('ns', 'k')} AS ok, {sql_wanted('k')} AS w FROM
 d AS (SELECT *, CASE WHEN len(w) > 0 THEN list_filter(range(len(ns) - len(w) + 1), lambda i: ns[i + 1:i + len(w)] = w)[1] END AS hit FROM c)
 SELECT doc_id, line_no, ok, array_to_string(list_transform(range(len(ns)), lambda i:
    CASE WHEN hit IS NOT NULL AND i >= hit AND i < hit + len(w) THEN '1' ELSE '0' END), '') AS flags FROM d""",
-)(on_lines(ok=X.emphasis_ok(TXT, _key), flags=F.array_join(F.transform(X.emphasis_flags(TXT, _key), lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0"))), "")))
+)(on_lines(lambda txt: dict(ok=X.emphasis_ok(txt, _key()), flags=F.array_join(F.transform(X.emphasis_flags(txt, _key()), lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0"))), ""))))
 query(
     "txt_key_for",
     f"""WITH {LINES}, b AS (SELECT doc_id, line_no, {sql_norms('txt')} AS ns, {_sql_key} AS k FROM lines),
@@ -191,7 +195,7 @@ cand AS (SELECT doc_id, line_no, ns, unnest(range(len(cs))) AS ci, unnest(cs) AS
     list_transform(list_reverse(range(1, greatest(len(parts), 1))), lambda i: parts[i] || ' ' || parts[i + 1]), list_reverse(parts)) AS cs FROM p)),
 hit AS (SELECT doc_id, line_no, ci, CASE WHEN {sql_emphasis_ok('ns', 'cand')} THEN cand END AS found FROM cand)
 SELECT doc_id, line_no, COALESCE(arg_min(found, ci) FILTER (WHERE found IS NOT NULL), '') AS found FROM hit GROUP BY ALL""",
-)(on_lines(found=X.key_for(TXT, _key)))
+)(on_lines(lambda txt: dict(found=X.key_for(txt, _key()))))
 query(
     "txt_strip_greeting",
     f"""WITH {LINES}, b AS (SELECT doc_id, line_no, {sql_tokens('txt')} AS ts FROM lines),
@@ -199,7 +203,7 @@ r AS (SELECT *, COALESCE(list_filter(range(len(ts)), lambda i: NOT list_contains
 d AS (SELECT doc_id, line_no, least(run, greatest(len(ts) - 2, 0)) AS n, ts FROM r),
 e AS (SELECT doc_id, line_no, n, array_to_string(ts[n + 1:], ' ') AS rest FROM d)
 SELECT doc_id, line_no, CASE WHEN n > 0 THEN upper(rest[1:1]) || rest[2:] ELSE rest END AS opened FROM e""",
-)(on_lines(opened=X.strip_greeting(TXT)))
+)(on_lines(lambda txt: dict(opened=X.strip_greeting(txt))))
 
 
 def sql_stem(t):
@@ -217,9 +221,9 @@ def sql_content(e):
 query(
     "txt_content_stems",
     f"WITH {LINES} SELECT doc_id, line_no, array_to_string(list_transform({sql_content('txt')}, lambda t: {sql_stem('t')}), '|') AS stems FROM lines",
-)(on_lines(stems=joined(X.content_stems(TXT))))
+)(on_lines(lambda txt: dict(stems=joined(X.content_stems(txt)))))
 query("txt_devanagari", f"WITH {LINES} SELECT doc_id, line_no, regexp_matches(txt, '[\\x{{0900}}-\\x{{097F}}]') AS hit FROM lines")(
-    on_lines(hit=X.has_devanagari(TXT))
+    on_lines(lambda txt: dict(hit=X.has_devanagari(txt)))
 )
 
 
@@ -238,18 +242,17 @@ query(
     "txt_terms",
     f"""WITH {LINES}, f AS (SELECT doc_id, line_no, {sql_fix_asr('txt')} AS t FROM lines)
 SELECT doc_id, line_no, array_to_string({sql_terms('t')}, '|') AS glossary FROM f""",
-)(on_lines(glossary=joined(F.transform(X.terms(TXT), lambda s: F.concat(s["name"], F.lit("="), s["subtitle"])))))
+)(on_lines(lambda txt: dict(glossary=joined(F.transform(X.terms(txt), lambda s: F.concat(s["name"], F.lit("="), s["subtitle"]))))))
 query(
     "txt_flags",
     f"""WITH {LINES}, f AS (SELECT doc_id, line_no, {sql_fix_asr('txt')} AS t FROM lines)
 SELECT doc_id, line_no, {sql_matches('t', rules.COMPARISON)} AS comparison, {sql_matches('t', rules.PROCESS)} AS process,
  nullif(trim(regexp_extract(t, '(?i){LEFT}([0-9]+(?:\\.[0-9]+)?(?:\\s*(?:x|k|million){RIGHT}|\\s*%{WCHAR}|{RIGHT}))', 1)), '') IS NOT NULL AS has_figure FROM f""",
 )(
-    lambda spark, sf: lines(spark, sf).select(
-        *ID,
-        X.is_comparison(TXT).alias("comparison"),
-        X.is_process(TXT).alias("process"),
-        X.first_figure(TXT).isNotNull().alias("has_figure"),
+    on_lines(
+        lambda txt: dict(
+            comparison=X.is_comparison(txt), process=X.is_process(txt), has_figure=X.first_figure(txt).isNotNull()
+        )
     )
 )
 
@@ -262,7 +265,7 @@ def sql_clip(st, n, edge=" ,.;:"):
 query(
     "txt_clip_words",
     f"WITH {STABLE} SELECT doc_id, line_no, {sql_clip('st', 32)} AS short, {sql_clip('st', 44, ' ,.;:?')} AS scene FROM stable",
-)(on_lines(short=X.clip_words(TXT, 32), scene=X.clip_words(TXT, 44, " ,.;:?")))
+)(on_lines(lambda txt: dict(short=X.clip_words(txt, 32), scene=X.clip_words(txt, 44, " ,.;:?"))))
 _head = f"list_filter(string_split_regex(trim(st, ' \"'''), '\\s+'), lambda t: t <> '')"
 query(
     "txt_headline_chunks",
@@ -278,14 +281,13 @@ clipped AS (SELECT doc_id, line_no, slot, CASE WHEN slot = 0 THEN {sql_clip('st'
 SELECT h.doc_id, h.line_no, CASE WHEN len(any_value(h.hs)) = 0 THEN 'Listen to this' ELSE any_value(c.c) FILTER (WHERE slot = 0) END AS title,
  COALESCE(array_to_string((list(c.c ORDER BY slot) FILTER (WHERE slot > 0 AND c.c <> ''))[1:3], '|'), '') AS chunks
 FROM h JOIN clipped c USING (doc_id, line_no) GROUP BY h.doc_id, h.line_no""",
-)(on_lines(title=X.headline(TXT), chunks=joined(X.even_chunks(TXT, 3, 28))))
+)(on_lines(lambda txt: dict(title=X.headline(txt), chunks=joined(X.even_chunks(txt, 3, 28)))))
 query("txt_money_flag", f"WITH {LINES} SELECT doc_id, line_no, regexp_matches(txt, {lit('(?i)' + re2(rules.MONEY))}) AS figure FROM lines")(
-    on_lines(figure=X.names_figure(TXT))
+    on_lines(lambda txt: dict(figure=X.names_figure(txt)))
 )
 _icons = ["📄", "brain", "", "⚙️", "unknown", "🚀", " Loop "]
 _gkinds = ["bullets", "stat", "process", "nothing"]
 _treats = ["Oval", " serif ", "sparkle", "plain", "BLOB"]
-_i = F.col("doc_id") * 3 + F.col("line_no")
 _emoji_map = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in rules.EMOJI_GLYPH.items()) + "}"
 _kind_map = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in rules.KIND_GLYPH.items()) + "}"
 query(
@@ -295,14 +297,13 @@ query(
 SELECT doc_id, line_no, length(txt) AS n, CASE WHEN list_contains({sql_list(rules.TREATMENTS)}, tr) THEN tr ELSE 'plain' END AS treatment,
  CASE WHEN list_contains({sql_list(rules.GLYPHS)}, lower(ic)) THEN lower(ic) ELSE COALESCE(({_emoji_map})[ic], ({_kind_map})[kd], 'spark') END AS glyph FROM b""",
 )(
-    on_lines(
-        n=F.length(TXT),
-        treatment=X.treatment_name(pick(_i, _treats)),
-        glyph=X.glyph_name(pick(_i, _icons), pick(_i, _gkinds), F.lit("")),
-    )
+    on_lines(lambda txt: dict(
+        n=F.length(txt),
+        treatment=X.treatment_name(pick(F.col("doc_id") * 3 + F.col("line_no"), _treats)),
+        glyph=X.glyph_name(pick(F.col("doc_id") * 3 + F.col("line_no"), _icons), pick(F.col("doc_id") * 3 + F.col("line_no"), _gkinds), F.lit(""))))
 )
 query(
     "txt_recency_hint",
     f"""WITH {LINES} SELECT doc_id, line_no, regexp_extract(txt, '(?i){LEFT}([0-9]+\\s*(?:m|h|d|w|hour|hours|day|days|min)s? ago){RIGHT}', 1) AS recency,
  trim(regexp_replace(txt, '<[^>]+>', ' ', 'g')) AS plain FROM lines""",
-)(on_lines(recency=X.recency_hint(TXT), plain=X.strip_tags(TXT)))
+)(on_lines(lambda txt: dict(recency=X.recency_hint(txt), plain=X.strip_tags(txt))))
