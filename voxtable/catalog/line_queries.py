@@ -14,6 +14,7 @@ from voxtable.functions import text as X
 from voxtable.operators import align as A
 from voxtable.operators import lines as N
 from voxtable.operators import segment as S
+from voxtable.operators import styles as Y
 
 query("seg_caption_groups")(lambda spark, sf: S.caption_groups(words(spark, sf), hot=hot_videos(spark, sf)))
 query(
@@ -186,3 +187,20 @@ query("align_token_times")(
     )
     .select("video_id", "caption_id", "i", F.bround("t").cast("bigint").alias("t_ms"))
 )
+
+
+def judged(spark, sf):
+    key = F.coalesce(F.get(X.tokens(F.col("text")), (F.col("line_id") % 3).cast("int")), F.lit(""))
+    return lines(spark, sf).select("video_id", "line_id", "start_ms", "text", "weight", "kind", key.alias("key_note"), "mood", "icon", "cta", "loud")
+
+
+query("alloc_styles")(
+    lambda spark, sf: Y.allocate_styles(judged(spark, sf), "premium", hot_videos(spark, sf)).select(
+        "video_id", "line_id", "style", "emphasis", "shown_mood", "shown_icon"
+    )
+)
+query("alloc_stack_absorb")(
+    lambda spark, sf: Y.absorb_stacks(Y.allocate_styles(judged(spark, sf), "classic", hot_videos(spark, sf)), hot_videos(spark, sf)).select(
+        "video_id", "line_id", "text", "sub", "style"
+    )
+)

@@ -27,8 +27,8 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="voxtable-ckpt-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxtable-ckpt-"))
     return df.checkpoint(eager=True)
