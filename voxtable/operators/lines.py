@@ -12,7 +12,8 @@ from voxtable import rules
 from voxtable.functions import text as X
 from voxtable.operators import gates as G
 from voxtable.operators.ordered import HotKeys, neighbours, ordered_fold
-from voxtable.operators.segment import KEEP_PHRASES, PACK_MS, PACK_WORDS, allocate_counts, caption_groups, time_slices
+from voxtable.operators.segment import PACK_MS, PACK_WORDS, allocate_counts, caption_groups, time_slices
+from voxtable.session import cut_lineage
 
 VIDEO = ["video_id"]
 # Style limits. Gaps in ms.
@@ -116,7 +117,8 @@ def rule_captions(words: DataFrame, hot: HotKeys | None = None) -> DataFrame:
 
 def plan_captions(words: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Groups, short ones joined, decorated and paced."""
-    return G.pace_treatments(G.decorate(coalesce_short(rule_captions(words, hot), hot), hot), hot)
+    # Both gates read their input twice (all captions, special ones), so it is stored in front of them.
+    return G.pace_treatments(G.decorate(cut_lineage(coalesce_short(rule_captions(words, hot), hot)), hot), hot)
 
 
 # --- long captions ------------------------------------------------------------------------------
@@ -448,7 +450,8 @@ def group_captions(groups: DataFrame, words: DataFrame, hot: HotKeys | None = No
     ranges = covered.select("video_id", "group_no", "lo", "hi", "text", "treatment").unionByName(rest).join(ends, "video_id")
     ranges = ranges.withColumn("hi", F.least("hi", "_last")).filter("lo <= hi")
     ids = ranges.select("video_id", "group_no", F.explode(F.sequence("lo", "hi")).alias("word_id"))
-    inside = words.join(ids, ["video_id", "word_id"])
+    # Packs, spoken text and counts are all cut from these words: store them once.
+    inside = cut_lineage(words.join(ids, ["video_id", "word_id"]))
     keys = ["video_id", "group_no"]
     packed = inside.join(packs_for(inside, keys, hot), [*keys, "word_id"])
     packs = packed.groupBy(*keys, "pack_no").agg(
