@@ -7,19 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.operators.ordered import top_per
 
 
-def _children(rows: DataFrame, key: str, order: str, fields: list[str], alias: str) -> DataFrame:
-    item = F.struct(*fields)
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), item.alias("v"))))
-    return rows.groupBy(key).agg(F.transform(packed, lambda s: s["v"]).alias(alias))
+PART_MS = 3_600_000
+PART = ["video_id", "part_no"]
+
+
+def _children(rows: DataFrame, time: str, fields: list[str], alias: str) -> DataFrame:
+    packed = F.array_sort(F.collect_list(F.struct(F.col(time).alias("_o"), F.struct(*fields).alias("v"))))
+    parts = rows.withColumn("part_no", F.floor(F.col(time) / PART_MS))
+    return parts.groupBy(*PART).agg(F.transform(packed, lambda s: s["v"]).alias(alias))
 
 
 def edit_plans(captions: DataFrame, graphics: DataFrame, cues: DataFrame, moods: DataFrame) -> DataFrame:
-    """One nested document per video. A document is one output row, so its parts meet in it."""
-    caps = _children(captions, "video_id", "start_ms", ["start_ms", "end_ms", "text", "treatment"], "captions")
-    cards = _children(graphics, "video_id", "start_ms", ["start_ms", "end_ms", "kind"], "graphics")
-    sounds = _children(cues, "video_id", "at_ms", ["at_ms", "kind", "gain", "reason"], "sfx")
-    return caps.join(cards, "video_id", "left").join(sounds, "video_id", "left").join(moods, "video_id", "left").select(
-        "video_id", "captions", "graphics", "sfx", F.coalesce("music_mood", F.lit("warm_inspiring")).alias("music_mood")
+    """One nested document per video and hour of it, so that a document never holds more than an hour's rows."""
+    caps = _children(captions, "start_ms", ["start_ms", "end_ms", "text", "treatment"], "captions")
+    cards = _children(graphics, "start_ms", ["start_ms", "end_ms", "kind"], "graphics")
+    sounds = _children(cues, "at_ms", ["at_ms", "kind", "gain", "reason"], "sfx")
+    return caps.join(cards, PART, "full").join(sounds, PART, "full").join(moods, "video_id", "left").select(
+        *PART, "captions", "graphics", "sfx", F.coalesce("music_mood", F.lit("warm_inspiring")).alias("music_mood")
     )
 
 
