@@ -65,8 +65,8 @@ class Code:
         self.code, self.bits = np.zeros(top, np.uint64), np.zeros(top, np.int64)
         self.code[self.ids] = (first >> (self.limit - self.sizes)).astype(np.uint64)
         self.bits[self.ids] = self.sizes
-        self.table = np.zeros(1 << self.limit, np.uint32)  # place in ids of the code that starts so
-        self.table[: int(steps.sum())] = np.repeat(np.arange(len(self.ids), dtype=np.uint32), steps)
+        self.table = np.zeros(1 << self.limit, np.uint64)  # id and size of the code that starts so
+        self.table[: int(steps.sum())] = np.repeat(self.ids.astype(np.uint64) << np.uint64(8) | self.sizes.astype(np.uint64), steps)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """The coded bits, and the bit offset of every LANE-th token."""
@@ -87,29 +87,23 @@ class Code:
 
     def decode(self, blocks: list[tuple[int, bytes, bytes]]) -> list[np.ndarray]:
         """Ids of blocks (n_tokens, lanes, bits), all lanes of all blocks in step."""
-        base, at, count = [], [], []
-        total = 0
-        for n, lanes, bits in blocks:
-            starts = np.frombuffer(lanes, "<u4").astype(np.int64)
-            at.append(starts + 8 * total)
-            count.append(np.minimum(LANE, n - LANE * np.arange(len(starts))))
-            base.append(bits)
+        at, total = [], 0
+        for _, lanes, bits in blocks:
+            at.append(np.frombuffer(lanes, "<u4").astype(np.int64) + 8 * total)
             total += len(bits)
-        raw = np.frombuffer(b"".join([*base, bytes(8)]), np.uint8)
-        pos, count = np.concatenate(at), np.concatenate(count)
-        out = np.zeros((LANE, len(pos)), np.uint32)
-        window = np.zeros(len(raw) - 3, np.uint32)  # the 32 bits from each byte on
-        for k in range(4):
-            window |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(24 - 8 * k)
+        # a block's last lane may have fewer tokens: it reads on into what follows, and the rest is cut off below
+        raw = np.frombuffer(b"".join([*(bits for _, _, bits in blocks), bytes(LANE * 4 + 8)]), np.uint8)
+        pos = np.concatenate(at)
+        out = np.empty((LANE, len(pos)), np.uint32)
+        window = raw[:-3].astype(np.uint32)  # the 32 bits from each byte on
+        for k in range(1, 4):
+            window = window << np.uint32(8) | raw[k : len(raw) - 3 + k]
         down = 32 - self.limit
-        mask = (1 << self.limit) - 1
+        mask = np.int64((1 << self.limit) - 1)
         for step in range(LANE):
-            live = np.flatnonzero(count > step) if step else slice(None)
-            p = pos[live]
-            head = (window[p >> 3].astype(np.int64) >> (down - (p & 7))) & mask
-            found = self.table[head]
-            out[step, live] = self.ids[found]
-            pos[live] = p + self.sizes[found]
+            found = self.table[window[pos >> 3].astype(np.int64) >> (down - (pos & 7)) & mask]
+            out[step] = found >> np.uint64(8)
+            pos += (found & np.uint64(255)).astype(np.int64)
         flat, done, ids = out.T.reshape(-1), 0, []
         for n, lanes, _ in blocks:
             ids.append(flat[LANE * done : LANE * done + n])
@@ -120,10 +114,12 @@ class Code:
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-        if len(found) > len(total):
-            total, found = found, total
-        total[: len(found)] += found
+        for width in set(batch.column(1).to_pylist()):
+            raw = b"".join(x for x, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w == width)
+            found = np.bincount(np.frombuffer(raw, f"<u{width}"))
+            if len(found) > len(total):
+                total, found = found, total
+            total[: len(found)] += found
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
@@ -150,8 +146,8 @@ def _write(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     held = 0
     for batch in batches:
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(np.frombuffer(raw.as_py(), "<u4"))
+        for doc_id, raw, width in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            ids.append(np.frombuffer(raw.as_py(), f"<u{width}"))
             docs.append(doc_id)
             held += len(ids[-1])
             if held >= BLOCK_TOKENS:
@@ -162,18 +158,18 @@ def _write(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def write_ids(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write a stored token table (doc_id, n_tokens, ids) in the block format, in ascending doc_id order.
+    """Write a stored token table (doc_id, n_tokens, width, ids) in the block format, in ascending doc_id order.
 
     Returns the written blocks and the written header (ids, lengths). Rows with
     equal doc_ids stand in the order of their contents; a null doc_id stands first.
     """
     spark = tokens.sparkSession
-    counted = tokens.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids", "width").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted((r["id"], r["n"]) for r in counted.collect())  # a row per id of the vocabulary at most
     ids = np.array([i for i, _ in counts], np.uint32)
     made = (ids.tobytes(), code_lengths(ids, np.array([n for _, n in counts], np.int64)).tobytes())
     header = stored(spark.createDataFrame([made], "ids binary, lengths binary"), "code-header")
-    order = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    order = tokens.select("doc_id", "ids", "width").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return stored(order.mapInArrow(partial(_write, spark.sparkContext.broadcast(made)), BLOCKS), "code-blocks"), header
 
 

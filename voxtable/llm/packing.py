@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtable.llm.common import stored, text_column
-from voxtable.llm.tokens import END_ID, VOCABULARY, document_ids
+from voxtable.llm.tokens import END_ID, VOCABULARY, document_ids, wide
 
 CAPACITY = 4096
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, width int, ids binary"
 
 
 def _cut(path: str, end_id: int, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,15 +30,15 @@ def _cut(path: str, end_id: int, capacity: int, batches: Iterator[pa.RecordBatch
     names = [f.split()[0] for f in PIECES.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = document_ids(path, end_id, text.as_py())
-            for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                some = ids[start : start + 4 * capacity]
-                rank = seen.get(n := len(some) // 4, 0)
+        coded, width = document_ids(path, end_id, batch.column(1).to_pylist())
+        for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+            for piece, start in enumerate(range(0, len(ids), width * capacity)):
+                some = ids[start : start + width * capacity]
+                rank = seen.get(n := len(some) // width, 0)
                 seen[n] = rank + 1
-                rows.append((doc_id, piece, start // 4, n, zlib.crc32(some), part, rank, some))
+                rows.append((doc_id, piece, start // width, n, zlib.crc32(wide(some, width)), part, rank, width, some))
         if rows:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
@@ -99,7 +99,8 @@ def place(stored_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(steps, "length long, first_rank long, end_rank long, first_sequence long, each long, at long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-ranks")
-    ranked = stored_pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # a row per task and length: it grows with the input, so it is merged, never broadcast
+    ranked = stored_pieces.join(offsets.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")) & (F.col("length") == F.col("l"))
     slots = ranked.join(F.broadcast(plan.withColumnRenamed("length", "l")), inside)
     nth = F.col("rank") - F.col("first_rank")
@@ -108,10 +109,11 @@ def place(stored_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, text: str = "text", ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ids the ids themselves.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ids the ids themselves
+    (width bytes each).
 
     Null and empty texts are a piece with the end id alone. Repeated rows and ids
     are packed as often as they come. Other columns are not read. No rows: no rows.
     """
     found = pieces(docs, path, end_id, capacity, text)
-    return place(found if ids else found.drop("ids"), capacity)
+    return place(found if ids else found.drop("width", "ids"), capacity)
