@@ -67,7 +67,7 @@ class WindowSet:
                 at = np.searchsorted(known, rolled)
                 at[at == len(known)] = 0
                 for p in np.flatnonzero(known[at] == rolled).tolist():
-                    if got := self.items.get(b" ".join(words[p : p + n])):
+                    if (got := self.items.get(b" ".join(words[p : p + n]))) is not None:
                         spans.append((done + p, done + p + n))
                         items.update(got)
             keep = min(len(words), most - 1)
