@@ -31,8 +31,6 @@ PIECE = 128
 LANES = 2048
 #: The start of the training: at most so many pieces of a sample, so many rounds. Then full passes over all pieces.
 START_PIECES, START_ROUNDS, PASSES = 4000, 20, 2
-#: Weight, in tokens, of the plain word frequencies in each state's distribution.
-PRIOR = 50.0
 FLUSH_WORDS = 250_000
 
 
@@ -171,10 +169,11 @@ class Counts:
         self.start, self.move, self.emit, self.log10 = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
 
     def model(self, frequency: np.ndarray) -> Model:
-        """The most likely model under a prior of PRIOR tokens of plain frequency per state."""
+        """The model of these counts. Each state's words are mixed with the plain frequencies, which weigh as many tokens as
+        the state has different words: the more new words a state keeps meeting, the less it trusts its own counts."""
         states = len(self.start)
         start, move = self.start + 1 / states, self.move + np.eye(states) + 1 / states
-        emit = self.emit + PRIOR * frequency[:, None]
+        emit = self.emit + (np.minimum(self.emit, 1).sum(axis=0) + 1) * frequency[:, None]
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
