@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -11,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from voxtable import rules
 from voxtable.functions import text as X
 from voxtable.operators import gates as G
-from voxtable.operators.ordered import HotKeys, neighbours, ordered_fold
+from voxtable.operators.ordered import HotKeys, dense_ids, neighbours, ordered_fold
 from voxtable.operators.segment import PACK_MS, PACK_WORDS, allocate_counts, caption_groups, time_slices
 from voxtable.session import cut_lineage
 
@@ -201,30 +202,53 @@ def wrap_lines(text: Column, max_chars: int, max_lines: int = 3) -> Column:
 DRAFT = "text string, sub string, style string, emphasis string, mood string, icon string, cta boolean"
 
 
-def _halves(line, starts, ends):
-    """Split one line at the time midpoint until it fits its style; only left halves keep mood, icon and cta."""
-    first, last, text, style, emphasis, mood, icon, cta = line
-    toks = text.split()
-    span = ends[last] - starts[first]
-    fits = span <= LINE_MS and len(toks) <= STYLE_WORDS.get(style, 5)
-    if style == "stack" or len(toks) < 4 or last == first or fits:
-        return [line]
-    half = len(toks) // 2
-    late = [i + 1 for i in range(first, last) if 2 * (starts[i + 1] - starts[first]) <= span]
-    cut = min(max(late[-1] if late else first, first + 1), last)
-    sides = toks[:half], toks[half:]
-    if style in BIG_STYLES:
-        weight = [sum(norm(t) not in _FILLER for t in side) for side in sides]
-        looks = ("serif", "plain") if weight[0] > weight[1] else ("plain", "serif")
-    else:
-        looks = ("mix", "mix") if style in ("mix", "underline") else ("plain", "plain")
-    parts = []
-    for k, (side, look, lo, hi) in enumerate(zip(sides, looks, (first, cut), (cut - 1, last))):
-        kept = emphasis if carries(side, emphasis) else ""
-        look = "plain" if look == "mix" and not kept else look
-        extra = (mood, icon, cta) if k == 0 else ("neutral", "none", False)
-        parts += _halves((lo, hi, " ".join(side), look, kept, *extra), starts, ends)
-    return parts
+class Piece(NamedTuple):
+    """Words lo to hi of a line with the tokens shown for them; mood, icon and cta go with the first piece."""
+
+    lo: int
+    hi: int
+    tokens: list[str]
+    style: str
+    emphasis: str
+    extra: tuple
+
+
+#: What the sides of a cut line look like; other small styles are cut into plain lines.
+SIDE_LOOK = {"mix": "mix", "underline": "mix"}
+NO_EXTRA = ("neutral", "none", False)
+
+
+def _whole(piece: Piece, starts, ends) -> bool:
+    """A line that stays as it is: a stack, too little to cut, or short enough in time and words."""
+    short = ends[piece.hi] - starts[piece.lo] <= LINE_MS and len(piece.tokens) <= STYLE_WORDS.get(piece.style, 5)
+    return short or piece.style == "stack" or len(piece.tokens) < 4 or piece.hi == piece.lo
+
+
+def _cut(piece: Piece, starts, ends) -> list[Piece]:
+    """Both sides: tokens by their number, words by the middle of their time; of a big style the side with more to say is set large."""
+    middle = len(piece.tokens) // 2
+    tokens = piece.tokens[:middle], piece.tokens[middle:]
+    center = (starts[piece.lo] + ends[piece.hi]) / 2
+    early = sum(starts[i] <= center for i in range(piece.lo + 1, piece.hi + 1))  # starts ascend
+    cut = min(piece.hi, piece.lo + max(1, early))
+    look = [SIDE_LOOK.get(piece.style, "plain")] * 2
+    if piece.style in BIG_STYLES:
+        left, right = (sum(norm(t) not in _FILLER for t in side) for side in tokens)
+        look = ["serif", "plain"] if left > right else ["plain", "serif"]
+    word = [piece.emphasis if carries(side, piece.emphasis) else "" for side in tokens]
+    look = ["plain" if k == "mix" and not w else k for k, w in zip(look, word)]
+    return [Piece(piece.lo, cut - 1, tokens[0], look[0], word[0], piece.extra), Piece(cut, piece.hi, tokens[1], look[1], word[1], NO_EXTRA)]
+
+
+def pieces(line: Piece, starts, ends):
+    """The line's pieces from left to right, each cut until it stays whole."""
+    todo = [line]
+    while todo:
+        piece = todo.pop()
+        if _whole(piece, starts, ends):
+            yield piece
+        else:
+            todo += reversed(_cut(piece, starts, ends))
 
 
 def split_long(lines: DataFrame) -> DataFrame:
@@ -242,110 +266,136 @@ def split_long(lines: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                n = len(r["starts"])
-                line = (0, n - 1, r["text"], r["style"], r["emphasis"], r["mood"], r["icon"], r["cta"])
-                for k, (lo, hi, text, style, emp, mood, icon, cta) in enumerate(_halves(line, r["starts"], r["ends"])):
-                    rows.append(
-                        (r["video_id"], r["line_id"], k, r["first"] + lo, r["first"] + hi, r["starts"][lo], r["ends"][hi],
-                         text, r["sub"] if style == "stack" else "", style, emp, mood, icon, cta)
-                    )
+                starts, ends = r["starts"], r["ends"]
+                line = Piece(0, len(starts) - 1, r["text"].split(), r["style"], r["emphasis"], (r["mood"], r["icon"], r["cta"]))
+                for k, p in enumerate(pieces(line, starts, ends)):
+                    text = r["text"] if p is line else " ".join(p.tokens)
+                    sub = r["sub"] if p.style == "stack" else ""
+                    place = (r["first"] + p.lo, r["first"] + p.hi, starts[p.lo], ends[p.hi])
+                    rows.append((r["video_id"], r["line_id"], k, *place, text, sub, p.style, p.emphasis, *p.extra))
             columns = list(zip(*rows)) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return lines.mapInArrow(run, schema)
 
 
-def _weaker(d):
-    """One step toward plain; d is [text, sub, style, emphasis]."""
-    text, sub, style, emphasis = d
-    n = len(text.split())
-    if style == "oval":
-        return [text, sub, "serif" if n <= STYLE_WORDS["serif"] else "mix", emphasis]
-    if style in ("tape", "quote", "chip", "bubble"):
-        return [text, sub, "serif", emphasis]
-    if style == "stack":
-        return [f"{text} {sub}".strip(), "", "mix", strongest(text.split())]
-    if style in ("serif", "underline"):
-        word = emphasis if carries(text.split(), emphasis) else strongest(text.split())
-        return [text, sub, "mix" if word else "plain", word]
-    return [text, sub, "plain", ""]
-
-
-def _design_step(state, row):
-    seen, big, terms, count = state
-    d = [row["text"], row["sub"], row["style"], row["emphasis"]]
-    t = row["start_ms"]
-    while d[2] != "plain" and len(d[0].split()) > STYLE_WORDS.get(d[2], 5):
-        d = _weaker(d)
-    if d[2] in ("mix", "underline") and not carries(d[0].split(), d[3]):
-        d[3] = ""
-        d[2] = "plain" if d[2] == "mix" else d[2]
-    if d[2] == "plain":
-        d[3] = ""
-    if row["hook"] and d[2] in ("plain", "mix") and len(d[0].split()) <= STYLE_WORDS["serif"]:
-        d[2], d[3] = "serif", ""
-    for _ in range(4):
-        gap = STYLE_GAP.get(d[2])
-        soon = gap is not None and t - seen.get(d[2], -99_000) < gap
-        clash = d[2] in BIG_STYLES and t - big < BIG_GAP and count > 0
-        if not (soon or clash):
-            break
-        d = _weaker(d)
-    if d[2] in ("oval", "underline", "tape"):
-        term = norm(d[3] or d[0])
-        if term in terms:
-            d = _weaker(d)
+# --- rungs: the forms of a line from its own style down to plain, as one array column -----------
+RUNG = "struct<style:string,emphasis:string,text:string,sub:string>"
+#: Styles that go down to serif; a stack becomes mix with both texts; serif and underline become mix with a key word.
+TO_SERIF = ["tape", "quote", "chip", "bubble"]
+DECORATED = ["oval", "underline", "tape"]
+
+
+def _rung(style, emphasis, text, sub) -> Column:
+    parts = [x if isinstance(x, Column) else F.lit(x) for x in (style, emphasis, text, sub)]
+    return F.struct(*[x.alias(n) for x, n in zip(parts, ("style", "emphasis", "text", "sub"))]).cast(RUNG)
+
+
+def rungs(style: Column, emphasis: Column, text: Column, sub: Column) -> Column:
+    """The line as it is, then one step weaker each time."""
+    toks = X.tokens(text)
+    strong = X.content_word(toks)
+    word = F.when(X.emphasis_ok(text, emphasis), emphasis).otherwise(strong)
+    both = F.trim(F.concat_ws(" ", text, sub))
+    no = F.array().cast(f"array<{RUNG}>")
+    own, plain = F.array(_rung(style, emphasis, text, sub)), F.array(_rung("plain", "", text, sub))
+    key = F.when(word != "", F.array(_rung("mix", word, text, sub))).otherwise(no)
+    serif = F.array(_rung("serif", emphasis, text, sub))
+    below = (
+        F.when(style.isin("serif", "underline"), F.concat(key, plain))
+        .when(style.isin(TO_SERIF) | ((style == "oval") & (F.size(toks) <= STYLE_WORDS["serif"])), F.concat(serif, key, plain))
+        .when(style == "oval", F.concat(F.array(_rung("mix", emphasis, text, sub)), plain))
+        .when(style == "stack", F.array(_rung("mix", strong, both, ""), _rung("plain", "", both, "")))
+        .when(style == "plain", no)
+        .otherwise(plain)
+    )
+    return F.concat(own, below)
+
+
+def _fitting(rung: Column) -> Column:
+    """Plain always fits; other styles have a limit of words."""
+    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in STYLE_WORDS.items() for x in kv])[rung["style"]], F.lit(5))
+    return (rung["style"] == "plain") | (X.token_count(rung["text"]) <= limit)
+
+
+def entry_rungs(lines: DataFrame) -> DataFrame:
+    """lines with `rungs`, from the strongest form that fits down; a hook line that is small and short starts as serif.
+
+    Emphasis that the text doesn't carry goes, and a mix line without any is plain.
+    """
+    c = F.col
+    first = F.filter(rungs(c("style"), c("emphasis"), c("text"), c("sub")), _fitting)[0]
+    d = lines.select(*[x for x in lines.columns if x not in ("style", "emphasis", "text", "sub")], first.alias("_r")).select("*", "_r.*").drop("_r")
+    bare = c("style").isin("mix", "underline") & ~X.emphasis_ok(c("text"), c("emphasis"))
+    d = d.withColumn("style", F.when(bare & (c("style") == "mix"), F.lit("plain")).otherwise(c("style")))
+    d = d.withColumn("emphasis", F.when(bare | (c("style") == "plain"), F.lit("")).otherwise(c("emphasis")))
+    lifted = c("hook") & c("style").isin("plain", "mix") & (X.token_count(c("text")) <= STYLE_WORDS["serif"])
+    d = d.withColumns({"emphasis": F.when(lifted, F.lit("")).otherwise(c("emphasis")), "style": F.when(lifted, F.lit("serif")).otherwise(c("style"))})
+    return d.withColumn("rungs", rungs(c("style"), c("emphasis"), c("text"), c("sub"))).drop("style", "emphasis", "text", "sub")
+
+
+def _rung_step(state, row):
+    """Takes the first form whose style, and whose size if big, is not too recent; a decorated term shows once per video."""
+    recent, terms = state
+    t, styles = row["start_ms"], row["styles"]
+
+    def watched(style):
+        gaps = {style: STYLE_GAP.get(style), "big": BIG_GAP if style in BIG_STYLES else None}
+        return [(what, gap) for what, gap in gaps.items() if gap is not None]
+
+    def free(style):
+        return all(what not in recent or t - recent[what] >= gap for what, gap in watched(style))
+
+    k = next((i for i, style in enumerate(styles) if free(style)), len(styles) - 1)
+    if styles[k] in DECORATED:
+        if row["terms"][k] in terms:
+            k = min(k + 1, len(styles) - 1)
         else:
-            terms[term] = 1
-    if d[2] in STYLE_GAP:
-        seen[d[2]] = t
-    if d[2] in BIG_STYLES:
-        big = t
-    return [seen, big, terms, count + 1], [(d[0], d[1], d[2], d[3])]
-
-
-def _flash_merge(a, b):
-    """One line of two neighbours, or None where they should stay apart; rows are [id, start, end, text, ...]."""
-    toks = a["text"].split() + b["text"].split()
-    opener = b["text"].split()[:1]
-    sentence = opener and opener[0][:1].isupper() and norm(opener[0]) != "i"
-    if a["text"].rstrip().endswith((",", ".", "?", "!")) or sentence or len(toks) > STYLE_WORDS["mix"]:
+            terms[row["terms"][k]] = 1
+    recent.update((what, t) for what, _ in watched(styles[k]))
+    return [recent, terms], [(k,)]
+
+
+def _join_look(a, b, tokens):
+    """Style and emphasis of two lines in one: those of the decorated one, as far as the joined words allow."""
+    owner = a if a["style"] != "plain" else b
+    if owner["style"] == "plain" or (owner["style"] == "serif" and len(tokens) <= STYLE_WORDS["serif"]):
+        return owner, owner["style"], ""
+    own = strongest(owner["text"].split()) if owner["style"] == "serif" else owner["emphasis"]
+    word = next((w for w in (own, strongest(tokens)) if carries(tokens, w)), "")
+    return owner, "mix" if word else "plain", word
+
+
+def _joined(a, b):
+    """One line of two neighbours, or None where a pause of sense or too many words keep them apart."""
+    left, right = a["text"].split(), b["text"].split()
+    pause = a["text"].rstrip()[-1:] in {",", ".", "?", "!"} or (right and right[0][0].isupper() and norm(right[0]) != "i")
+    if pause or len(left) + len(right) > STYLE_WORDS["mix"]:
         return None
-    keep = a if a["style"] != "plain" else b
-    style = keep["style"] if keep["style"] in ("plain", "mix", "serif") else "mix"
-    emphasis = keep["emphasis"] if style == "mix" else ""
-    if style == "serif" and len(toks) > STYLE_WORDS["serif"]:
-        style, emphasis = "mix", strongest(keep["text"].split())
-    if style == "mix" and not carries(toks, emphasis):
-        emphasis = strongest(toks)
-        style = "mix" if emphasis else "plain"
-    return {
-        **a, "last": b["last"], "end_ms": b["end_ms"], "text": " ".join(toks), "sub": "", "style": style, "emphasis": emphasis,
-        "mood": keep["mood"], "icon": keep["icon"], "cta": keep["cta"],
-    }
+    owner, style, emphasis = _join_look(a, b, left + right)
+    extra = {f: owner[f] for f in ("mood", "icon", "cta")}
+    return {**a, **extra, "last": b["last"], "end_ms": b["end_ms"], "text": " ".join(left + right), "sub": "", "style": style, "emphasis": emphasis}
 
 
 FLASH_FIELDS = ["ord", "first", "last", "start_ms", "end_ms", "text", "sub", "style", "emphasis", "mood", "icon", "cta"]
 
 
 def _flash_settle(held, at, final):
-    """Examine line `at` of the held ones as often as it changes; returns the next position."""
+    """Examine line `at` of the held ones as often as it changes; returns the next position.
+
+    A short line joins the next one, else the one before; stacks take no part.
+    """
     while at < len(held) and (final or at + 1 < len(held)):
-        d = held[at]
-        if d["end_ms"] - d["start_ms"] >= FLASH_MS or d["style"] == "stack":
-            at += 1
-            continue
-        merged = None
-        if at + 1 < len(held) and held[at + 1]["style"] != "stack":
-            merged = _flash_merge(d, held[at + 1])
-            if merged:
-                held[at : at + 2] = [merged]
-        if merged is None and at > 0 and held[at - 1]["style"] != "stack":
-            merged = _flash_merge(held[at - 1], d)
-            if merged:
-                held[at - 1 : at + 1] = [merged]
-                at -= 1
-        if merged is None:
+        here = held[at]
+        short = here["end_ms"] - here["start_ms"] < FLASH_MS and here["style"] != "stack"
+        for first in (at, at - 1) if short else ():
+            pair = held[max(first, 0) : first + 2]
+            one = _joined(*pair) if len(pair) == 2 and first >= 0 and all(x["style"] != "stack" for x in pair) else None
+            if one:
+                held[first : first + 2] = [one]
+                at = first
+                break
+        else:
             at += 1
     return at
 
@@ -390,28 +440,35 @@ def clean_drafts(drafts: DataFrame) -> DataFrame:
 
 
 def design_rules(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Split lines that cover their words (see split_long) with rarity rules, lifted runs and no flashes."""
-    split = split_long(lines).withColumn("line_id", F.col("line_id") * 64 + F.col("part"))
+    """Split lines that cover their words (see split_long) with rarity rules, lifted runs and no flashes.
+
+    Lines are numbered anew from 0 in each video.
+    """
+    split = split_long(lines)
+    parts = neighbours(split.groupBy("video_id", "line_id").agg(F.count("*").alias("_n")), VIDEO, "line_id", total_before={"_before": "_n"}, hot=hot)
+    split = split.join(parts.drop("_n"), ["video_id", "line_id"]).withColumn("line_id", F.col("_before") + F.col("part")).drop("_before", "part")
     hooks = G.hook_line(split)
-    marked = split.join(hooks, "video_id").withColumn("hook", F.col("line_id") == F.col("hook_line"))
+    ready = entry_rungs(split.join(hooks, "video_id").withColumn("hook", F.col("line_id") == F.col("hook_line")))
+    term = lambda r: F.when(r["style"].isin(DECORATED), X.norm(F.when(r["emphasis"] != "", r["emphasis"]).otherwise(r["text"])))
+    ready = ready.withColumn("styles", F.transform("rungs", lambda r: r["style"])).withColumn("terms", F.transform("rungs", term))
     keep = ["line_id", "first", "last", "start_ms", "end_ms", "mood", "icon", "cta"]
-    ruled = ordered_fold(
-        marked, VIDEO, ["line_id"], [{}, -99_000, {}, 0], _design_step, "text string, sub string, style string, emphasis string", carry=keep, hot=hot
-    )
+    chosen = ordered_fold(ready.select("video_id", "line_id", "start_ms", "styles", "terms"), VIDEO, ["line_id"], [{}, {}], _rung_step, "rung int", carry=["line_id"], hot=hot)
+    ruled = ready.join(chosen, ["video_id", "line_id"]).select("video_id", *keep, F.get("rungs", F.col("rung")).alias("_r")).select("video_id", *keep, "_r.text", "_r.sub", "_r.style", "_r.emphasis")
     return merge_flashes(G.lift_plain_runs(ruled, hot), hot)
 
 
 # --- model-made groups --------------------------------------------------------------------------
 
 def cover_groups(groups: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Model id groups (group_no 0, 1, 2, ..., hi) to contiguous ranges [lo, hi].
+    """Model id groups (in order of group_no, each up to word hi) to contiguous ranges [lo, hi].
 
     Every group starts right behind the one before and reaches at least one word:
-    hi_i = max(hi_i, hi_(i-1) + 1), a running maximum of hi_j - j.
+    hi_i = max(hi_i, hi_(i-1) + 1), a running maximum of hi_j - j over the groups' places j.
     """
-    near = neighbours(groups, VIDEO, "group_no", max_before={"_peak": F.col("hi") - F.col("group_no")}, hot=hot)
-    lo = F.greatest(F.lit(0), F.coalesce(F.col("_peak") + F.col("group_no"), F.lit(0)))
-    return near.withColumn("lo", lo).withColumn("hi", F.greatest("hi", "lo")).drop("_peak")
+    numbered = dense_ids(groups, VIDEO, "group_no", "_no", hot)
+    near = neighbours(numbered, VIDEO, "group_no", max_before={"_peak": F.col("hi") - F.col("_no")}, hot=hot)
+    lo = F.greatest(F.lit(0), F.coalesce(F.col("_peak") + F.col("_no"), F.lit(0)))
+    return near.withColumn("lo", lo).withColumn("hi", F.greatest("hi", "lo")).drop("_peak", "_no")
 
 
 def pack_texts(packs: DataFrame, hot: HotKeys | None = None) -> DataFrame:
