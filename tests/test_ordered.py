@@ -81,6 +81,33 @@ def test_flash_merge_does_not_depend_on_the_split(spark):
     assert rows(N.merge_flashes(lines, find_hot(w, ["video_id"]))) == rows(N.merge_flashes(lines, find_hot(w, ["video_id"], 50)))
 
 
+def test_groups_inside_large_videos_do_not_depend_on_the_split(spark):
+    w = words(spark).withColumns({"group_no": F.floor(F.col("word_id") / 40), "text": F.col("word"), "emphasis": F.lit(False)})
+    cold, hot = find_hot(w, ["video_id"]), find_hot(w, ["video_id"], 50)
+    keys = ["video_id", "group_no"]
+    caps = w.select("video_id", F.col("group_no").alias("caption_id"), F.lit("plain").alias("treatment")).distinct()
+    groups = w.groupBy(*keys).agg(F.max("word_id").alias("hi"), F.lit("a few words of text").alias("text"), F.lit("mix").alias("treatment")).filter("group_no < 3")
+    ranges = w.groupBy("video_id", F.col("group_no").alias("line_id")).agg((F.min("word_id") - 3).alias("first"), (F.max("word_id") + 5).alias("last"))
+    n_words = w.groupBy("video_id").agg(F.count("*").alias("n_words"))
+    plain = w.select("video_id", "segment_id", "word_id", "word", "start_ms", "end_ms")
+    for op in (
+        lambda h: S.time_slices(w, keys, h),
+        lambda h: N.packs_for(w, keys, h),
+        lambda h: N.explode_long(w.withColumnRenamed("group_no", "caption_id"), caps, h).drop("words"),
+        lambda h: N.group_captions(groups, plain, h),
+        lambda h: N.cover_groups(groups, h),
+        lambda h: S.cover_ranges(ranges, n_words, h),
+    ):
+        assert rows(op(cold)) == rows(op(hot))
+
+
+def test_sparse_ids_are_numbered_inside(spark):
+    caps = spark.createDataFrame([(1, 0, 0, 300, []), (1, 5, 1000, 1300, []), (1, 9, 1100, 1400, [])], "video_id bigint, caption_id bigint, start_ms bigint, end_ms bigint, words array<struct<text:string,start_ms:bigint,end_ms:bigint,emphasis:boolean>>")
+    assert [tuple(r)[1:4] for r in I.dedupe_overlaps(caps).orderBy("caption_id").collect()] == [(0, 0, 300), (5, 1000, 1300), (9, 1340, 1560)]
+    groups = spark.createDataFrame([(1, 2, 4), (1, 7, 3), (1, 20, 9)], "video_id bigint, group_no bigint, hi bigint")
+    assert [(r.lo, r.hi) for r in N.cover_groups(groups).orderBy("group_no").collect()] == [(0, 4), (5, 5), (6, 9)]
+
+
 def test_gap_modes_keep_their_promises(spark):
     rnd = random.Random(5)
     data = [(1, i, rnd.randrange(0, 120_000), rnd.randrange(4)) for i in range(200)]

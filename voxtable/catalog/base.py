@@ -59,10 +59,10 @@ def sql_pick(i: str, values=PHRASES) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Read a table; a file too small to split is spread over the cores, a large one is left as it is."""
+    """Read a table; one of fewer files than cores is spread over them, any other is left as it is."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 # --- lines of documents, for text operators ---------------------------------------------------

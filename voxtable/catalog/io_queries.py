@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from voxtable.operators import acoustics as A
 from voxtable.operators import gates as G
 from voxtable.plans import cues as C
 from voxtable.sources import files, model_json as MJ, sinks, transcripts as TR
+from voxtable.session import shared_folder
 from voxtable.streaming import live
 
 
@@ -225,13 +225,17 @@ def plans(spark, sf):
 
 query(
     "sink_edit_plan",
-    f"""WITH RECURSIVE {ACCENTS} SELECT c.video_id, c.n_captions, c.first_text, b.n_graphics, s.n_sfx, CASE WHEN c.video_id % 3 = 0 THEN 'warm_inspiring' ELSE {sql_pick('c.video_id', ['focused_tech', 'calm_reflective'])} END AS music_mood
-FROM (SELECT video_id, count(*) AS n_captions, arg_min(text, start_ms) AS first_text FROM caps GROUP BY ALL) c LEFT JOIN (SELECT video_id, count(*) AS n_graphics FROM caps WHERE caption_id % 4 = 0 GROUP BY ALL) b USING (video_id)
-LEFT JOIN (SELECT video_id, count(*) AS n_sfx FROM accents GROUP BY ALL) s USING (video_id)""",
+    f"""WITH RECURSIVE {ACCENTS} SELECT c.video_id, c.n_captions, c.texts, c.starts, b.n_graphics, b.cards, s.n_sfx, s.sounds,
+  CASE WHEN c.video_id % 3 = 0 THEN 'warm_inspiring' ELSE {sql_pick('c.video_id', ['focused_tech', 'calm_reflective'])} END AS music_mood
+FROM (SELECT video_id, count(*) AS n_captions, sha256(string_agg(text, chr(10) ORDER BY start_ms, end_ms, text)) AS texts, string_agg(start_ms, ',' ORDER BY start_ms, end_ms, text) AS starts FROM caps GROUP BY ALL) c
+LEFT JOIN (SELECT video_id, count(*) AS n_graphics, string_agg(start_ms, ',' ORDER BY start_ms) AS cards FROM caps WHERE caption_id % 4 = 0 GROUP BY ALL) b USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) AS n_sfx, string_agg(at_ms || kind, ',' ORDER BY at_ms, kind) AS sounds FROM accents GROUP BY ALL) s USING (video_id)""",
 )(
     lambda spark, sf: plans(spark, sf).select(
-        "video_id", F.size("captions").cast("bigint").alias("n_captions"), F.get("captions", F.lit(0))["text"].alias("first_text"),
-        F.size("graphics").cast("bigint").alias("n_graphics"), F.size("sfx").cast("bigint").alias("n_sfx"), "music_mood",
+        "video_id", F.size("captions").cast("bigint").alias("n_captions"), F.sha2(F.array_join(F.transform("captions", lambda c: c["text"]), "\n").cast("binary"), 256).alias("texts"),
+        F.array_join(F.transform("captions", lambda c: c["start_ms"].cast("string")), ",").alias("starts"), F.size("graphics").cast("bigint").alias("n_graphics"),
+        F.array_join(F.transform("graphics", lambda c: c["start_ms"].cast("string")), ",").alias("cards"), F.size("sfx").cast("bigint").alias("n_sfx"),
+        F.array_join(F.transform("sfx", lambda c: F.concat(c["at_ms"].cast("string"), c["kind"])), ",").alias("sounds"), "music_mood",
     )
 )
 query(
@@ -251,35 +255,45 @@ SELECT 'accepted' AS section, job_id, ordinal, title, kind, url FROM reviewed WH
 
 # --- streams --------------------------------------------------------------------------------------
 
-def scratch(spark) -> str:
-    """A new folder under the shared one the session names; machine-local only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/voxtable-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="voxtable-stream-")
-
-
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark, stream):
-    home = scratch(spark)
-    return live.drain(stream, f"{home}/out", f"{home}/state")
+def _landed(spark, stream, reduce):
+    home = f"{shared_folder(spark)}/voxtable-{uuid.uuid4().hex}"
+    return live.land(stream, reduce, f"{home}/out", f"{home}/state")
 
 
-query("stream_loudness")(
-    lambda spark, sf: _drained(
-        spark, live.loudness_stream(event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), "ts", (F.col("value") * F.col("value")).alias("sq")))
+STAMPED = "SELECT user_id % 100 AS video_id, event_id, value, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events"
+query(
+    "stream_loudness",
+    f"""WITH e AS ({STAMPED}) SELECT video_id, make_timestamp(us - us % 200000) AS ts, count(*) AS n,
+  CAST(round(20000 * log10(sqrt(sum(value * value) / count(*) + 1e-12) + 1e-9)) AS BIGINT) AS mdb FROM e GROUP BY 1, 2""",
+)(
+    lambda spark, sf: live.loudness(
+        _landed(spark, event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), "ts", (F.col("value") * F.col("value")).alias("sq")), live.hop_sums)
     )
 )
-query("stream_pause_sessions")(
-    lambda spark, sf: _drained(
-        spark, live.pause_sessions(event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), "ts", F.lit(300_000).alias("dur_ms")))
+query(
+    "stream_pause_sessions",
+    f"""WITH e AS ({STAMPED}), o AS (SELECT *, CASE WHEN us - max(us + 300000000) OVER (PARTITION BY video_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 450000 THEN 0 ELSE 1 END AS opens FROM e),
+r AS (SELECT video_id, us, sum(CASE WHEN first THEN opens ELSE 0 END) OVER (PARTITION BY video_id ORDER BY us) AS run FROM (SELECT *, row_number() OVER (PARTITION BY video_id, us) = 1 AS first FROM o))
+SELECT video_id, count(*) AS n_words, make_timestamp(min(us)) AS first_ts, make_timestamp(max(us)) AS last_ts FROM r GROUP BY video_id, run""",
+)(
+    lambda spark, sf: live.pause_sessions(
+        _landed(spark, event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), "ts", F.lit(300_000).cast("bigint").alias("dur_ms")), live.word_runs)
     )
 )
-query("stream_gap_gate")(
-    lambda spark, sf: _drained(
-        spark, live.gap_gate(event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), F.col("event_id").alias("caption_id"), "ts"), 600_000)
+query(
+    "stream_gap_gate",
+    f"""WITH RECURSIVE e AS (SELECT video_id, us // 1000 AS ms, min(event_id) AS caption_id, arg_min(us, event_id) AS us FROM ({STAMPED}) GROUP BY 1, 2),
+n AS (SELECT e.video_id, e.ms, min(f.ms) AS later FROM e JOIN e f ON e.video_id = f.video_id AND e.ms + 600000 <= f.ms GROUP BY 1, 2),
+p AS (SELECT video_id, min(ms) AS ms FROM e GROUP BY 1 UNION ALL SELECT n.video_id, n.later FROM p JOIN n ON p.video_id = n.video_id AND p.ms = n.ms)
+SELECT e.video_id, caption_id, make_timestamp(us) AS ts FROM p JOIN e ON p.video_id = e.video_id AND p.ms = e.ms""",
+)(
+    lambda spark, sf: live.gap_gate(
+        _landed(spark, event_stream(spark, sf).select((F.col("user_id") % 100).alias("video_id"), F.col("event_id").alias("caption_id"), "ts"), live.gate_rows), 600_000
     )
 )

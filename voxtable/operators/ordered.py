@@ -49,13 +49,11 @@ def neighbours(
     totals = {n: F.expr(c) if isinstance(c, str) else c for n, c in (total_before or {}).items()}
     maxima = {n: F.expr(c) if isinstance(c, str) else c for n, c in (max_before or {}).items()}
     spec = (list(keys), ordinal, lag or {}, lead or {}, totals, maxima)
-    if hot is None:
-        hot = find_hot(df, keys)
+    hot = _own_hot(df, keys, hot, HOT_ROWS)
     if hot.keys is None:
         return _key_windows(df, *spec)
-    large = hot.keys.select(*keys)
-    cold = _key_windows(df.join(large, list(keys), "left_anti"), *spec)
-    rows = cut_lineage(df.join(large, list(keys), "left_semi"))
+    cold = _key_windows(df.join(hot.keys, hot.keys.columns, "left_anti"), *spec)
+    rows = cut_lineage(df.join(hot.keys, hot.keys.columns, "left_semi"))
     return cold.unionByName(_block_windows(rows, *spec, block_rows))
 
 
@@ -208,17 +206,15 @@ def ordered_fold(
     whole = df.withColumns(
         {"_blk": F.lit(0), "_entry": F.lit(None).cast("string"), "_closes": F.lit(True)}
     )
-    if hot is None:
-        hot = find_hot(df, keys, block_rows)
+    hot = _own_hot(df, keys, hot, block_rows)
     if hot.keys is None:
         return _run(whole, keys, order, carry, step, start, finish, schema)
 
     n_rows, hot = hot.rows, hot.keys
-    hot = hot.select(*keys)
-    cold = _run(whole.join(hot, list(keys), "left_anti"), keys, order, carry, step, start, finish, schema)
+    cold = _run(whole.join(hot, hot.columns, "left_anti"), keys, order, carry, step, start, finish, schema)
     parts = max(2, -(-n_rows // block_rows))
     blocks = cut_lineage(
-        df.join(hot, list(keys), "left_semi")
+        df.join(hot, hot.columns, "left_semi")
         .repartitionByRange(parts, *keys, *order)
         .withColumn("_blk", F.spark_partition_id())
     )
@@ -262,6 +258,19 @@ class HotKeys(NamedTuple):
     rows: int
 
 
+def _own_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys | None, block_rows: int) -> HotKeys:
+    """Hot keys to go by: those given, on the columns that they share with keys, or else counted here.
+
+    A table keyed by video alone also serves rows keyed by (video, group): all rows
+    of a large video then take the split path, whichever group they are in.
+    """
+    shared = [k for k in keys if hot is not None and hot.keys is not None and k in hot.keys.columns]
+    if hot is None or (hot.keys is not None and not shared):
+        hot = find_hot(df, keys, block_rows)
+        shared = list(keys)
+    return hot if hot.keys is None else HotKeys(hot.keys.select(*shared).distinct(), hot.rows)
+
+
 def find_hot(df: DataFrame, keys: Sequence[str], block_rows: int = HOT_ROWS) -> HotKeys:
     """One counting job with map-side partial sums; only its totals reach the driver."""
     large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)

@@ -80,7 +80,7 @@ def card_rows(labelled: DataFrame, copy: DataFrame | None = None) -> DataFrame:
     )
     if copy is None:
         return rows.withColumn("kicker", F.upper("rule"))
-    words = F.broadcast(copy.select("rule", "term", F.col("title").alias("_title"), F.col("kicker").alias("_kick")))
+    words = copy.select("rule", "term", F.col("title").alias("_title"), F.col("kicker").alias("_kick"))
     return (
         rows.join(words, ["rule", "term"], "left")
         .withColumns({"title": F.coalesce("_title", "title"), "kicker": F.coalesce("_kick", F.upper("rule"))})

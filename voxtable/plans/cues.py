@@ -112,10 +112,10 @@ def plan_accents(caps: DataFrame, durations: DataFrame, style: str = "classic",
 def cue_clips(cues: DataFrame, library: DataFrame) -> DataFrame:
     """Cues with the clip of their kind; kinds without a clip are dropped, gain falls back to the clip's.
 
-    The library has one row per cue kind, a handful, so it is broadcast.
+    The library has one row per cue kind; Spark broadcasts it while it is small.
     """
     clips = library.select("kind", "file_name", "trim_ms", F.col("gain").alias("_clip_gain"))
-    return cues.join(F.broadcast(clips), "kind").withColumn("gain", F.coalesce(F.nullif("gain", F.lit(0.0)), "_clip_gain")).drop("_clip_gain")
+    return cues.join(clips, "kind").withColumn("gain", F.coalesce(F.nullif("gain", F.lit(0.0)), "_clip_gain")).drop("_clip_gain")
 
 
 # Keywords that suit a mood, the mood's own name first.

@@ -7,26 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.operators.ordered import top_per
 
 
-PART_MS = 3_600_000
-PART = ["video_id", "part_no"]
-
-
 def _children(rows: DataFrame, time: str, fields: list[str], alias: str) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct(F.col(time).alias("_o"), F.struct(*fields).alias("v"))))
-    parts = rows.withColumn("part_no", F.floor(F.col(time) / PART_MS))
-    return parts.groupBy(*PART).agg(F.transform(packed, lambda s: s["v"]).alias(alias))
+    return rows.groupBy("video_id").agg(F.transform(packed, lambda s: s["v"]).alias(alias))
 
 
 def edit_plans(captions: DataFrame, graphics: DataFrame, cues: DataFrame, moods: DataFrame) -> DataFrame:
-    """One nested document per video and hour of it, so that a document never holds more than an hour's rows."""
+    """One nested document per video, children in time order.
+
+    The format is one document per video, so a row is as large as its video's plan;
+    `plan_rows` is the same content for those who read it row by row.
+    """
     caps = _children(captions, "start_ms", ["start_ms", "end_ms", "text", "treatment"], "captions")
     cards = _children(graphics, "start_ms", ["start_ms", "end_ms", "kind"], "graphics")
     sounds = _children(cues, "at_ms", ["at_ms", "kind", "gain", "reason"], "sfx")
-    return caps.join(cards, PART, "full").join(sounds, PART, "full").join(moods, "video_id", "left").select(
-        *PART, "captions", "graphics", "sfx", F.coalesce("music_mood", F.lit("warm_inspiring")).alias("music_mood")
+    return caps.join(cards, "video_id", "full").join(sounds, "video_id", "full").join(moods, "video_id", "left").select(
+        "video_id", "captions", "graphics", "sfx", F.coalesce("music_mood", F.lit("warm_inspiring")).alias("music_mood")
     )
 
 
+def plan_rows(captions: DataFrame, graphics: DataFrame, cues: DataFrame) -> DataFrame:
+    """The children of all plans as rows (video_id, section, at_ms, child as JSON); no row or task holds a video."""
+    parts = [(captions, "captions", "start_ms", ["start_ms", "end_ms", "text", "treatment"]), (graphics, "graphics", "start_ms", ["start_ms", "end_ms", "kind"]), (cues, "sfx", "at_ms", ["at_ms", "kind", "gain", "reason"])]
+    rows = [df.select("video_id", F.lit(name).alias("section"), F.col(time).alias("at_ms"), F.to_json(F.struct(*fields)).alias("child")) for df, name, time, fields in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def write_edit_plans(plans: DataFrame, path: str, buckets: int = 256) -> None:
     """JSON lines in hash buckets, so that files stay few however many videos there are."""
     plans.withColumn("bucket", F.pmod(F.hash("video_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").json(path)
