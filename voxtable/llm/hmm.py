@@ -32,6 +32,9 @@ LANES = 2048
 #: The start of the training: at most so many pieces of a sample, so many rounds. Then full passes over all pieces.
 START_PIECES, START_ROUNDS, PASSES = 4000, 20, 2
 FLUSH_WORDS = 250_000
+ENCODED_ROWS = 1000
+#: Steps of the logarithm of a count, per doubling, by which the words with a symbol are cut off.
+CUT_STEPS = 64
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -89,16 +92,20 @@ class Symbols:
 
 def _encode(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     symbols, part, row = Symbols(shared.value), TaskContext.get().partitionId(), 0
-    tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    for batch in batches:
-        coded, tails = [], []
-        for t in batch.column(2):
-            ids, rest = symbols.encode(t.as_py())
-            coded.append(ids.tobytes())
-            tails.append([{"word": w, "n": n} for w, n in rest.items()])
-        keys = [(part << 33) + row + i for i in range(batch.num_rows)]
-        row += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1), pa.array(coded, pa.binary()), pa.array(tails, tail_kind)], ["key", "doc_id", "held_out", "symbols", "rest"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ENCODED_ROWS):
+            batch = whole.slice(at, ENCODED_ROWS)
+            coded, words, counts, ends = [], [], [], [0]
+            for t in batch.column(2):
+                ids, rest = symbols.encode(t.as_py())
+                coded.append(ids.tobytes())
+                words += rest.keys()
+                counts += rest.values()
+                ends.append(len(words))
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+            keys = pa.array([(part << 33) + row + i for i in range(batch.num_rows)], pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)], ["key", "doc_id", "held_out", "symbols", "rest"])
 
 
 class Model:
@@ -277,23 +284,26 @@ def score_corpus(docs: DataFrame, text: str = "text", states: int = STATES) -> D
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("docs")).first()
     n, v, n_docs = (totals[k] or 0 for k in ("n", "v", "docs"))
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    named = counts.filter((F.length("word") > 0) & (F.length("word") <= OWN_BYTES)).orderBy(F.desc("c"), "word").limit(OWN_WORDS).collect()
-    own = [bytes(r["word"]) for r in named]
+    level = F.floor(F.log2("c") * CUT_STEPS)
+    may = (F.length("word") > 0) & (F.length("word") <= OWN_BYTES)
+    levels = sorted(((r["level"], r["n"]) for r in counts.filter(may).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    # the lowest level down to which all words have a symbol; a level is a row, and there are CUT_STEPS per doubling
+    enough = np.cumsum([k for _, k in levels]) <= OWN_WORDS
+    least = levels[int(enough.sum()) - 1][0] if enough.any() else np.inf
+    named = counts.filter(may & (level >= float(least))).toArrow()  # OWN_WORDS rows at most
+    pairs = sorted(zip(named.column("word").to_pylist(), named.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
+    own, own_counts = [w for w, _ in pairs], np.array([c for _, c in pairs], np.float64)
     encoded = stored(rows.mapInArrow(partial(_encode, spark.sparkContext.broadcast(own)), "key long, doc_id long, held_out boolean, symbols binary, rest array<struct<word:binary,n:long>>"), "symbols")
-    least = named[-1] if named else None
-    tail = counts.filter(F.length("word") > 0)
-    if least is not None:  # what the order above puts behind the last named word, or is too long for one
-        after = (F.length("word") > OWN_BYTES) | (F.col("c") < least["c"]) | ((F.col("c") == least["c"]) & (F.col("word") > F.lit(bytearray(least["word"]))))
-        tail = tail.filter(after)
+    tail = counts.filter(((F.length("word") > OWN_BYTES) | (level < float(least))) & (F.length("word") > 0))
     by_class = {r["k"]: (r["n"], r["v"]) for r in tail.groupBy(class_column().alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     sums = np.array([by_class.get(k, (0, 0)) for k in range(CLASSES)], np.float64)
 
-    mass = np.concatenate([[r["c"] for r in named], sums[:, 0], [n_docs]]) + 0.5
+    mass = np.concatenate([own_counts, sums[:, 0], [n_docs]]) + 0.5
     frequency = mass / mass.sum()
     model = train(encoded.filter(~F.col("held_out")).select("key", "symbols"), frequency, n_docs, states)
 
     base = np.full(len(mass), -np.inf)
-    base[: len(own)] = np.log10(np.array([r["c"] for r in named], np.float64) + 0.5) - norm
+    base[: len(own)] = np.log10(own_counts + 0.5) - norm
     if n_docs:
         base[-1] = np.log10(n_docs + 0.5) - norm
     shared = spark.sparkContext.broadcast(((model.start, model.move, model.emit), base, len(own)))
