@@ -69,9 +69,11 @@ def fix_asr(c: Column, fixes=rules.ASR_FIXES) -> Column:
 
 
 def stabilize(c: Column) -> Column:
-    lines = F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n")
-    clean = F.transform(lines, lambda s: strip(squish(fix_asr(s)), " ,.;:"))
-    return F.rtrim(F.array_join(clean, "\n"), F.lit("\n"))
+    """Corrected, squished and stripped line by line; a text of one line stays out of the lambda and in generated code."""
+    text = F.replace(F.coalesce(c, F.lit("")), F.lit("\\n"), F.lit("\n"))
+    tidy = lambda s: strip(squish(fix_asr(s)), " ,.;:")
+    many = F.rtrim(F.array_join(F.transform(F.split(text, "\n"), tidy), "\n"), F.lit("\n"))
+    return F.when(text.contains("\n"), many).otherwise(tidy(text))
 
 
 def known_terms(c: Column, names=rules.KNOWN_TERMS) -> Column:

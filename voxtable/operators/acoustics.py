@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtable.functions.text import let
-from voxtable.operators.ordered import HotKeys
 from voxtable.operators.gates import select_with_gap
+from voxtable.operators.ordered import HotKeys
+from voxtable.session import cut_lineage
 
 VIDEO = ["video_id"]
 HOP_MS = 200
@@ -120,7 +121,11 @@ def emphasis_threshold(levels: DataFrame) -> DataFrame:
 
 
 def vocal_emphasis(levels: DataFrame, line_id: str, hot: HotKeys | None = None, gap_ms: int = 5000, share: float = 0.18) -> DataFrame:
-    """Lines whose voice is louder than the speaker's own level: loudest first, spaced, budgeted."""
+    """Lines whose voice is louder than the speaker's own level: loudest first, spaced, budgeted.
+
+    Levels are read for the threshold and for the rows above it, so they are stored once.
+    """
+    levels = cut_lineage(levels.select("video_id", line_id, "start_ms", "mdb"))
     eligible = levels.join(emphasis_threshold(levels), "video_id").filter(F.col("mdb") >= F.col("threshold"))
     budget = F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("int"))
     return select_with_gap(

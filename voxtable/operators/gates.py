@@ -13,7 +13,20 @@ from voxtable.operators.ordered import HotKeys, dense_ids, first_per, ordered_fo
 VIDEO = ["video_id"]
 
 
+def _spaced(gap):
+    """State: the time of the last pick alone, so that blocks of a hot key agree after a few picks."""
+
+    def step(state, row):
+        if state and row["_t"] - state[0] < gap:
+            return state, []
+        return [row["_t"]], [(row["_id"],)]
+
+    return step
+
+
 def _signed(gap):
+    """As above with a budget: the picks are counted too."""
+
     def step(state, row):
         last, picked = state
         if (row["_cap"] is not None and picked >= row["_cap"]) or (last is not None and row["_t"] - last < gap):
@@ -64,7 +77,10 @@ def select_with_gap(
         (F.col(budget).cast("bigint") if budget else F.lit(None).cast("bigint")).alias("_cap"),
         *[c.alias(n) for n, c in ranks.items()],
     )
-    step, init = (_signed(gap_ms), [None, 0]) if mode == "signed" else (_all_round(gap_ms), [])
+    if mode == "signed":
+        step, init = (_signed(gap_ms), [None, 0]) if budget else (_spaced(gap_ms), [])
+    else:
+        step, init = _all_round(gap_ms), []
     picked = ordered_fold(scanned, keys, [*ranks, "_t", "_id"], init, step, "_id bigint", hot=hot)
     return picked.withColumnRenamed("_id", ident)
 

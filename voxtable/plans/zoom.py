@@ -27,16 +27,15 @@ def fitted(motion: Column, room: Column) -> dict[str, Column]:
 
 
 def _step(state, row):
-    last, n = state
-    if row["why"] is not None:
-        return state, [(None, "skip", row["why"])]
+    """State: where the last applied move ends, and whether there is one."""
+    last, moved = state
     gap = row["at_ms"] - last
     distance = max(0, gap)
-    if n and gap < GAP and not row["close_ok"]:
+    if moved and gap < GAP and not row["close_ok"]:
         return state, [(distance, "skip", f"too soon after previous zoom ({gap / 1000:.2f}s)")]
-    if n and gap < -20:
+    if moved and gap < -20:
         return state, [(distance, "skip", "overlaps previous ease-out")]
-    return [row["until_ms"], n + 1], [(distance, "apply", "planned")]
+    return [row["until_ms"], True], [(distance, "apply", "planned")]
 
 
 def plan_zoom(
@@ -79,15 +78,13 @@ def plan_zoom(
         "video_id", "sentence_id", "role", "final_score", "start_ms", "at_ms", "until_ms", "in_ms", "held_ms", "out_ms", "target_scale",
         "close_ok", "why", style.alias("style"),
     )
-    decided = ordered_fold(
-        moves,
-        ["video_id"],
-        ["start_ms", "sentence_id"],
-        [-10_000, 0],
-        _step,
-        "distance_ms bigint, action string, reason string",
-        carry=moves.columns[1:],
-        hot=hot,
+    # Only moves that could be made take part in the scan, with the columns that it looks at.
+    open_moves = moves.filter("why IS NULL").select("video_id", "sentence_id", "start_ms", "at_ms", "until_ms", "close_ok")
+    spaced = ordered_fold(
+        open_moves, ["video_id"], ["start_ms", "sentence_id"], [-10_000, False], _step, "distance_ms bigint, action string, reason string", carry=["sentence_id"], hot=hot
+    )
+    decided = moves.join(spaced, ["video_id", "sentence_id"], "left").withColumns(
+        {"action": F.coalesce("action", F.lit("skip")), "reason": F.coalesce("reason", "why")}
     )
     applied = F.col("action") == "apply"
     return decided.select(
