@@ -9,7 +9,7 @@ bit); it never stops a row of a group. Groups are formed on the exact keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtable.llm.common import stored
 
@@ -69,22 +69,29 @@ def exact_groups(docs: DataFrame, text: str = "text", sha: bool = False) -> Data
     return out if sha else out.drop("text_sha256")
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, one for each id, null included; all of docs' columns and no other."""
-    from pyspark.sql import Window
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of docs whose id is kept in decisions (doc_id, kept; a row per row of docs), one for each id, null included.
 
-    own = [c for c in docs.columns]
+    All of docs' columns and no other. Rows whose id is surely neither dropped nor
+    repeated, by a bit set, stay where they are; only the others meet the exact
+    decisions in a shuffle.
+    """
+    own = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(own))])
     key = F.col(f"c{own.index('doc_id')}")
-    counted = stored(ids.groupBy("doc_id").agg(F.count("*").alias("rows")), "keep-ids").select(F.col("doc_id").alias("__id"), "rows")
-    found = inner.join(counted, key.eqNullSafe(F.col("__id"))).drop("__id")
-    once = found.filter("rows = 1").drop("rows")
-    if not counted.filter("rows > 1").isEmpty():
+    by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("__keep"), F.count("*").alias("__rows"))
+    special = stored(by_id.filter("NOT __keep OR __rows > 1").withColumnRenamed("doc_id", "__id"), "special-ids")
+    marked = _maybe(inner, _bit_set(special, F.col("__id")), key)
+    sure = marked.filter("NOT maybe").drop("maybe")
+    met = marked.filter("maybe").drop("maybe").join(special.hint("merge"), key.eqNullSafe(F.col("__id")), "left")
+    kept = sure.unionByName(met.filter("__keep IS NULL OR (__keep AND __rows = 1)").select(*inner.columns))
+    if not special.filter("__keep AND __rows > 1").isEmpty():  # of an id's rows, the first by all columns; pruned in front of the shuffle
         w = Window.partitionBy(key).orderBy(*[F.col(c).cast("string") for c in inner.columns])
-        once = once.unionByName(found.filter("rows > 1").withColumn("rows", F.row_number().over(w)).filter("rows = 1").drop("rows"))
-    return once.toDF(*own)
+        first = met.filter("__keep AND __rows > 1").withColumn("__nth", F.row_number().over(w)).filter("__nth = 1")
+        kept = kept.unionByName(first.select(*inner.columns))
+    return kept.toDF(*own)
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that repeat an earlier document's text, columns unchanged."""
-    return keep_rows(docs, exact_groups(docs, text).filter("kept").select("doc_id"))
+    return keep_rows(docs, exact_groups(docs, text))

@@ -103,4 +103,4 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS,
 def drop_near_copies(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; columns unchanged."""
     groups = near_groups(docs, text, size, radius)
-    return keep_rows(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    return keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

@@ -144,7 +144,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = {w for w in WORD.findall(folded(t.as_py().decode(errors="replace"))) if len(w) <= TERM_CHARS}
             counts[label].update({w[:k] for w in words for k in range(low, min(high, len(w)) + 1)})
             counts[label].update(w + " " for w in words)
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield out()
     yield out()
 
