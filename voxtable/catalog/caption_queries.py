@@ -448,13 +448,12 @@ def raw_beats(spark, sf):
     i = F.col("caption_id")
     return (
         caps(spark, sf)
-        .filter(i % 4 == 0)
         .join(durations(spark, sf), "video_id")
         .select("video_id", i.alias("beat_id"), "start_ms", (F.col("start_ms") + 2000 + i % 9 * 1000).alias("end_ms"), (0.5 + (i % 5) / 10).alias("confidence"), "duration_ms")
     )
 
 
-BEATS = f"{CAPS}, beats AS (SELECT video_id, caption_id AS beat_id, start_ms, start_ms + 2000 + caption_id % 9 * 1000 AS end_ms, 0.5 + (caption_id % 5) / 10 AS confidence, duration_ms FROM caps JOIN durations USING (video_id) WHERE caption_id % 4 = 0)"
+BEATS = f"{CAPS}, beats AS (SELECT video_id, caption_id AS beat_id, start_ms, start_ms + 2000 + caption_id % 9 * 1000 AS end_ms, 0.5 + (caption_id % 5) / 10 AS confidence, duration_ms FROM caps JOIN durations USING (video_id))"
 
 
 def s_no_overlap(src, name, gap, shortest, longest):
@@ -592,7 +591,7 @@ def copy_table(spark):
 
 _fig = "nullif(trim(regexp_extract(t, '(?i)(?:^|[^\\p{L}\\p{N}_])([0-9]+(?:\\.[0-9]+)?(?:\\s*(?:x|k|million)(?:$|[^\\p{L}\\p{N}_])|\\s*%[\\p{L}\\p{N}_]|(?:$|[^\\p{L}\\p{N}_])))', 1)), '')"
 CARDS = f"""{LABELS}, {DUR}, k0 AS (SELECT *, {sql_fix_asr('text')} AS t FROM labelled),
-k1 AS (SELECT *, list_transform({sql_terms('t')}, lambda x: string_split(x, '=')[1]) AS names, {_fig} IS NOT NULL AS fig, {sql_matches('t', rules.PROCESS)} AS steps, contains(lower(t), 'cost') AS cost,
+k1 AS (SELECT *, list_transform({sql_terms('t')}, lambda x: string_split(x, '=')[1]) AS names, {_fig} IS NOT NULL AS fig, CASE WHEN regexp_matches({_fig}, '%.$') THEN regexp_replace({_fig}, '.$', '') ELSE regexp_replace({_fig}, '[^0-9A-Za-z]+$', '') END AS figure, {sql_matches('t', rules.PROCESS)} AS steps, contains(lower(t), 'cost') AS cost,
   role IN ('contrast', 'contradiction') OR {sql_matches('t', rules.COMPARISON)} AS vs FROM k0),
 k2 AS (SELECT *, list_contains(names, 'RAG') AS rag, list_contains(names, 'Fine-tuning') AS ft, len(names) > 0 AS told FROM k1),
 k3 AS (SELECT *, CASE WHEN role IN ('cta', 'generic') AND NOT told THEN NULL WHEN vs OR (rag AND ft) THEN 'compare' WHEN role = 'important_number' AND fig THEN 'figure' WHEN list_contains(names, 'LoRA') OR list_contains(names, 'PEFT') THEN 'adapters'
@@ -600,9 +599,9 @@ k3 AS (SELECT *, CASE WHEN role IN ('cta', 'generic') AND NOT told THEN NULL WHE
 cards0 AS (SELECT video_id, sentence_id AS beat_id, start_ms, least(greatest(end_ms, start_ms + 4200), start_ms + 7400) AS end_ms, rule,
   CASE rule WHEN 'compare' THEN 'vs_split' WHEN 'figure' THEN 'stat' WHEN 'retrieval_steps' THEN 'process' WHEN 'tuning_steps' THEN 'process' ELSE 'bullets' END AS kind, CASE rule WHEN 'figure' THEN 'scale_in' ELSE 'slide_up' END AS motion,
   CASE rule WHEN 'compare' THEN 0.86 WHEN 'retrieval_steps' THEN 0.82 WHEN 'concept' THEN 0.74 WHEN 'take' THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence,
-  CASE WHEN rule = 'concept' THEN names[1] ELSE '' END AS term, names[1] AS name1, t FROM k3 WHERE rule IS NOT NULL),
+  CASE WHEN rule = 'concept' THEN names[1] ELSE '' END AS term, names[1] AS name1, t, figure FROM k3 WHERE rule IS NOT NULL),
 copy AS (SELECT * FROM (VALUES {', '.join(f"({lit(a)}, {lit(b)}, {lit(c)}, {lit(d)})" for a, b, c, d in _copy)}) t(rule, term, ctitle, ckick)),
-cards AS MATERIALIZED (SELECT c.* EXCLUDE (t, name1), COALESCE(ctitle, CASE WHEN rule = 'figure' THEN NULL WHEN rule = 'take' THEN CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END ELSE COALESCE(name1, rule) END) AS title,
+cards AS MATERIALIZED (SELECT c.* EXCLUDE (t, name1, figure), COALESCE(ctitle, CASE WHEN rule = 'figure' THEN figure WHEN rule = 'take' THEN CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END WHEN rule = 'concept' THEN name1 ELSE rule END) AS title,
   COALESCE(ckick, upper(rule)) AS kicker FROM cards0 c LEFT JOIN copy USING (rule, term))"""
 _card_cols = ["video_id", "beat_id", "start_ms", "end_ms", "rule", "kind", "motion", "confidence", "term", "kicker", "title"]
 
@@ -612,10 +611,10 @@ def card_rows(spark, sf):
 
 
 query("lab_beat_rules", f"WITH RECURSIVE {CARDS} SELECT {', '.join(_card_cols)} FROM cards")(
-    lambda spark, sf: card_rows(spark, sf).withColumn("title", F.when(F.col("rule") != "figure", F.col("title"))).select(*_card_cols)
+    lambda spark, sf: card_rows(spark, sf).select(*_card_cols)
 )
 PLANNED = f"""{CARDS}, {s_no_overlap('cards', 'pl', 140, 2604, 7400)},
-pt AS MATERIALIZED (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, COALESCE(c.title, 'figure') AS title, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
+pt AS MATERIALIZED (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, c.title AS title, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
 dw AS (SELECT DISTINCT video_id, 0::BIGINT AS k, '' AS title, -99000::BIGINT AS last, NULL::BIGINT AS beat_id FROM pt
  UNION ALL SELECT b.video_id, b.k, CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.title ELSE b.title END,
   CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.last ELSE b.start_ms END,

@@ -64,7 +64,7 @@ query(
     f"""WITH RECURSIVE {ZOOM}, b AS (SELECT video_id, sentence_id AS zoom_no, start_ms, end_ms, CASE WHEN sentence_id % 3 = 0 THEN span_end_ms + 9000 ELSE span_end_ms END AS se, CASE WHEN sentence_id % 7 = 0 THEN 1.4 ELSE target_scale END AS sc, duration_ms * 3 // 4 AS dur
   FROM zoomed JOIN durations USING (video_id) WHERE action = 'apply'),
 n AS (SELECT *, max(se) OVER (PARTITION BY video_id ORDER BY zoom_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
-{__import__('voxtable.catalog.caption_queries', fromlist=['sql_caps']).sql_caps()}, beats AS (SELECT video_id, caption_id AS beat_id, start_ms, start_ms + 2000 + caption_id % 9 * 1000 AS end_ms, duration_ms * 3 // 4 AS dur FROM caps JOIN durations USING (video_id) WHERE caption_id % 4 = 0),
+{__import__('voxtable.catalog.caption_queries', fromlist=['sql_caps']).sql_caps()}, beats AS (SELECT video_id, caption_id AS beat_id, start_ms, start_ms + 2000 + caption_id % 9 * 1000 AS end_ms, duration_ms * 3 // 4 AS dur FROM caps JOIN durations USING (video_id)),
 m AS (SELECT *, lag(end_ms) OVER (PARTITION BY video_id ORDER BY beat_id) AS p FROM beats)
 SELECT 'zoom' AS entity, video_id, zoom_no AS idx, rule FROM ({s_rules('n', ['video_id', 'zoom_no'], {'past the video': 'end_ms > dur + 80', 'scale too large': 'sc > 1.35', 'overlaps previous': 'start_ms < COALESCE(reach, -1000) - 50'})})
 UNION ALL SELECT 'card', video_id, beat_id, rule FROM ({s_rules('m', ['video_id', 'beat_id'], {'past the video': 'end_ms > dur + 120', 'overlaps previous': 'start_ms < COALESCE(p, -1000) - 20'})})""",

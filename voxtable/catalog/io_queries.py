@@ -228,7 +228,7 @@ query(
     f"""WITH RECURSIVE {ACCENTS} SELECT c.video_id, c.n_captions, c.texts, c.starts, b.n_graphics, b.cards, s.n_sfx, s.sounds,
   CASE WHEN c.video_id % 3 = 0 THEN 'warm_inspiring' ELSE {sql_pick('c.video_id', ['focused_tech', 'calm_reflective'])} END AS music_mood
 FROM (SELECT video_id, count(*) AS n_captions, sha256(string_agg(text, chr(10) ORDER BY start_ms, end_ms, text)) AS texts, string_agg(start_ms, ',' ORDER BY start_ms, end_ms, text) AS starts FROM caps GROUP BY ALL) c
-LEFT JOIN (SELECT video_id, count(*) AS n_graphics, string_agg(start_ms, ',' ORDER BY start_ms) AS cards FROM caps WHERE caption_id % 4 = 0 GROUP BY ALL) b USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) AS n_graphics, string_agg(start_ms, ',' ORDER BY start_ms) AS cards FROM caps GROUP BY ALL) b USING (video_id)
 LEFT JOIN (SELECT video_id, count(*) AS n_sfx, string_agg(at_ms || kind, ',' ORDER BY at_ms, kind) AS sounds FROM accents GROUP BY ALL) s USING (video_id)""",
 )(
     lambda spark, sf: plans(spark, sf).select(

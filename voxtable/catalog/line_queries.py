@@ -124,16 +124,16 @@ SELECT video_id, grp, caption_id, fl + CASE WHEN p <= lft THEN 1 ELSE 0 END AS s
 
 def model_groups(spark, sf):
     i = F.col("line_id")
-    return lines(spark, sf).filter(i % 7 != 6).select(
-        "video_id", (i - F.floor(i / 7)).alias("group_no"), (i * 4 + i % 6).alias("hi"),
+    return lines(spark, sf).select(
+        "video_id", (i * 2 + i % 2).alias("group_no"), (i * 4 + i % 6).alias("hi"),
         F.when(i % 3 == 0, F.lit(None)).otherwise(F.col("text")).alias("text"), F.col("style").alias("treatment"),
     )
 
 
 query(
     "seg_id_ranges",
-    f"""WITH RECURSIVE {LINES}, g AS MATERIALIZED (SELECT video_id, line_id - line_id // 7 AS group_no, line_id * 4 + line_id % 6 AS hi FROM lines WHERE line_id % 7 <> 6),
-w AS (SELECT video_id, group_no, 0::BIGINT AS lo, hi FROM g WHERE group_no = 0 UNION ALL SELECT g.video_id, g.group_no, w.hi + 1, greatest(g.hi, w.hi + 1) FROM w JOIN g ON g.video_id = w.video_id AND g.group_no = w.group_no + 1) SELECT * FROM w""",
+    f"""WITH RECURSIVE {LINES}, g AS MATERIALIZED (SELECT video_id, line_id, line_id * 2 + line_id % 2 AS group_no, line_id * 4 + line_id % 6 AS hi FROM lines),
+w AS (SELECT video_id, line_id, group_no, 0::BIGINT AS lo, hi FROM g WHERE line_id = 0 UNION ALL SELECT g.video_id, g.line_id, g.group_no, w.hi + 1, greatest(g.hi, w.hi + 1) FROM w JOIN g ON g.video_id = w.video_id AND g.line_id = w.line_id + 1) SELECT video_id, group_no, lo, hi FROM w""",
 )(lambda spark, sf: N.cover_groups(model_groups(spark, sf), hot_videos(spark, sf)).select("video_id", "group_no", "lo", "hi"))
 query("seg_ids_to_captions")(lambda spark, sf: N.group_captions(model_groups(spark, sf), words(spark, sf), hot_videos(spark, sf)))
 

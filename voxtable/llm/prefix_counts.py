@@ -9,6 +9,7 @@ code point, and answer truncation and budget questions without encoding again.
 
 from __future__ import annotations
 
+import array
 import json
 import re
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from functools import lru_cache, partial
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from voxtable.llm.common import over_batches, stored, text_column
@@ -32,8 +34,14 @@ CUT = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
 #: Endings that the pattern cuts off as pieces of their own (fixed values).
 CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
+#: White space beyond ASCII in UTF-8 (fixed values); the general punctuation block needs a closer look.
+WIDE_BLANKS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+WIDE_BLANK = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+ASCII_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Texts of about so many bytes are taken together; units kept, and the longest kept.
+GROUP_BYTES, KNOWN_UNITS, MOST_CHARS = 1 << 23, 1_000_000, 64
 CHUNK_CHARS = 1 << 20
-CACHED_UNITS = 350_000
+CACHED_UNITS, CACHED_CORES = 50_000, 300_000
 CACHED_PAIRS = 400_000
 NEVER = 1 << 30
 
@@ -54,6 +62,7 @@ class PrefixCounter:
         spec = json.loads(open(path, encoding="utf-8").read())
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_bytes = [t.encode() for t in self.special]
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         letters = byte_letters()
         raw = [bytes([b]) for b in range(256)]
@@ -77,7 +86,10 @@ class PrefixCounter:
                 self.number.pop(raw[n], None)
         self.tails = {t[i:]: -1 for t in self.number for i in range(1, len(t))} | self.number  # all ends of entries; -1: no entry itself
         self.units: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.known = pa.array([b""], pa.binary())  # units of texts with ASCII white space only, and their differences
+        self.flat, self.sizes = np.zeros(0, "<i2"), np.zeros(1, np.int64)
 
     def _first_crossing(self, a: int, b: int) -> tuple[int, int] | None:
         """Which part of a merges with which part of b first, when a's bytes stand before b's; None if none does."""
@@ -132,10 +144,12 @@ class PrefixCounter:
     def _unit(self, unit: str) -> bytes:
         """Count differences of a unit's prefixes, 16 bits each."""
         if m := PLAIN.fullmatch(unit):
-            if m[2]:
-                counts = self.units.get(m[1]) or self.old.get(m[1])
-                return (counts or self._unit(m[1])) + b"\1\0"
-            counts = self.piece(unit)
+            if (known := self.cores.get(m[1])) is None:
+                if len(self.cores) >= CACHED_CORES:
+                    self.cores.clear()
+                counts = self.piece(m[1])
+                known = self.cores[m[1]] = array.array("h", map(int.__sub__, counts, [0, *counts])).tobytes()
+            return known + b"\1\0" if m[2] else known
         else:
             blanks = len(unit) - len(unit.lstrip("\t\n\x0b\x0c\r \x85\xa0                　"))
             counts = self.piece(unit[:blanks]) if blanks else []
@@ -181,15 +195,66 @@ class PrefixCounter:
         return np.concatenate([*out, np.frombuffer(b"".join(self._plain(text[start:])), "<i2")])
 
 
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Differences of texts without special strings, whose only white space is ASCII: Arrow finds the different units."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.cumsum([0, *map(len, texts)])
+        blank = ASCII_BLANK[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[bounds] = True
+        offsets = np.flatnonzero(cut)
+        units = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+        different = pc.dictionary_encode(units)
+        words = different.dictionary
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        missing = words.filter(pa.array(place < 0))
+        if len(missing):
+            place[place < 0] = len(self.known) + np.arange(len(missing))
+            more = [np.frombuffer(self._unit(w.decode(errors="replace")), "<i2") for w in missing.to_pylist()]
+            self.known = pa.concat_arrays([self.known, missing])
+            self.flat, self.sizes = np.concatenate([self.flat, *more]), np.concatenate([self.sizes, [len(m) for m in more]])
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place]
+        of = different.indices.to_numpy()
+        ends = np.cumsum(sizes[of])
+        shift = (starts[of] - (ends - sizes[of])).astype(np.int32)  # a group's places fit 32 bits
+        out = self.flat[np.repeat(shift, sizes[of]) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
+        stops = np.concatenate([[0], ends])[np.searchsorted(offsets, bounds)]
+        if len(self.known) > KNOWN_UNITS or len(self.flat) > 16 * KNOWN_UNITS:  # begin anew with the units just met
+            short = np.flatnonzero(sizes <= MOST_CHARS)
+            take = np.repeat(starts[short] - (np.cumsum(sizes[short]) - sizes[short]), sizes[short]) + np.arange(int(sizes[short].sum()))
+            self.known, self.flat, self.sizes = words.take(pa.array(short)), self.flat[take], sizes[short]
+        return np.split(out, stops[1:-1])
+
+    def all_differences(self, texts: list[bytes]) -> list[np.ndarray]:
+        """As differences() of each text; texts of the common kind are taken together."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        group: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special_bytes) or any(s in text for s in WIDE_BLANKS) or (b"\xe2\x80" in text and WIDE_BLANK.search(text)):
+                out[i] = self.differences(text.decode(errors="replace"))
+                continue
+            group.append(i)
+            held += len(text)
+            if held >= GROUP_BYTES:
+                for k, found in zip(group, self._together([texts[k] for k in group])):
+                    out[k] = found
+                group, held = [], 0
+        if group:
+            for k, found in zip(group, self._together([texts[k] for k in group])):
+                out[k] = found
+        return out
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
 def _counted(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
-    find = counter(path).differences
-    texts = [t.as_py() for t in batch.column(1)]
-    diffs = [find(t.decode(errors="replace")) for t in texts]
+    texts = batch.column(1).to_pylist()
+    diffs = counter(path).all_differences(texts)
     total = [int(d.sum(dtype=np.int64)) for d in diffs]
     arrays = [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(total, pa.int64()), pa.array([d.tobytes() for d in diffs], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "differences"])

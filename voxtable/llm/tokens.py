@@ -17,9 +17,9 @@ from voxtable.llm.common import over_batches, text_column
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words kept with their ids; when there are more, only those of the latest texts stay. Words of many ids are not among them.
-KNOWN_WORDS, MOST_IDS = 1_500_000, 64
+KNOWN_WORDS, MOST_IDS = 1_000_000, 64
 #: Bytes of texts whose words are looked up together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 #: UTF-8 of a to z and of the letters from U+00C0 to U+024F, but for the one whose lower case is two characters.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
@@ -79,10 +79,9 @@ class WordEncoder:
 
     def _new(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The words in another order, their ids and sizes."""
-        found = words.to_pylist()
-        plain = [w for w in found if w.isalpha() or LETTERS.fullmatch(w)]
-        known = set(plain)
-        other = [w for w in found if w not in known]
+        plain, other = [], []
+        for w in words.to_pylist():
+            (plain if w.isalpha() or LETTERS.fullmatch(w) else other).append(w)
         ids, sizes = self._letters(plain) if plain else (np.zeros(0, self.flat.dtype), np.zeros(0, np.int64))
         more = self._each(other)
         return pa.array([*plain, *other], pa.binary()), np.concatenate([ids, *more]), np.concatenate([sizes, np.array([len(m) for m in more], np.int64)])
@@ -94,20 +93,20 @@ class WordEncoder:
         counts = np.diff(cut.offsets.to_numpy())
         different = pc.dictionary_encode(cut.values.view(pa.binary()))
         words = different.dictionary
-        at = pc.index_in(words, value_set=self.words)
-        missing = words.filter(at.is_null())
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+        missing = words.filter(pa.array(place < 0))
         if len(missing):
             more, ids, sizes = self._new(missing)
+            place[place < 0] = len(self.words) + pc.index_in(missing, value_set=more).to_numpy()
             self.words = pa.concat_arrays([self.words, more])
             self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
-            at = pc.index_in(words, value_set=self.words)
-        place = at.to_numpy()
         starts = (np.cumsum(self.sizes) - self.sizes)[place]
         sizes = self.sizes[place]
         of = different.indices.to_numpy()
         size, ends = sizes[of], np.cumsum(sizes[of])
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts[of] - (ends - size), size) + np.arange(total)]
+        shift = (starts[of] - (ends - size)).astype(np.int32)  # a group's places fit 32 bits
+        ids = self.flat[np.repeat(shift, size) + np.arange(total, dtype=np.int32)]
         stops = np.concatenate([[0], ends])[np.cumsum(counts)] * self.width
         raw = ids.tobytes()
         if len(self.words) > KNOWN_WORDS or len(self.flat) > 8 * KNOWN_WORDS:  # begin anew with the words just met

@@ -26,8 +26,9 @@ def snippet(c: Column) -> Column:
 def card_rows(labelled: DataFrame, copy: DataFrame | None = None) -> DataFrame:
     """One card row per sentence that meets a rule: rule, kind, motion, confidence, span and title.
 
-    `copy` (rule, term, title, kicker) carries the wording per rule and first term; it
-    is a short rule table and is broadcast.
+    `copy` (rule, term, title, kicker) carries the wording per rule and first term.
+    Without it a card is titled by its rule, a concept card by its term, so that cards
+    repeat each other exactly if rule and term do.
     """
     fixed = X.fix_asr(F.col("text"))
     base = labelled.withColumns({"_t": fixed}).withColumns(
@@ -67,7 +68,8 @@ def card_rows(labelled: DataFrame, copy: DataFrame | None = None) -> DataFrame:
     told = (
         F.when(F.col("_r.rule") == "figure", F.col("_fig"))
         .when(F.col("_r.rule") == "take", snippet(F.col("_t")))
-        .otherwise(F.coalesce(first_term, F.col("_r.rule")))
+        .when(F.col("_r.rule") == "concept", first_term)
+        .otherwise(F.col("_r.rule"))
     )
     rows = picked.select(
         "video_id",
