@@ -48,14 +48,25 @@ def chunks(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
     yield text[start:end]
 
 
-def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
+#: Rows that a worker takes at one time; an Arrow batch may have more.
+SLICE_ROWS = 2500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows; freed memory goes back in between."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = SLICE_ROWS):
     """A mapInArrow function from one that maps a batch; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in slices(batches, rows):
+            out = fn(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return run

@@ -33,6 +33,8 @@ LANES = 2048
 START_PIECES, START_ROUNDS, PASSES = 4000, 20, 2
 FLUSH_WORDS = 250_000
 ENCODED_ROWS = 1000
+#: Documents scored in step: one step of the recursion serves all that are as long.
+SCORED_ROWS = 10_000
 #: Steps of the logarithm of a count, per doubling, by which the words with a symbol are cut off.
 CUT_STEPS = 64
 
@@ -307,7 +309,7 @@ def score_corpus(docs: DataFrame, text: str = "text", states: int = STATES) -> D
     if n_docs:
         base[-1] = np.log10(n_docs + 0.5) - norm
     shared = spark.sparkContext.broadcast(((model.start, model.move, model.emit), base, len(own)))
-    forward = encoded.select("key", "doc_id", "held_out", "symbols").mapInArrow(over_batches(partial(_score, shared)), "key long, doc_id long, held_out boolean, n_tokens long, own_known long, own_base double, own_score double")
+    forward = encoded.select("key", "doc_id", "held_out", "symbols").mapInArrow(over_batches(partial(_score, shared), SCORED_ROWS), "key long, doc_id long, held_out boolean, n_tokens long, own_known long, own_base double, own_score double")
 
     classes = spark.createDataFrame([(k, float(np.log10(s + 0.5 * (d + 1)))) for k, (s, d) in enumerate(sums.tolist())], "k long, class_norm double")
     rest = encoded.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.n")

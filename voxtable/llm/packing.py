@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtable.llm.common import stored, text_column
+from voxtable.llm.common import slices, stored, text_column
 from voxtable.llm.tokens import END_ID, VOCABULARY, document_ids, wide
 
 CAPACITY = 4096
@@ -28,7 +28,7 @@ def _cut(path: str, end_id: int, capacity: int, batches: Iterator[pa.RecordBatch
     part = TaskContext.get().partitionId()
     seen: dict[int, int] = {}
     names = [f.split()[0] for f in PIECES.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         coded, width = document_ids(path, end_id, batch.column(1).to_pylist())
         for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
