@@ -292,6 +292,32 @@ SELECT s.video_id, s.segment_id, CASE WHEN (s.video_id + s.segment_id) % 3 <> 0
 )
 
 
+def brief_windows(spark, sf):
+    """A window result per segment: its words are the terms, its speaker the idea."""
+    toks = F.filter(F.split("txt", " "), lambda t: F.length(t) > 6)
+    return segments(spark, sf).select(
+        "video_id", F.col("segment_id").alias("window_no"), F.concat(F.lit("topic "), "speaker").alias("topic"), F.when(F.col("segment_id") > 0, F.col("txt")).alias("hook"),
+        pick(F.col("video_id"), J.BRIEF_MOODS + ["loud"]).alias("music_mood"), F.transform(toks, lambda t: F.struct(F.lower(t).alias("heard"), t.alias("correct"))).alias("glossary"),
+        F.array(F.lit(" "), F.col("speaker"), F.substring("txt", 1, 9)).alias("key_ideas"),
+    )
+
+
+query(
+    "join_brief_heads",
+    f"""WITH {SEGMENTS}, g AS (SELECT video_id, segment_id, pos, u FROM (SELECT video_id, segment_id, list_filter(string_split(txt, ' '), lambda t: length(t) > 6) AS t FROM segments), LATERAL (SELECT unnest(t) AS u, unnest(range(len(t))) AS pos)),
+gd AS (SELECT video_id, u, row_number() OVER (PARTITION BY video_id ORDER BY o) AS p FROM (SELECT video_id, u, min(segment_id * 100000 + pos) AS o FROM g GROUP BY ALL)),
+k AS (SELECT video_id, segment_id, unnest([speaker, substring(txt, 1, 9)]) AS u, unnest([1, 2]) AS pos FROM segments),
+kd AS (SELECT video_id, u, row_number() OVER (PARTITION BY video_id ORDER BY o) AS p FROM (SELECT video_id, u, min(segment_id * 10 + pos) AS o FROM k WHERE trim(u) <> '' GROUP BY ALL)),
+h AS (SELECT video_id, 'topic ' || arg_min(speaker, segment_id) AS topic, CASE WHEN min(segment_id) > 0 THEN arg_min(txt, segment_id) ELSE '' END AS hook FROM segments GROUP BY 1)
+SELECT video_id, topic, hook, (CASE WHEN {sql_pick('video_id', J.BRIEF_MOODS + ['loud'])} = 'loud' THEN 'warm_inspiring' ELSE {sql_pick('video_id', J.BRIEF_MOODS + ['loud'])} END) AS music_mood,
+  (SELECT string_agg(u, ',' ORDER BY p) FROM gd WHERE gd.video_id = h.video_id AND p <= 30) AS glossary, (SELECT string_agg(u, ',' ORDER BY p) FROM kd WHERE kd.video_id = h.video_id AND p <= 8) AS key_ideas FROM h""",
+)(
+    lambda spark, sf: J.brief_heads(brief_windows(spark, sf)).select(
+        "video_id", "topic", "hook", "music_mood", F.array_join(F.transform("glossary", lambda g: g["correct"]), ",").alias("glossary"), F.array_join("key_ideas", ",").alias("key_ideas")
+    )
+)
+
+
 def script_lines(spark, sf):
     i = F.col("line_id")
     return lines(spark, sf).select("video_id", "line_id", F.floor(i / 6).alias("segment_id"), F.floor(i / 6 + i % 6 / 3).alias("first"), F.floor(i / 6 + i % 6 / 3).alias("last"), "text")

@@ -250,7 +250,8 @@ SELECT l.video_id, l.line_id, text, style, CASE WHEN w IS NULL THEN '' ELSE ' ke
 query(
     "sink_manifest",
     f"""WITH {REVIEWED}, b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ordinal) AS p FROM reviewed WHERE action = 'blocked')
-SELECT 'accepted' AS section, job_id, ordinal, title, kind, url FROM reviewed WHERE action = 'accepted' UNION ALL SELECT 'blocked_copyrighted', job_id, ordinal, title, kind, url FROM b WHERE p <= 40""",
+SELECT 'accepted' AS section, job_id, ordinal, title, kind, url FROM reviewed WHERE action = 'accepted' UNION ALL SELECT 'blocked_copyrighted', job_id, ordinal, title, kind, url FROM b WHERE p <= 40
+UNION ALL SELECT 'copyrighted_not_downloaded', job_id, ordinal, title, kind, url FROM b WHERE p <= 30""",
 )(lambda spark, sf: sinks.manifest_rows(reviewed(spark, sf)))
 
 # --- streams --------------------------------------------------------------------------------------

@@ -397,9 +397,20 @@ def hits(spark, sf):
 
 
 query("limit_hits", f"WITH {HITS} SELECT * FROM hits")(hits)
-query("union_hits", f"WITH {HITS}, u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS rn FROM hits) SELECT engine, query, ordinal, url FROM u WHERE rn = 1")(
-    lambda spark, sf: first_per(hits(spark, sf), ["url"], "ordinal").select("engine", "query", "ordinal", "url")
-)
+def hit_media(spark, sf):
+    """One medium behind every third hit; hits of neighbouring rows share some, and some are pages of other hits."""
+    i = F.col("ordinal")
+    own = F.when(i % 12 == 0, F.col("url")).otherwise(F.concat(F.lit("https://media.example/"), F.floor(i / 9).cast("string")))
+    return hits(spark, sf).filter(i % 3 == 0).select("ordinal", own.alias("media_url"))
+
+
+query(
+    "union_hits",
+    f"""WITH {HITS}, md AS (SELECT ordinal, CASE WHEN ordinal % 12 = 0 THEN url ELSE 'https://media.example/' || (ordinal // 9) END AS url FROM hits WHERE ordinal % 3 = 0),
+ev AS (SELECT ordinal, 'hit' AS part, url FROM hits UNION ALL SELECT ordinal, 'media', url FROM md),
+f AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal, part) = 1)
+SELECT * FROM f WHERE ordinal NOT IN (SELECT ordinal FROM md WHERE ordinal NOT IN (SELECT ordinal FROM f WHERE part = 'media'))""",
+)(lambda spark, sf: M.union_hits(hits(spark, sf), hit_media(spark, sf)))
 query(
     "topk_pages_per_host",
     f"""WITH {HITS}, n AS (SELECT query, ordinal, url, string_split(url, '/')[3] AS netloc FROM hits),
@@ -407,16 +418,20 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query, netloc ORDER BY ordinal)
 p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ordinal) AS pool_no FROM h WHERE r = 1)
 SELECT query, ordinal, netloc, pool_no, pool_no AS visit_no FROM p WHERE pool_no <= 12 AND pool_no <= 5""",
 )(lambda spark, sf: M.pages_to_visit(hits(spark, sf).drop("rank_no"), ["query"]).select("query", "ordinal", "netloc", "pool_no", "visit_no"))
+ENGINES = ["bing", "duckduckgo", "google", "wikimedia"]
 query(
     "anti_engine_gap",
     f"""WITH {HITS}, q AS (SELECT DISTINCT 'query ' || (page_id % 13) AS query FROM pages)
-SELECT query FROM q WHERE query NOT IN (SELECT query FROM hits WHERE engine = 'duckduckgo' GROUP BY query HAVING count(*) >= 2)""",
+SELECT 'fallback' AS kind, query AS value FROM q WHERE query NOT IN (SELECT query FROM hits WHERE engine = 'duckduckgo' GROUP BY query HAVING count(*) >= 2)
+UNION ALL SELECT 'unseen', e FROM (SELECT unnest({sql_list(ENGINES)}) AS e) WHERE e NOT IN (SELECT engine FROM hits)""",
 )(
     lambda spark, sf: M.engine_gaps(
         table(spark, sf, "pages").select(F.concat(F.lit("query "), (F.col("page_id") % 13).cast("string")).alias("query")).distinct(),
         hits(spark, sf).filter("engine = 'duckduckgo'"),
         8,
     )
+    .select(F.lit("fallback").alias("kind"), F.col("query").alias("value"))
+    .unionByName(M.unseen_engines(spark.createDataFrame([(e,) for e in ENGINES], "engine string"), hits(spark, sf)).select(F.lit("unseen").alias("kind"), F.col("engine").alias("value")))
 )
 query(
     "dedupe_first",

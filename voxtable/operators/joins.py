@@ -10,6 +10,7 @@ from voxtable.operators.ordered import HotKeys, first_per, neighbours
 from voxtable.operators.segment import uniform_spans
 
 SEG = ["video_id", "segment_id"]
+VIDEO = ["video_id"]
 
 
 def apply_repairs(segments: DataFrame, repairs: DataFrame) -> DataFrame:
@@ -98,6 +99,34 @@ def distinct_in_order(rows: DataFrame, keys: list[str], value: list[str], ordina
     return top_per(seen, keys, limit, ordinal, rank="place")
 
 
+# Moods that a brief may name, and the limits of its lists.
+BRIEF_MOODS = ["warm_inspiring", "focused_tech", "calm_reflective", "confident_upbeat", "serious_story"]
+GLOSSARY_LIMIT, IDEAS_LIMIT = 30, 8
+
+
+def brief_heads(windows: DataFrame) -> DataFrame:
+    """(video_id, topic, hook, music_mood, glossary, key_ideas) from window results, stitched.
+
+    `windows` has video_id, window_no, topic, hook, music_mood, glossary (array of
+    heard, correct) and key_ideas (array). The first window speaks for the video; terms
+    and ideas are the first distinct ones of all windows, at most 30 and 8.
+    """
+    head = first_per(windows.select("video_id", "window_no", "topic", "hook", "music_mood"), VIDEO, "window_no").drop("window_no")
+    mood = F.trim(F.coalesce("music_mood", F.lit("")))
+    head = head.withColumns({"topic": F.coalesce("topic", F.lit("")), "hook": F.coalesce("hook", F.lit("")), "music_mood": F.when(mood.isin(BRIEF_MOODS), mood).otherwise(F.lit(BRIEF_MOODS[0]))})
+
+    def listed(column, keep, limit):
+        each = windows.select("video_id", "window_no", F.posexplode(column).alias("_at", "_v")).filter(keep)
+        each = each.withColumn("_o", F.struct("window_no", "_at"))
+        places = distinct_in_order(each, VIDEO, ["_v"], "_o", limit)
+        in_order = F.array_sort(F.collect_list(F.struct("place", "_v")))
+        return places.groupBy("video_id").agg(F.transform(in_order, lambda x: x["_v"]).alias(column))
+
+    terms = listed("glossary", F.lit(True), GLOSSARY_LIMIT)
+    ideas = listed("key_ideas", F.trim("_v") != "", IDEAS_LIMIT)
+    return head.join(terms, "video_id", "left").join(ideas, "video_id", "left")
+
+
 def fold_shared_lines(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Lines of a segment that got the same first word as the line before are folded into it."""
     near = neighbours(lines, ["video_id"], "line_id", lag={"_f": "first", "_s": "segment_id"}, hot=hot)

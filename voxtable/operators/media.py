@@ -185,6 +185,24 @@ def engine_gaps(queries: DataFrame, hits: DataFrame, per_query: int) -> DataFram
     return queries.join(served, "query", "left_anti")
 
 
+def unseen_engines(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """Engines (column engine) that were asked for and gave no hit at all; each is worth a warning."""
+    return asked.join(hits.select("engine").distinct(), "engine", "left_anti")
+
+
+def union_hits(hits: DataFrame, media: DataFrame) -> DataFrame:
+    """Hits of all engines and the media that came with some of them, under one seen-set of addresses.
+
+    `hits` (ordinal, url, ...) and `media` (ordinal of its hit, media_url): in order of
+    ordinal, a hit in front of its media, the first row with an address stays. A hit
+    whose media was seen before goes with it. Returns ordinal, part ('hit' or 'media'), url.
+    """
+    events = hits.select("ordinal", F.lit("hit").alias("part"), "url").unionByName(media.select("ordinal", F.lit("media").alias("part"), F.col("media_url").alias("url")))
+    first = first_per(events, ["url"], "ordinal", "part")
+    gone = media.select("ordinal").join(first.filter("part = 'media'"), "ordinal", "left_anti")
+    return first.join(gone, "ordinal", "left_anti").select("ordinal", "part", "url")
+
+
 def relevance(cands: DataFrame, needles: DataFrame, keys: list[str], cand_id: str = "ordinal") -> DataFrame:
     """Distinct needles of a job found anywhere in each candidate's text: score and keep flag.
 

@@ -49,12 +49,13 @@ def design_rows(drafts: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def manifest_rows(candidates: DataFrame, blocked_limit: int = 40) -> DataFrame:
-    """Rows of a job manifest: all accepted candidates and the first `blocked_limit` blocked ones.
+def manifest_rows(candidates: DataFrame, blocked_limit: int = 40, sources_limit: int = 30) -> DataFrame:
+    """Rows of a job's manifest and sources list: all accepted candidates, and the first blocked ones of each list.
 
-    The limit on the blocked list is part of the manifest format.
+    Both limits are part of the formats.
     """
     fields = ["job_id", "ordinal", "title", "kind", "url"]
     accepted = candidates.filter("action = 'accepted'").select(F.lit("accepted").alias("section"), *fields)
-    blocked = top_per(candidates.filter("action = 'blocked'").select(*fields), ["job_id"], blocked_limit, "ordinal")
-    return accepted.unionByName(blocked.select(F.lit("blocked_copyrighted").alias("section"), *fields))
+    blocked = top_per(candidates.filter("action = 'blocked'").select(*fields), ["job_id"], max(blocked_limit, sources_limit), "ordinal", rank="_place")
+    lists = F.array_compact(F.array(F.when(F.col("_place") <= blocked_limit, F.lit("blocked_copyrighted")), F.when(F.col("_place") <= sources_limit, F.lit("copyrighted_not_downloaded"))))
+    return accepted.unionByName(blocked.select(F.explode(lists).alias("section"), *fields))
