@@ -296,6 +296,17 @@ def test_wav_hops_and_rejects(spark):
     assert len(mdb) == 15 and mdb[1400] - mdb[400] > 10_000
 
 
+def test_markdown_blocks_end_with_their_words(spark):
+    from voxtable.sources import transcripts as TR
+
+    docs = spark.createDataFrame(
+        [(1, "intro\n00:00 - 00:01\n" + "word " * 20 + "\n00:09 - 00:10\n**00:05 - 00:06**\n- –\n**00:07 - 00:08**\nend"), (2, "no blocks"), (3, "**00:01 - 00:02**\n—"), (4, None)], "video_id bigint, text string"
+    )
+    got = [tuple(r) for r in TR.markdown_segments(docs, "video_id").orderBy("block").collect()]
+    assert [(r[1], r[2], r[3]) for r in got] == [(0, 0, 120 * 22), (2, 7000, 8000)] and got[0][4].endswith("00:09 - 00:10")
+    assert sorted(r.video_id for r in TR.markdown_rejects(docs, "video_id").collect()) == [2, 3, 4]
+
+
 def test_markdown_and_json_transcripts(spark, tmp_path):
     text = "note\n00:00 - 00:04\nHere is the timestamped text\nhello there world\n**00:04 - 00:09**\nand more\n01:00 - 01:05\n**00:09 - 00:09**\nend\n"
     blocks = TR.markdown_segments(spark.createDataFrame([(1, text)], "video_id bigint, text string"), "video_id")

@@ -63,10 +63,17 @@ query(
     f"""WITH {TIMED}, s AS (SELECT video_id, segment_id, start_ms, end_ms, replace(txt, '*', '') AS txt FROM timed JOIN segments USING (video_id, segment_id)),
 l AS (SELECT video_id, segment_id, start_ms, end_ms, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS n FROM s WHERE (video_id + segment_id) % 9 <> 0),
 b AS (SELECT video_id, segment_id, {_sec('start_ms')} AS start_ms, greatest({_sec('end_ms')}, {_sec('start_ms')} + 200) AS end_ms, string_agg(trim(line), ' ' ORDER BY n) FILTER (WHERE trim(line) <> '') || ' 05:00 - 06:00' AS text FROM l GROUP BY ALL)
-SELECT video_id, segment_id AS block, start_ms, end_ms, text FROM b""",
+SELECT video_id, segment_id AS block, start_ms, greatest(end_ms, start_ms + 120 * len(list_filter(list_transform(string_split_regex(text, '\\s+'), lambda t: trim(t, '.,;:!?"“”()[]{{}}')), lambda t: t NOT IN ('', '—', '–', '-')))) AS end_ms, text FROM b""",
 )(lambda spark, sf: TR.markdown_segments(markdown_docs(spark, sf), "video_id"))
 query("src_markdown_words")(lambda spark, sf: TR.markdown_words(TR.markdown_segments(markdown_docs(spark, sf), "video_id"), "video_id"))
 
+query(
+    "src_markdown_rejects",
+    f"WITH {SEGMENTS} SELECT video_id FROM segments GROUP BY video_id HAVING count(*) FILTER (WHERE (video_id + segment_id) % 9 <> 0) = 0 OR video_id % 5 = 1",
+)(
+    lambda spark, sf: TR.markdown_rejects(markdown_docs(spark, sf).withColumn("text", F.when(F.col("video_id") % 5 == 1, F.replace("text", F.lit(":"), F.lit("."))).otherwise(F.col("text"))), "video_id")
+)
+
 # --- binary files ---------------------------------------------------------------------------------
 
 def _le(n, size):

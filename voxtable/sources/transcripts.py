@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtable.functions import text as X
+from voxtable.operators.ordered import neighbours
 from voxtable.operators.segment import uniform_spans
 
 SCHEMA = (
@@ -40,35 +41,45 @@ def json_words(docs: DataFrame, key: str) -> DataFrame:
 RANGE = r"^\s*(\d{1,2}):(\d{2})\s*[-–—]\s*(\d{1,2}):(\d{2})\s*$"
 
 
+def _marked_lines(docs: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, line, header, block): every trimmed line with the number of its block, -1 in front of the first.
+
+    A line opens a block if it is a range in asterisks, or if it is the first range of
+    its document. Blocks are numbered by a running count of such lines.
+    """
+    lines = docs.select(key, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    lines = lines.select(key, F.col("line_no").cast("bigint").alias("line_no"), F.trim("line").alias("line"))
+    ranged = lines.withColumn("_range", F.replace("line", F.lit("*"), F.lit("")).rlike(RANGE).cast("bigint"))
+    seen = neighbours(ranged, [key], "line_no", total_before={"_ranges": "_range"})
+    marked = seen.withColumn("header", ((F.col("_range") == 1) & (F.col("line").startswith("*") | (F.col("_ranges") == 0))).cast("bigint"))
+    numbered = neighbours(marked, [key], "line_no", total_before={"_headers": "header"})
+    return numbered.select(key, "line_no", "line", "header", (F.col("_headers") + F.col("header") - 1).alias("block"))
+
+
 def markdown_segments(docs: DataFrame, key: str) -> DataFrame:
     """(key, text) documents of `**mm:ss - mm:ss**` blocks to (key, block, start_ms, end_ms, text).
 
-    One document is one row, so its blocks are cut inside the row: lines are folded
-    into an array of blocks, without a shuffle. A bare range opens only the first block.
+    Lines, not documents, are the rows, so a long document is spread; a row of the
+    result has one block's lines. A block without a word is no segment, and one whose
+    words need more than its range (0.12 s each) ends with its last word.
     """
-    lines = F.transform(F.split("text", r"\r?\n"), lambda s: F.trim(s))
-
-    def at(line, group):
-        return F.regexp_extract(F.replace(line, F.lit("*"), F.lit("")), RANGE, group).cast("bigint")
-
-    start = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,lines:array<string>>>")
-
-    def add(blocks, line):
-        header = F.replace(line, F.lit("*"), F.lit("")).rlike(RANGE) & (line.startswith("*") | (F.size(blocks) == 0))
-        begin = (at(line, 1) * 60 + at(line, 2)) * 1000
-        end = F.greatest((at(line, 3) * 60 + at(line, 4)) * 1000, begin + 200)
-        opened = F.concat(blocks, F.array(F.struct(begin.alias("start_ms"), end.alias("end_ms"), F.array().cast("array<string>").alias("lines"))))
-        last = F.element_at(blocks, -1)
-        grown = F.concat(
-            F.slice(blocks, F.lit(1), F.size(blocks) - 1),
-            F.array(F.struct(last["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), F.concat(last["lines"], F.array(line)).alias("lines"))),
-        )
-        body = (F.size(blocks) > 0) & (line != "") & ~F.lower(line).startswith("here is the timestamped")
-        return F.when(header, opened).when(body, grown).otherwise(blocks)
-
-    blocks = F.aggregate(lines, start, add)
-    b = docs.select(key, F.posexplode(blocks).alias("block", "b"))
-    return b.select(key, "block", "b.start_ms", "b.end_ms", F.array_join("b.lines", " ").alias("text")).filter("text <> ''")
+    lines = _marked_lines(docs, key)
+
+    def at(group):
+        return F.regexp_extract(F.replace("line", F.lit("*"), F.lit("")), RANGE, group).cast("bigint")
+
+    begin = (at(1) * 60 + at(2)) * 1000
+    heads = lines.filter("header = 1").select(key, "block", begin.alias("start_ms"), F.greatest((at(3) * 60 + at(4)) * 1000, begin + 200).alias("end_ms"))
+    body = lines.filter((F.col("header") == 0) & (F.col("block") >= 0) & (F.col("line") != "") & ~F.lower("line").startswith("here is the timestamped"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    texts = body.groupBy(key, "block").agg(F.array_join(in_order, " ").alias("text"))
+    said = heads.join(texts, [key, "block"]).withColumn("_n", F.size(X.upload_tokens(F.col("text")))).filter("_n > 0")
+    return said.select(key, "block", "start_ms", F.greatest(F.col("end_ms"), F.col("start_ms") + 120 * F.col("_n")).alias("end_ms"), "text")
+
+
+def markdown_rejects(docs: DataFrame, key: str) -> DataFrame:
+    """Keys of documents without any timestamped block that has words."""
+    return docs.select(key).distinct().join(markdown_segments(docs, key).select(key).distinct(), key, "left_anti")
 
 
 def markdown_words(blocks: DataFrame, key: str) -> DataFrame:
