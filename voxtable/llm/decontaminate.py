@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -101,7 +101,7 @@ def _scan(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "t", "n_words", "spans", "items"])
 
 
-_SETS: dict[int, WindowSet] = {}
+_SETS: dict[str, WindowSet] = {}
 
 
 def _opened(shared) -> WindowSet:
@@ -114,7 +114,7 @@ def _opened(shared) -> WindowSet:
 
 def window_sets(benchmark: DataFrame, n: int = WINDOW, text: str = "text", set_bytes: int = SET_BYTES) -> Iterator:
     """Broadcasts of (key, windows, items of each), each of about set_bytes, until all windows are out."""
-    spark = benchmark.sparkSession
+    spark, name = benchmark.sparkSession, uuid.uuid4().hex  # workers keep a set by this name
     rows = benchmark.select(F.col("item_id").cast("string"), text_column(text).alias("t")).mapInArrow(over_batches(partial(_item_windows, n)), "window binary, item string")
     by_window = stored(rows.groupBy("window").agg(F.collect_set("item").alias("items")), "benchmark-windows")
     weight = F.length("window") + 120 + 16 * F.size("items")
@@ -123,7 +123,7 @@ def window_sets(benchmark: DataFrame, n: int = WINDOW, text: str = "text", set_b
     for k in range(sets):
         part = by_window.filter(F.pmod(F.xxhash64("window"), F.lit(sets)) == k).collect() if total else []
         if part:
-            yield spark.sparkContext.broadcast((f"{id(by_window)}-{k}", [bytes(r["window"]) for r in part], [r["items"] for r in part]))
+            yield spark.sparkContext.broadcast((f"{name}-{k}", [bytes(r["window"]) for r in part], [r["items"] for r in part]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:

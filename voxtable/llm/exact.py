@@ -78,8 +78,8 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     own = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(own))])
-    key = F.col(f"c{own.index('doc_id')}")
-    by_id = decisions.groupBy("doc_id").agg(F.max("kept").alias("__keep"), F.count("*").alias("__rows"))
+    key = F.col(f"c{own.index('doc_id')}").cast("long")
+    by_id = decisions.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("kept").alias("__keep"), F.count("*").alias("__rows"))
     special = stored(by_id.filter("NOT __keep OR __rows > 1").withColumnRenamed("doc_id", "__id"), "special-ids")
     marked = _maybe(inner, _bit_set(special, F.col("__id")), key)
     sure = marked.filter("NOT maybe").drop("maybe")
