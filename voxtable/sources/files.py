@@ -42,26 +42,39 @@ def sniff_mime(content: Column, path: Column) -> Column:
     )
 
 
+#: Hops of a WAV file that are decoded at one time.
+HOPS_AT_ONCE = 2048
+
+
 def pcm_chunks(files: DataFrame, key: str, hop_s: float = 0.20) -> DataFrame:
     """(key, content) WAV files to per-hop sums: hop_id, sum_sq, n, hop_size; `problem` instead for bad files.
 
-    Only 16-bit PCM is accepted. A file is decoded where it lies and leaves the task as hop sums.
+    Only 16-bit PCM is accepted. Samples are decoded HOPS_AT_ONCE hops at a time where
+    the file lies, and leave the task as hop sums.
     """
     schema = f"{key} {files.schema[key].dataType.simpleString()}, hop_id bigint, sum_sq double, n bigint, hop_size bigint, problem string"
 
+    def sums(f, hop):
+        """Sums of squares and counts of the hops, in bounded reads; a file without samples has one empty hop."""
+        first = True
+        while raw := f.readframes(hop * HOPS_AT_ONCE):
+            x = np.frombuffer(raw, dtype="<i2").astype(np.float64) / 32768.0
+            edges = np.arange(0, len(x), hop)
+            yield np.add.reduceat(x * x, edges), np.diff(np.append(edges, len(x)))
+            first = False
+        if first:
+            yield np.zeros(1), np.zeros(1, np.int64)
+
     def one(name, raw):
         try:
             with wave.open(io.BytesIO(raw), "rb") as f:
                 if f.getsampwidth() != 2:
                     raise ValueError(f"expected 16-bit PCM, got {f.getsampwidth()} byte samples")
                 hop = max(1, round(hop_s * f.getframerate()))
-                x = np.frombuffer(f.readframes(f.getnframes()), dtype="<i2").astype(np.float64) / 32768.0
+                squares, counts = (np.concatenate(c) for c in zip(*sums(f, hop)))
         except (wave.Error, ValueError, EOFError) as exc:
             return pd.DataFrame({key: [name], "hop_id": [-1], "sum_sq": [0.0], "n": [0], "hop_size": [0], "problem": [str(exc)]})
-        edges = np.arange(0, max(len(x), 1), hop)
-        sums = np.add.reduceat(x * x, edges) if len(x) else np.zeros(1)
-        counts = np.diff(np.append(edges, len(x)))
-        return pd.DataFrame({key: name, "hop_id": np.arange(len(edges)), "sum_sq": sums, "n": counts, "hop_size": hop, "problem": None})
+        return pd.DataFrame({key: name, "hop_id": np.arange(len(squares)), "sum_sq": squares, "n": counts, "hop_size": hop, "problem": None})
 
     def run(batches):
         for pdf in batches:
