@@ -108,15 +108,7 @@ def _s_range(entity):
 query(
     "dq_model_ranges",
     f"WITH {NUMBERS} " + " UNION ALL ".join(f"SELECT '{e}' AS entity, * FROM ({s_rules('nums', _ids, _s_range(e))})" for e in ("signals", "motion", "box", "decision", "cue")),
-)(lambda spark, sf: _ranges(spark, sf))
-
-
-def _ranges(spark, sf):
-    out = None
-    for e in ("signals", "motion", "box", "decision", "cue"):
-        part = Q.out_of_range(numbers(spark, sf), _ids, e).select(F.lit(e).alias("entity"), *_ids, "rule")
-        out = part if out is None else out.unionByName(part)
-    return out
+)(lambda spark, sf: Q.out_of_ranges(numbers(spark, sf), _ids, ["signals", "motion", "box", "decision", "cue"]))
 
 
 query("dq_request", f"WITH {NUMBERS} {s_rules('nums', _ids, _s_range('request'))}")(lambda spark, sf: Q.out_of_range(numbers(spark, sf), _ids, "request"))
