@@ -212,7 +212,27 @@ query(
 )(
     lambda spark, sf: A.span_means(caps(spark, sf), colors(spark, sf), "caption_id", RGB, closed=True).withColumn("bright", A.is_bright(F.col("luma")))
 )
-query("lab_palette")(lambda spark, sf: palette(spark, sf))
+def s_tint(sat, value):
+    """SQL for a tint of the row's hue: sector of the colour wheel, then the three mixed channels."""
+    sat = f"least(1.0, greatest(0.0, {sat}))"
+    f, p = "(hue * 6 - floor(hue * 6))", f"{value} * (1 - {sat})"
+    q, t = f"{value} * (1 - {sat} * {f})", f"{value} * (1 - {sat} * (1 - {f}))"
+    rows = [(value, t, p), (q, value, p), (p, value, t), (p, q, value), (t, p, value), (value, p, q)]
+    text = ["concat_ws(',', " + ", ".join(f"CAST(floor(({c}) * 255) AS BIGINT)" for c in row) + ")" for row in rows]
+    return "CASE CAST(floor(hue * 6) AS BIGINT) % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(text)) + " END"
+
+
+_d = lambda c: f"CAST({c} AS DOUBLE)"
+query(
+    "lab_palette",
+    f"""WITH {COLOR}, c AS (SELECT video_id, frame, COALESCE(luma > 15000, false) AS bright, {_d('r // 100')} AS r, {_d('g // 100')} AS g, {_d('b // 100')} AS b FROM track),
+h AS (SELECT *, greatest(r, g, b) / 255 AS hi, greatest(r, g, b) / 255 - least(r, g, b) / 255 AS span FROM c),
+w AS (SELECT *, CASE WHEN span = 0 THEN 0.0 WHEN r / 255 = hi THEN (g - b) / 255 / span + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g / 255 = hi THEN (b - r) / 255 / span + 2 ELSE (r - g) / 255 / span + 4 END / {_d('6')} AS hue0, CASE WHEN hi > 0 THEN span / hi ELSE 0.0 END AS sat0 FROM h),
+x AS (SELECT video_id, frame, bright, CASE WHEN sat0 < 0.08 THEN {_d('0.6')} ELSE hue0 END AS hue, CASE WHEN sat0 < 0.08 THEN {_d('0')} ELSE sat0 END AS sat FROM w)
+SELECT video_id, frame, CASE WHEN bright THEN {s_tint(f"({_d('0.55')} + {_d('0.35')} * sat)", _d('0.34'))} END AS outline,
+  CASE WHEN bright THEN {s_tint(f"({_d('0.6')} + {_d('0.3')} * sat)", _d('0.2'))} ELSE {s_tint(_d('0.55'), _d('0.1'))} END AS shade,
+  CASE WHEN NOT bright THEN {s_tint(f"({_d('0.38')} + {_d('0.25')} * sat)", _d('1'))} END AS glow FROM x""",
+)(lambda spark, sf: palette(spark, sf))
 
 
 def palette(spark, sf):
