@@ -65,7 +65,17 @@ l AS (SELECT video_id, segment_id, start_ms, end_ms, unnest(string_split(txt, ch
 b AS (SELECT video_id, segment_id, {_sec('start_ms')} AS start_ms, greatest({_sec('end_ms')}, {_sec('start_ms')} + 200) AS end_ms, string_agg(trim(line), ' ' ORDER BY n) FILTER (WHERE trim(line) <> '') || ' 05:00 - 06:00' AS text FROM l GROUP BY ALL)
 SELECT video_id, segment_id AS block, start_ms, greatest(end_ms, start_ms + 120 * len(list_filter(list_transform(string_split_regex(text, '\\s+'), lambda t: trim(t, '.,;:!?"“”()[]{{}}')), lambda t: t NOT IN ('', '—', '–', '-')))) AS end_ms, text FROM b""",
 )(lambda spark, sf: TR.markdown_segments(markdown_docs(spark, sf), "video_id"))
-query("src_markdown_words")(lambda spark, sf: TR.markdown_words(TR.markdown_segments(markdown_docs(spark, sf), "video_id"), "video_id"))
+query(
+    "src_markdown_words",
+    f"""WITH {TIMED}, s AS (SELECT video_id, segment_id, start_ms, end_ms, replace(txt, '*', '') AS txt FROM timed JOIN segments USING (video_id, segment_id)),
+l AS (SELECT video_id, segment_id, start_ms, end_ms, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS n FROM s WHERE (video_id + segment_id) % 9 <> 0),
+b AS (SELECT video_id, segment_id, {_sec('start_ms')} AS start_ms, greatest({_sec('end_ms')}, {_sec('start_ms')} + 200) AS end_ms, string_agg(trim(line), ' ' ORDER BY n) FILTER (WHERE trim(line) <> '') || ' 05:00 - 06:00' AS text FROM l GROUP BY ALL),
+t AS (SELECT video_id, segment_id AS block, start_ms, end_ms AS range_end, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda t: trim(t, '.,;:!?"“”()[]{{}}')), lambda t: t NOT IN ('', '—', '–', '-')) AS toks FROM b),
+n AS (SELECT *, len(toks) AS n, greatest(range_end, start_ms + 120 * len(toks)) AS end_ms FROM t),
+u AS (SELECT video_id, block, start_ms, end_ms, n, greatest(end_ms - start_ms, 120 * n) AS span, unnest(toks) AS word, unnest(range(n)) AS position FROM n)
+SELECT video_id, block, position, word, CAST(round_even(start_ms + span * position / n, 0) AS BIGINT) AS start_ms,
+  greatest(CAST(round_even(greatest(start_ms + span * (position + 1) / n, start_ms + span * position / n + 60), 0) AS BIGINT), CASE WHEN position = n - 1 THEN end_ms ELSE 0 END) AS end_ms FROM u""",
+)(lambda spark, sf: TR.markdown_words(TR.markdown_segments(markdown_docs(spark, sf), "video_id"), "video_id"))
 
 query(
     "src_markdown_rejects",
