@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtable.llm.common import chunks, over_batches, stored, text_column
 from voxtable.llm.components import components
-from voxtable.llm.exact import keep_rows
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -98,9 +97,3 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS,
     smallest = stored(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     named = stored(placed.join(smallest, "root").select("fp", "component_id"), "named-fps")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; columns unchanged."""
-    groups = near_groups(docs, text, size, radius)
-    return keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
