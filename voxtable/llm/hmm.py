@@ -29,8 +29,8 @@ CLASS_BYTES = 3
 #: Training sequences are documents in pieces of at most so many tokens; scores are of whole documents.
 PIECE = 128
 LANES = 2048
-#: The start of the training: at most so many pieces of a sample, so many rounds. Then full passes over all pieces.
-START_PIECES, START_ROUNDS, PASSES = 4000, 20, 2
+#: Training ends with the first pass over all pieces whose log-likelihood gains less than this share on the pass before.
+TOLERANCE = 1e-4
 FLUSH_WORDS = 250_000
 ENCODED_ROWS = 1000
 #: Documents scored in step: one step of the recursion serves all that are as long.
@@ -197,7 +197,7 @@ def cut_pieces(symbols: np.ndarray) -> list[np.ndarray]:
 
 
 def _expected(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of expected counts: symbols from 0 on, moves from -1 - state, the start behind them."""
+    """Rows of expected counts: symbols from 0 on, moves from -1 - state, the start and the likelihood behind them."""
     model = Model(*shared.value)
     counts = Counts(len(model.start), len(model.emit))
     waiting: list[np.ndarray] = []
@@ -211,13 +211,16 @@ def _expected(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         model.expected(waiting, counts)
     states = len(model.start)
     some = np.flatnonzero(counts.emit.any(axis=1))
-    ids = np.concatenate([some, -1 - np.arange(states), [-1 - states]])
-    values = np.concatenate([counts.emit[some], counts.move, counts.start[None]])
+    ids = np.concatenate([some, -1 - np.arange(states), [-1 - states, -2 - states]])
+    values = np.concatenate([counts.emit[some], counts.move, counts.start[None], np.full((1, states), counts.log10)])
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(values[:, k], pa.float64()) for k in range(states)]], ["id", *[f"k{k}" for k in range(states)]])
 
 
-def baum_welch_pass(sequences: DataFrame, model: Model, frequency: np.ndarray) -> Model:
-    """One pass over all training sequences: tasks send expected counts, Spark adds them up, the sums make the next model."""
+def baum_welch_pass(sequences: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
+    """One pass over all training sequences: tasks send expected counts, Spark adds them up, the sums make the next model.
+
+    Also the log10 likelihood of the sequences' pieces under the model given.
+    """
     states = len(model.start)
     shared = sequences.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
     names = [f"k{k}" for k in range(states)]
@@ -230,31 +233,17 @@ def baum_welch_pass(sequences: DataFrame, model: Model, frequency: np.ndarray) -
     for k in range(states):
         counts.move[k] = values[ids == -1 - k].sum(axis=0)
     counts.start = values[ids == -1 - states].sum(axis=0)
-    return counts.model(frequency)
-
-
-def _some_pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Two pieces of each sequence: the first and one in the middle."""
-    out = []
-    for s in batch.column(0):
-        pieces = cut_pieces(np.frombuffer(s.as_py(), "<u2"))
-        out += [pieces[i].tobytes() for i in sorted({0, len(pieces) // 2})]
-    return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
+    return counts.model(frequency), float(values[ids == -2 - states, 0].sum())
 
 
 def train(sequences: DataFrame, frequency: np.ndarray, rows: int, states: int = STATES) -> Model:
-    """Start on a bounded sample, then PASSES full passes over the sequences (symbols binary), of which there are `rows`."""
-    model = first_model(states, frequency)
-    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, START_PIECES / 2 / max(1, rows)) * (1 << 20))
-    sample = sequences.filter(share).select("symbols").mapInArrow(over_batches(_some_pieces), "piece binary").limit(START_PIECES).collect()
-    pieces = sorted((np.frombuffer(r["piece"], "<u2") for r in sample), key=lambda p: p.tobytes())
-    for _ in range(START_ROUNDS if pieces else 0):
-        counts = Counts(states, len(frequency))
-        for i in range(0, len(pieces), LANES):
-            model.expected(pieces[i : i + LANES], counts)
-        model = counts.model(frequency)
-    for _ in range(PASSES if rows else 0):
-        model = baum_welch_pass(sequences, model, frequency)
+    """Passes over all sequences (symbols binary), of which there are `rows`, until the likelihood gains less than TOLERANCE."""
+    model, last = first_model(states, frequency), -np.inf
+    while rows:
+        model, log10 = baum_welch_pass(sequences, model, frequency)
+        if not log10 - last > TOLERANCE * abs(log10):
+            break
+        last = log10
     return model
 
 
