@@ -159,14 +159,23 @@ def items_digest(items: str = "items"):
     return F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)
 
 
-def _clean(shared, at: int, mode: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+def _clean(shared, at: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     windows = _opened(shared)
-    texts = batch.column(at).to_pylist()
-    spans = [windows.hits((t or "").encode())[1] for t in texts]
-    if mode == "documents":
-        return batch.filter(pa.array([not len(s) for s in spans]))
-    new = [cut_words(t, _covered(s)) if len(s) else t for t, s in zip(texts, spans)]
-    return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+    return batch.filter(pa.array([not len(windows.hits((t or "").encode())[1]) for t in batch.column(at).to_pylist()]))
+
+
+def _marked(shared, at: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds a set's spans to those in the last column."""
+    windows, last = _opened(shared), batch.num_columns - 1
+    now = [windows.hits((t or "").encode())[1].tobytes() for t in batch.column(at).to_pylist()]
+    return batch.set_column(last, batch.schema.field(last), pa.array([a + b for a, b in zip(batch.column(last).to_pylist(), now)], pa.binary()))
+
+
+def _cut(at: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    spans = [np.frombuffer(s, np.int64).reshape(-1, 2) for s in batch.column(batch.num_columns - 1).to_pylist()]
+    new = [cut_words(t, _covered(np.unique(s, axis=0))) if len(s) else t for t, s in zip(batch.column(at).to_pylist(), spans)]
+    arrays = [pa.array(new, c.type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+    return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(batch.schema)[:-1]))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -183,9 +192,17 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode: str = "documents", text: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
     """docs without the contaminated documents (mode "documents") or without the hit words (mode "spans").
 
-    All columns stay as they are, whatever their names; no row is shuffled.
+    All columns stay as they are, whatever their names; no row is shuffled. Words
+    are cut once, after all sets have looked, so the set size changes nothing.
     """
-    out = docs
+    at = docs.columns.index(text)
+    if mode == "documents":
+        out = docs
+        for shared in window_sets(benchmark, n, "text", set_bytes):
+            out = out.mapInArrow(over_batches(partial(_clean, shared, at)), docs.schema)
+        return out
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("spans", F.lit(bytearray()))
+    kind = out.schema
     for shared in window_sets(benchmark, n, "text", set_bytes):
-        out = out.mapInArrow(over_batches(partial(_clean, shared, docs.columns.index(text), mode)), docs.schema)
-    return out
+        out = out.mapInArrow(over_batches(partial(_marked, shared, at)), kind)
+    return out.mapInArrow(over_batches(partial(_cut, at)), type(kind)(kind.fields[:-1])).toDF(*docs.columns)
