@@ -21,8 +21,8 @@ from voxtable.llm.common import fold_column, over_batches, text_column
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that training takes, at most about, shared among the languages, and windows from each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 4
-#: Languages that the network may tell apart: the most frequent ones.
-MOST_LANGUAGES = 200
+#: Documents of each language that training takes at least, about, if there are as many.
+LEAST_ROWS = 20
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -155,14 +155,14 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", lang: st
     """(languages, tables) from labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     known = docs.select("doc_id", F.col(lang).cast("string").alias("lang"), text_column(text).alias("t")).filter(F.col("lang").isNotNull() & (fold_column(FOLDS) != HELD_OUT))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
+    sizes = known.groupBy("lang").count().collect()
+    if not sizes:
         return [], ()
-    shares = spark.createDataFrame([(r["lang"], min(1.0, rows / len(sizes) / r["count"])) for r in sizes], "lang string, share double")
+    each = max(LEAST_ROWS, rows / len(sizes))
+    shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.join(F.broadcast(shares), "lang").filter(chance < F.col("share")).select("lang", "t")
-    found = sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(over_batches(_sample_windows), "lang string, window binary").limit(2 * rows * SAMPLE_WINDOWS).collect())
+    found = sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(over_batches(_sample_windows), "lang string, window binary").limit(2 * int(each * len(sizes)) * SAMPLE_WINDOWS).collect())
     langs = sorted({g for g, _ in found})
     if not langs:
         return [], ()
