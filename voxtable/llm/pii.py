@@ -91,7 +91,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     """Looser spans that may be personal data too."""
     out = []
     low = text.lower()
-    if "dot" in low or "(at)" in low or "[at]" in low or "{at}" in low:
+    if any(at in low for at in (" at ", "(at)", "[at]", "{at}")):  # one of them is in every match
         out += [("email", *m.span()) for m in SPELLED.finditer(text)]
     if re.search("[0-9]", text):
         if text.count(":") >= 7:
