@@ -15,7 +15,7 @@ from voxtable.session import cut_lineage
 
 VIDEO = ["video_id"]
 HOP_MS = 200
-BUCKET_MS = 2000
+BLOCK_MS = 60_000
 
 
 def loudness_hops(chunks: DataFrame) -> DataFrame:
@@ -48,60 +48,59 @@ def half_up(total: Column, n: Column) -> Column:
 
 
 def span_means(
-    spans: DataFrame, track: DataFrame, span_id: str, values: list[str], *, closed: bool = False, bucket_ms: int = BUCKET_MS
+    spans: DataFrame, track: DataFrame, span_id: str, values: list[str], *, closed: bool = False, block_ms: int = BLOCK_MS
 ) -> DataFrame:
     """Mean of track values over each span, or the value nearest to its start when none lies inside.
 
-    Spans and track rows meet in an equi-join on (video_id, time bucket); the nearest
-    value comes from the bucket itself or from a one-row-per-bucket carry.
+    Track rows and the two edges of every span stand in one order of time, cut into
+    blocks. Running sums within a block and one carried row per block give the total
+    up to each edge; a span's sum is the difference of two totals. The nearest values
+    are the last one in front of and the first one behind the later edge. The track is
+    read once, and no row meets the rows of a span.
     """
     last_ms = F.col("end_ms") if closed else F.greatest(F.col("end_ms"), F.col("start_ms") + 1) - 1
-    s = spans.select("video_id", span_id, "start_ms", last_ms.alias("_last"))
-    tr = track.select("video_id", "t_ms", "ord", *values, F.floor(F.col("t_ms") / bucket_ms).alias("_b"))
-    pairs = s.withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.greatest("_last", "start_ms") / bucket_ms)))
-    ).join(tr, ["video_id", "_b"])
-    inside = (
-        pairs.filter(F.col("t_ms").between(F.col("start_ms"), F.col("_last")))
-        .groupBy("video_id", span_id)
-        .agg(F.count("*").alias("_n"), *[F.sum(v).alias(f"_sum_{v}") for v in values])
-    )
-    matched = s.join(inside, ["video_id", span_id], "left")
-
-    alone = matched.filter(F.col("_n").isNull()).select("video_id", span_id, "start_ms", F.floor(F.col("start_ms") / bucket_ms).alias("_b"))
-    before = F.struct(F.col("t_ms"), (-F.col("ord")).alias("ord"), *values)
-    after = F.struct("t_ms", "ord", *values)
-    per_bucket = tr.groupBy("video_id", "_b").agg(F.max(before).alias("_hi"), F.min(after).alias("_lo"))
-    empty = alone.select("video_id", "_b").distinct().join(per_bucket, ["video_id", "_b"], "left_anti")
-    by_video = Window.partitionBy("video_id").orderBy("_b")
-    backwards = Window.partitionBy("video_id").orderBy(F.desc("_b"))
-    carry = (
-        per_bucket.unionByName(empty, allowMissingColumns=True)
-        .withColumn("_prev", F.last("_hi", ignorenulls=True).over(by_video.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_next", F.last("_lo", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
-        .select("video_id", "_b", "_prev", "_next")
-    )
-    own = (
-        alone.join(tr, ["video_id", "_b"])
-        .groupBy("video_id", span_id)
-        .agg(
-            F.max(F.when(F.col("t_ms") <= F.col("start_ms"), before)).alias("_own_hi"),
-            F.min(F.when(F.col("t_ms") > F.col("start_ms"), after)).alias("_own_lo"),
-        )
-    )
-    near = alone.join(own, ["video_id", span_id], "left").join(carry, ["video_id", "_b"], "left")
-    lo, hi = F.coalesce("_own_hi", "_prev"), F.coalesce("_own_lo", "_next")
-    back = hi.isNull() | (F.col("start_ms") - lo["t_ms"] <= hi["t_ms"] - F.col("start_ms"))
-    nearest = near.select(
-        "video_id", span_id, *[F.when(lo.isNotNull() & back, lo[v]).otherwise(hi[v]).alias(f"_near_{v}") for v in values]
-    )
-    return matched.join(nearest, ["video_id", span_id], "left").select(
+    s = spans.select("video_id", F.col(span_id).alias("_span"), "start_ms", last_ms.alias("_last"))
+    edge = lambda at, phase: s.select("video_id", at.alias("t_ms"), F.lit(phase).alias("_phase"), "_span", "start_ms", "_last")
+    edges = edge(F.col("start_ms"), 0).unionByName(edge(F.greatest("start_ms", "_last"), 2))
+    rows = track.select("video_id", "t_ms", F.lit(1).alias("_phase"), "ord", *values).unionByName(edges, allowMissingColumns=True)
+    rows = rows.withColumns({"_b": F.floor(F.col("t_ms") / block_ms), "_v": F.when(F.col("_phase") == 1, F.struct("t_ms", *values))})
+
+    block = Window.partitionBy("video_id", "_b")
+    onward, back = block.orderBy("t_ms", "_phase", F.desc("ord")), block.orderBy(F.desc("t_ms"), F.desc("_phase"), F.desc("ord"))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        "video_id", "_b", "_phase", "_span", "start_ms", "_last",
+        F.count("_v").over(onward.rowsBetween(*upto)).alias("_n"),
+        *[F.coalesce(F.sum(v).over(onward.rowsBetween(*upto)), F.lit(0)).alias(f"_sum_{v}") for v in values],
+        F.last("_v", ignorenulls=True).over(onward.rowsBetween(*upto)).alias("_lo"),
+        F.last("_v", ignorenulls=True).over(back.rowsBetween(*upto)).alias("_hi"),
+        F.lead(F.lit(1)).over(onward).isNull().alias("_ends"), F.lag(F.lit(1)).over(onward).isNull().alias("_begins"),
+    )
+    kept = cut_lineage(rows.filter("_phase <> 1 OR _ends OR _begins"))  # two rows per span, two per block
+
+    sums = ["_n", *[f"_sum_{v}" for v in values]]
+    of = lambda flag, c: F.max(F.when(F.col(flag), F.col(c)))
+    blocks = kept.groupBy("video_id", "_b").agg(*[of("_ends", c).alias(c) for c in sums], of("_ends", "_lo").alias("_lo"), of("_begins", "_hi").alias("_hi"))
+    forth, later = Window.partitionBy("video_id").orderBy("_b"), Window.partitionBy("video_id").orderBy(F.desc("_b"))
+    before = (Window.unboundedPreceding, -1)
+    carry = blocks.select(
+        "video_id", "_b", *[F.coalesce(F.sum(c).over(forth.rowsBetween(*before)), F.lit(0)).alias(f"_before{c}") for c in sums],
+        F.last("_lo", ignorenulls=True).over(forth.rowsBetween(*before)).alias("_prev"), F.last("_hi", ignorenulls=True).over(later.rowsBetween(*before)).alias("_next"),
+    )
+    at = kept.filter("_phase <> 1").join(carry, ["video_id", "_b"])
+    total = lambda c, phase: F.max(F.when(F.col("_phase") == phase, F.col(c) + F.col(f"_before{c}")))
+    near = lambda own, carried: F.max(F.when(F.col("_phase") == 2, F.coalesce(own, carried)))
+    whole = at.groupBy("video_id", "_span").agg(
+        F.max("start_ms").alias("start_ms"), F.max("_last").alias("_last"), *[(total(c, 2) - total(c, 0)).alias(c) for c in sums],
+        near("_lo", "_prev").alias("_lo"), near("_hi", "_next").alias("_hi"),
+    )
+    inside = (F.col("_n") > 0) & (F.col("_last") >= F.col("start_ms"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    first = lo.isNotNull() & (hi.isNull() | (F.col("start_ms") - lo["t_ms"] <= hi["t_ms"] - F.col("start_ms")))
+    return whole.select(
         "video_id",
-        span_id,
-        *[
-            F.when(F.col("_n").isNotNull(), half_up(F.col(f"_sum_{v}"), F.col("_n"))).otherwise(F.col(f"_near_{v}")).alias(v)
-            for v in values
-        ],
+        F.col("_span").alias(span_id),
+        *[F.when(inside, half_up(F.col(f"_sum_{v}"), F.col("_n"))).when(first, lo[v]).otherwise(hi[v]).alias(v) for v in values],
     )
 
 

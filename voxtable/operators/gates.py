@@ -8,34 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtable.functions import text as X
+from voxtable.operators.hops import hops
 from voxtable.operators.ordered import HotKeys, dense_ids, first_per, ordered_fold, top_per
 
 VIDEO = ["video_id"]
 
 
-def _spaced(gap):
-    """State: the time of the last pick alone, so that blocks of a hot key agree after a few picks."""
-
-    def step(state, row):
-        if state and row["_t"] - state[0] < gap:
-            return state, []
-        return [row["_t"]], [(row["_id"],)]
-
-    return step
-
-
-def _signed(gap):
-    """As above with a budget: the picks are counted too."""
-
-    def step(state, row):
-        last, picked = state
-        if (row["_cap"] is not None and picked >= row["_cap"]) or (last is not None and row["_t"] - last < gap):
-            return state, []
-        return [row["_t"], picked + 1], [(row["_id"],)]
-
-    return step
-
-
 def _all_round(gap):
     def step(state, row):
         times = state
@@ -77,11 +55,12 @@ def select_with_gap(
         (F.col(budget).cast("bigint") if budget else F.lit(None).cast("bigint")).alias("_cap"),
         *[c.alias(n) for n, c in ranks.items()],
     )
-    if mode == "signed":
-        step, init = (_signed(gap_ms), [None, 0]) if budget else (_spaced(gap_ms), [])
+    order = [*ranks, "_t", "_id"]
+    if mode == "signed":  # what may follow a pick depends on that pick alone; a budget keeps the first picks
+        walked = hops(scanned, keys, order, F.col("_t"), F.col("_t") + gap_ms, hot=hot)
+        picked = walked.filter(F.col("picked") & (F.col("_cap").isNull() | (F.col("pick_no") <= F.col("_cap")))).select(*keys, "_id")
     else:
-        step, init = _all_round(gap_ms), []
-    picked = ordered_fold(scanned, keys, [*ranks, "_t", "_id"], init, step, "_id bigint", hot=hot)
+        picked = ordered_fold(scanned, keys, order, [], _all_round(gap_ms), "_id bigint", hot=hot)
     return picked.withColumnRenamed("_id", ident)
 
 

@@ -203,34 +203,25 @@ def union_hits(hits: DataFrame, media: DataFrame) -> DataFrame:
     return first.join(gone, "ordinal", "left_anti").select("ordinal", "part", "url")
 
 
-def relevance(cands: DataFrame, needles: DataFrame, keys: list[str], cand_id: str = "ordinal") -> DataFrame:
+#: Needles that a candidate is held against at one time.
+PIECE_NEEDLES = 256
+
+
+def relevance(cands: DataFrame, needles: DataFrame, keys: list[str], cand_id: str = "ordinal", piece: int = PIECE_NEEDLES) -> DataFrame:
     """Distinct needles of a job found anywhere in each candidate's text: score and keep flag.
 
-    A needle can only occur where its first three letters do, so candidates and
-    needles meet in an equi-join on (job, trigram) instead of all pairs.
+    A job's needles are dealt into sets of about `piece` by their hash, so a set has a
+    bounded size however many needles a job has. A candidate meets the sets of its job
+    and counts the needles of a set in one expression: no part of its text becomes a
+    row, and a needle or beginning that all texts hold costs no more than any other.
     """
     text = F.lower(F.concat_ws(" ", "title", "url", "file_name", "label"))
-    grams = cands.select(*keys, cand_id, text.alias("_blob")).filter(F.length("_blob") >= 3)
-    grams = grams.withColumn(
-        "_gram",
-        F.explode(
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length("_blob") - 2), lambda i: F.substr("_blob", i, F.lit(3)))
-            )
-        ),
-    )
-    wanted = (
-        needles.select(*keys, F.lower("needle").alias("_needle"))
-        .filter(F.length("_needle") > 2)
-        .distinct()
-        .withColumn("_gram", F.left("_needle", F.lit(3)))
-    )
-    found = (
-        grams.join(wanted, [*keys, "_gram"])
-        .filter(F.col("_blob").contains(F.col("_needle")))
-        .groupBy(*keys, cand_id)
-        .agg(F.count("*").alias("_hits"))
-    )
+    wanted = needles.select(*keys, F.lower("needle").alias("_needle")).filter(F.length("_needle") > 2).distinct()
+    parts = wanted.groupBy(*keys).agg(F.ceil(F.count("*") / piece).alias("_parts"))
+    sets = wanted.join(parts, keys).groupBy(*keys, F.pmod(F.xxhash64("_needle"), F.col("_parts")).alias("_part")).agg(F.collect_list("_needle").alias("_needles"))
+    met = cands.select(*keys, cand_id, text.alias("_blob")).join(sets.drop("_part"), keys)
+    inside = F.size(F.filter("_needles", lambda n: F.col("_blob").contains(n)))
+    found = met.select(*keys, cand_id, inside.alias("_in")).groupBy(*keys, cand_id).agg(F.sum("_in").alias("_hits"))
     scored = cands.join(found, [*keys, cand_id], "left").withColumn("hits", F.coalesce("_hits", F.lit(0))).drop("_hits")
     return scored.withColumns(
         {

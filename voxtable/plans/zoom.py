@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.text import one_of
 from voxtable.operators import labels as L
-from voxtable.operators.ordered import HotKeys, ordered_fold
+from voxtable.operators.hops import hops
+from voxtable.operators.ordered import HotKeys
 
-# Fixed values, ms: shortest ease in, ease out and hold, gap, longest move, slack behind the sentence.
-MIN_IN, MIN_OUT, MIN_HOLD, GAP, LONGEST, SLACK = 450, 380, 220, 1600, 4800, 450
+# Fixed values, ms: shortest ease in, ease out and hold, gap, overlap of close moves, longest move, slack behind the sentence.
+MIN_IN, MIN_OUT, MIN_HOLD, GAP, OVERLAP, LONGEST, SLACK = 450, 380, 220, 1600, 20, 4800, 450
 
 
 def fitted(motion: Column, room: Column) -> dict[str, Column]:
@@ -26,16 +27,17 @@ def fitted(motion: Column, room: Column) -> dict[str, Column]:
     return {"ease_in_ms": i2, "hold_ms": h2, "ease_out_ms": o2, "fits": i2 + h2 + o2 <= room + 1}
 
 
-def _step(state, row):
-    """State: where the last applied move ends, and whether there is one."""
-    last, moved = state
-    gap = row["at_ms"] - last
-    distance = max(0, gap)
-    if moved and gap < GAP and not row["close_ok"]:
-        return state, [(distance, "skip", f"too soon after previous zoom ({gap / 1000:.2f}s)")]
-    if moved and gap < -20:
-        return state, [(distance, "skip", "overlaps previous ease-out")]
-    return [row["until_ms"], True], [(distance, "apply", "planned")]
+def shown_seconds(ms: Column) -> Column:
+    """Seconds with two decimals, rounded as the binary number that stands for them (its distance from the tie is exact by splitting it)."""
+    whole = F.abs(ms)
+    binary = whole / F.lit(1000.0)
+    scaled = binary * F.lit(134217729.0)
+    high = scaled - (scaled - binary)
+    off = (high * 1000 - whole) + (binary - high) * 1000
+    cents, rest = F.floor(whole / 10), whole % 10
+    up = F.when(rest != 5, (rest > 5).cast("long")).when(off != 0, (off > 0).cast("long")).otherwise(cents % 2)
+    shown = cents + up
+    return F.concat(F.when(ms < 0, "-").otherwise(""), F.floor(shown / 100).cast("string"), F.lit("."), F.lpad((shown % 100).cast("string"), 2, "0"))
 
 
 def plan_zoom(
@@ -80,9 +82,17 @@ def plan_zoom(
     )
     # Only moves that could be made take part in the scan, with the columns that it looks at.
     open_moves = moves.filter("why IS NULL").select("video_id", "sentence_id", "start_ms", "at_ms", "until_ms", "close_ok")
-    spaced = ordered_fold(
-        open_moves, ["video_id"], ["start_ms", "sentence_id"], [-10_000, False], _step, "distance_ms bigint, action string, reason string", carry=["sentence_id"], hot=hot
+    # A close move counts as that much later, so one comparison with the end of the last applied move decides both kinds.
+    walked = hops(
+        open_moves, ["video_id"], ["start_ms", "sentence_id"], F.col("at_ms") + F.when(F.col("close_ok"), GAP + OVERLAP).otherwise(0), F.col("until_ms") + GAP, hot=hot
     )
+    gap = F.col("at_ms") - F.coalesce(F.col("held") - GAP, F.lit(-10_000))
+    soon = F.concat(F.lit("too soon after previous zoom ("), shown_seconds(gap), F.lit("s)"))
+    skipped = F.when((gap < GAP) & ~F.col("close_ok"), soon).otherwise(F.lit("overlaps previous ease-out"))
+    spaced = walked.select(
+        "video_id", "sentence_id", F.greatest(F.lit(0), gap).alias("distance_ms"), F.when(F.col("picked"), "apply").otherwise("skip").alias("action"),
+        F.when(F.col("picked"), "planned").otherwise(skipped).alias("reason"),
+    )
     decided = moves.join(spaced, ["video_id", "sentence_id"], "left").withColumns(
         {"action": F.coalesce("action", F.lit("skip")), "reason": F.coalesce("reason", "why")}
     )
