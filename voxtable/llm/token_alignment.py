@@ -32,13 +32,15 @@ from voxtable.llm.prefix_counts import ASCII_BLANK, WIDE_BLANK, WIDE_BLANKS, byt
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts aligned together; a longer text is aligned in pieces of so many bytes, cut between units.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 #: Units kept with their ids, and the longest kept.
-KNOWN_UNITS, MOST_IDS = 1_000_000, 64
+KNOWN_UNITS, MOST_IDS = 400_000, 64
 #: Links of ordinary groups that are written out at one time; groups with more than MOST_LINKS are counted by different ids.
-LINKS, MOST_LINKS = 1 << 22, 1 << 12
+LINKS, MOST_LINKS = 1 << 20, 1 << 12
 #: Different pairs that a worker counts before it sends the counts on, and those that are broadcast.
 PAIRS_AT_A_TIME, HEAD_PAIRS = 1 << 21, 1 << 21
+#: Bits that hold a pair's code in front of which a document's place stands.
+CODE_BITS = 40
 #: Marks that no entry of either side has behind a letter (checked on loading).
 MARK = np.isin(np.arange(256), list(b".,;:!?"))
 LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -141,8 +143,8 @@ def overlaps(start: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.nda
     return np.concatenate([one["a"].to_numpy(), two["a"].to_numpy()[later]]), np.concatenate([one["b"].to_numpy(), two["b"].to_numpy()[later]])
 
 
-def linked(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray], n: tuple[np.ndarray, np.ndarray], doc: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, pair code, times) of the links of groups, in parts that fit in memory; codes are a * wide + b."""
+def linked(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray], n: tuple[np.ndarray, np.ndarray], doc: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, times) of the links of groups, sorted, in parts that fit in memory; keys are document << CODE_BITS | a * wide + b."""
     links = n[0] * n[1]
     first_b = np.cumsum(n[1]) - n[1]
     small = links <= MOST_LINKS
@@ -154,8 +156,9 @@ def linked(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray]
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LINKS, side="right")))
         some, each = tokens[a:b], reach[a:b]
         at = np.repeat(first_b[of[0][some]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        code = np.repeat(ids[0][some].astype(np.int64), each) * wide + ids[1][at]
-        yield np.repeat(doc[of[0][some]], each), code, np.ones(len(code), np.int64)
+        key = np.sort(np.repeat((doc[of[0][some]] << CODE_BITS) + ids[0][some].astype(np.int64) * wide, each) + ids[1][at])
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        yield key[head], np.diff(head, append=len(key))
         a = b
     first_a = np.cumsum(n[0]) - n[0]
     for g in np.flatnonzero(~small).tolist():
@@ -163,16 +166,18 @@ def linked(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray]
         rows = max(1, LINKS // len(ub))
         for x in range(0, len(ua), rows):
             code = (ua[x : x + rows].astype(np.int64)[:, None] * wide + ub[None, :]).ravel()
-            yield np.full(len(code), doc[g]), code, (ca[x : x + rows][:, None] * cb[None, :]).ravel()
+            yield (int(doc[g]) << CODE_BITS) + code, (ca[x : x + rows][:, None] * cb[None, :]).ravel()
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of times for each document and code, in their order."""
-    doc, code, times = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((code, doc))
-    doc, code, times = doc[order], code[order], times[order]
-    head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(code) != 0)]))
-    return doc[head], code[head], np.add.reduceat(times, head)
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of times for each key, in their order."""
+    if len(parts) == 1:
+        return parts[0]
+    key, times = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    head = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[head], np.add.reduceat(times, head)
 
 
 class Aligner:
@@ -252,9 +257,10 @@ class Aligner:
         n_groups = np.bincount(group_doc, minlength=len(texts))
         n_links = np.bincount(group_doc, weights=n[0] * n[1], minlength=len(texts)).astype(np.int64)
         n_tokens = [np.bincount(d, minlength=len(texts)) for d in doc]
-        parts = [merged([p]) for p in linked(tuple(ids), tuple(of), tuple(n), group_doc, self.wide)]
-        d, code, times = merged(parts) if parts else (np.zeros(0, np.int64),) * 3
-        at = np.searchsorted(d, np.arange(len(texts) + 1))
+        parts = list(linked(tuple(ids), tuple(of), tuple(n), group_doc, self.wide))
+        key, times = merged(parts) if parts else (np.zeros(0, np.int64),) * 2
+        at = np.searchsorted(key, np.arange(len(texts) + 1) << CODE_BITS)
+        code = key & ((1 << CODE_BITS) - 1)
         shown, stops = self.written(ids, of, n, doc, len(texts))
         for i in range(len(texts)):
             s = slice(at[i], at[i + 1])
@@ -299,7 +305,7 @@ def _row(doc_id, parts: list[tuple]) -> tuple:
     if len(parts) == 1:
         code, times = parts[0][6:]
     else:
-        _, code, times = merged([(np.zeros(len(p[6]), np.int64), p[6], p[7]) for p in parts])
+        code, times = merged([p[6:] for p in parts])
     return doc_id, *(sum(p[k] for p in parts) for k in (1, 2, 3, 4)), digest.hexdigest(), code, times
 
 
