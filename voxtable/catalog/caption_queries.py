@@ -602,65 +602,106 @@ lg AS (SELECT *, CASE WHEN lag(scale) OVER v = scale AND abs(lag(ax) OVER v - ax
 il AS (SELECT *, (sum(fresh) OVER (PARTITION BY video_id ORDER BY ord) - 1)::BIGINT AS piece_no FROM lg)
 SELECT video_id, piece_no, round(min(a), 3) AS start_ms, round(arg_max(b, ord), 3) AS end_ms, arg_max(scale, ord) AS scale, arg_max(ax, ord)::DOUBLE AS anchor_x, arg_max(ay, ord)::DOUBLE AS anchor_y FROM il GROUP BY ALL""",
 )(keyframes)
-_copy = [("compare", "", "Side by side", "TRADEOFF"), ("concept", "RAG", "Look it up first", "CONCEPT"), ("concept", "Documents", "The source", "CONCEPT"), ("adapters", "", "A small part", "PEFT")]
+_copy = [
+    ("compare", "", "Side by side", None, None, None, [("📄", "fresh texts"), ("🧠", "new weights"), ("💡", "it depends"), ("✨", "never shown")]),
+    ("concept", "RAG", "Look it up first", None, "read, then answer", None, None),
+    ("concept", "Documents", "The source", "SOURCE", None, None, None),
+    ("adapters", "", "A small part", None, None, None, [("🧩", "a small layer")]),
+    ("retrieval_steps", "", None, None, None, ["Look up", "Read", "Answer"], None),
+]
 
 
 def copy_table(spark):
-    return spark.createDataFrame(_copy, "rule string, term string, title string, kicker string")
+    return spark.createDataFrame(_copy, "rule string, term string, title string, kicker string, subtitle string, chips array<string>, bullets array<struct<icon:string,text:string>>")
+
+
+def _sql_or_null(value):
+    return "NULL" if value is None else lit(value)
+
+
+def _sql_copy():
+    """The copy table with chips and bullets as text: icon/text, joined."""
+    rows = [(*r[:5], None if r[5] is None else "|".join(r[5]), None if r[6] is None else "|".join(f"{i}/{t}" for i, t in r[6])) for r in _copy]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_sql_or_null, r))})" for r in rows) + ") t(rule, term, ctitle, ckick, csub, cchips, cbullets)"
+
+
+def _sql_rule(field):
+    """A field of the rule table as CASE; texts with facts are written out by the caller."""
+    return "CASE rule " + " ".join(f"WHEN {lit(c.rule)} THEN {lit(getattr(c, field))}" for c in K.CARD_RULES) + " END"
+
+
+def _sql_map(key, values, other):
+    return f"CASE {key} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in values.items()) + f" ELSE {other} END"
 
 
 _fig = "nullif(trim(regexp_extract(t, '(?i)(?:^|[^\\p{L}\\p{N}_])([0-9]+(?:\\.[0-9]+)?(?:\\s*(?:x|k|million)(?:$|[^\\p{L}\\p{N}_])|\\s*%[\\p{L}\\p{N}_]|(?:$|[^\\p{L}\\p{N}_])))', 1)), '')"
 CARDS = f"""{LABELS}, {DUR}, k0 AS (SELECT *, {sql_fix_asr('text')} AS t FROM labelled),
-k1 AS (SELECT *, list_transform({sql_terms('t')}, lambda x: string_split(x, '=')[1]) AS names, {_fig} IS NOT NULL AS fig, CASE WHEN regexp_matches({_fig}, '%.$') THEN regexp_replace({_fig}, '.$', '') ELSE regexp_replace({_fig}, '[^0-9A-Za-z]+$', '') END AS figure, {sql_matches('t', rules.PROCESS)} AS steps, contains(lower(t), 'cost') AS cost,
+k1 AS (SELECT *, {sql_terms('t')} AS hits, list_transform({sql_terms('t')}, lambda x: string_split(x, '=')[1]) AS names, {_fig} IS NOT NULL AS fig, CASE WHEN regexp_matches({_fig}, '%.$') THEN regexp_replace({_fig}, '.$', '') ELSE regexp_replace({_fig}, '[^0-9A-Za-z]+$', '') END AS figure, {sql_matches('t', rules.PROCESS)} AS steps, contains(lower(t), 'cost') AS cost,
   role IN ('contrast', 'contradiction') OR {sql_matches('t', rules.COMPARISON)} AS vs FROM k0),
 k2 AS (SELECT *, list_contains(names, 'RAG') AS rag, list_contains(names, 'Fine-tuning') AS ft, len(names) > 0 AS told FROM k1),
 k3 AS (SELECT *, CASE WHEN role IN ('cta', 'generic') AND NOT told THEN NULL WHEN vs OR (rag AND ft) THEN 'compare' WHEN role = 'important_number' AND fig THEN 'figure' WHEN list_contains(names, 'LoRA') OR list_contains(names, 'PEFT') THEN 'adapters'
   WHEN rag AND steps THEN 'retrieval_steps' WHEN ft AND steps THEN 'tuning_steps' WHEN rag AND cost THEN 'retrieval_cost' WHEN ft AND cost THEN 'tuning_cost' WHEN told THEN 'concept' WHEN role IN ('hook', 'key_insight', 'reveal', 'strong_opinion') THEN 'take' END AS rule FROM k2),
-cards0 AS (SELECT video_id, sentence_id AS beat_id, start_ms, least(greatest(end_ms, start_ms + 4200), start_ms + 7400) AS end_ms, rule,
-  CASE rule WHEN 'compare' THEN 'vs_split' WHEN 'figure' THEN 'stat' WHEN 'retrieval_steps' THEN 'process' WHEN 'tuning_steps' THEN 'process' ELSE 'bullets' END AS kind, CASE rule WHEN 'figure' THEN 'scale_in' ELSE 'slide_up' END AS motion,
+cards0 AS (SELECT video_id, sentence_id AS beat_id, start_ms, least(greatest(end_ms, start_ms + 4200), start_ms + 7400) AS end_ms, rule, {_sql_rule('kind')} AS kind, {_sql_rule('motion')} AS motion,
   CASE rule WHEN 'compare' THEN 0.86 WHEN 'retrieval_steps' THEN 0.82 WHEN 'concept' THEN 0.74 WHEN 'take' THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence,
-  CASE WHEN rule = 'concept' THEN names[1] ELSE '' END AS term, names[1] AS name1, t, figure FROM k3 WHERE rule IS NOT NULL),
-copy AS (SELECT * FROM (VALUES {', '.join(f"({lit(a)}, {lit(b)}, {lit(c)}, {lit(d)})" for a, b, c, d in _copy)}) t(rule, term, ctitle, ckick)),
-cards AS MATERIALIZED (SELECT c.* EXCLUDE (t, name1, figure), COALESCE(ctitle, CASE WHEN rule = 'figure' THEN figure WHEN rule = 'take' THEN CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END WHEN rule = 'concept' THEN name1 ELSE rule END) AS title,
-  COALESCE(ckick, upper(rule)) AS kicker FROM cards0 c LEFT JOIN copy USING (rule, term))"""
-_card_cols = ["video_id", "beat_id", "start_ms", "end_ms", "rule", "kind", "motion", "confidence", "term", "kicker", "title"]
+  CASE WHEN rule = 'concept' THEN names[1] ELSE '' END AS term, names[1] AS name1, string_split(hits[1], '=')[2] AS note, names[2:3] AS others, t, role, figure,
+  CASE WHEN length(trim(t)) > 48 THEN regexp_replace(trim(t)[1:45], ' [^ ]*$', '') || '…' ELSE trim(t) END AS snippet FROM k3 WHERE rule IS NOT NULL),
+cards1 AS (SELECT *, CASE rule WHEN 'figure' THEN figure WHEN 'take' THEN snippet WHEN 'concept' THEN name1 ELSE rule END AS own_title,
+  CASE rule WHEN 'figure' THEN COALESCE(name1, {lit(K.FIGURE_NAME)}) WHEN 'concept' THEN note ELSE '' END AS own_sub,
+  CASE WHEN rule = 'concept' THEN {_sql_map('role', K.CONCEPT_KICKERS, lit('CONCEPT'))} ELSE {_sql_rule('kicker')} END AS own_kick,
+  CASE WHEN rule = 'concept' THEN {_sql_map('name1', K.CONCEPT_ICONS, lit('✨'))} ELSE {_sql_rule('icon')} END AS icon,
+  CASE WHEN rule = 'compare' THEN 'RAG' ELSE '' END AS "left", CASE WHEN rule = 'compare' THEN 'Fine-tuning' ELSE '' END AS "right",
+  CASE WHEN rule = 'concept' THEN array_to_string(others, '|') ELSE '' END AS own_chips FROM cards0),
+cards2 AS (SELECT *, CASE rule WHEN 'concept' THEN list_filter([icon || '/' || note, CASE WHEN len(others) > 0 THEN '✨/with ' || array_to_string(others, ' · ') END, CASE WHEN role = 'question' THEN {lit('🎯/' + K.ASK)} END], lambda x: x IS NOT NULL)
+  WHEN 'take' THEN ['💡/' || snippet] ELSE [] END AS own_bullets FROM cards1),
+copy AS ({_sql_copy()}),
+cards AS MATERIALIZED (SELECT c.video_id, c.beat_id, c.start_ms, c.end_ms, c.rule, c.kind, c.motion, c.confidence, c.term, COALESCE(ctitle, own_title) AS title, COALESCE(csub, own_sub) AS subtitle, COALESCE(ckick, own_kick) AS kicker,
+  c.icon, c."left", c."right", COALESCE(cchips, own_chips) AS chips, COALESCE(string_split(cbullets, '|'), own_bullets)[1:3] AS bl,
+  array_to_string(list_transform(COALESCE(string_split(cbullets, '|'), own_bullets)[1:3], lambda x, i: x || '/' || ((i - 1) * 480)), '|') AS bullets FROM cards2 c LEFT JOIN copy USING (rule, term))"""
+_card_cols = ["video_id", "beat_id", "start_ms", "end_ms", "rule", "kind", "motion", "confidence", "term", "kicker", "title", "subtitle", "icon", "left", "right", "chips", "bullets"]
+
+
+def flat_cards(df):
+    shown = lambda b: F.concat_ws("/", b["icon"], b["text"], b["delay_ms"].cast("string"))
+    return df.withColumns({"chips": F.array_join("chips", "|"), "bullets": F.array_join(F.transform("bullets", shown), "|")})
 
 
 def card_rows(spark, sf):
     return K.card_rows(labelled(spark, sf), copy_table(spark))
 
 
-query("lab_beat_rules", f"WITH RECURSIVE {CARDS} SELECT {', '.join(_card_cols)} FROM cards")(
-    lambda spark, sf: card_rows(spark, sf).select(*_card_cols)
+_sql_card_cols = ", ".join(f'"{c}"' for c in _card_cols)
+query("lab_beat_rules", f"WITH RECURSIVE {CARDS} SELECT {_sql_card_cols} FROM cards")(
+    lambda spark, sf: flat_cards(card_rows(spark, sf)).select(*_card_cols)
 )
 PLANNED = f"""{CARDS}, {s_no_overlap('cards', 'pl', 140, 2604, 7400)},
-pt AS MATERIALIZED (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, c.title AS title, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
+pt AS MATERIALIZED (SELECT p.video_id, p.beat_id, p.start_ms, p.end_ms, c.kind, c.title AS title, c.kicker, c.subtitle, c.icon, row_number() OVER (PARTITION BY p.video_id ORDER BY p.start_ms, p.beat_id) AS k FROM pl p JOIN cards c USING (video_id, beat_id)),
 dw AS (SELECT DISTINCT video_id, 0::BIGINT AS k, '' AS title, -99000::BIGINT AS last, NULL::BIGINT AS beat_id FROM pt
  UNION ALL SELECT b.video_id, b.k, CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.title ELSE b.title END,
   CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN w.last ELSE b.start_ms END,
   CASE WHEN b.kind NOT IN ('vs_split', 'process', 'stat') AND b.title = w.title AND b.start_ms - w.last < 9000 THEN NULL ELSE b.beat_id END FROM dw w JOIN pt b ON b.video_id = w.video_id AND b.k = w.k + 1),
-d1 AS (SELECT p.video_id, p.beat_id, p.start_ms, least(p.end_ms, duration_ms) AS end_ms, kind, duration_ms FROM pt p JOIN dw USING (video_id, beat_id) JOIN durations USING (video_id) WHERE least(p.end_ms, duration_ms) - p.start_ms >= 900),
-c1 AS (SELECT video_id, beat_id, kind, duration_ms, CASE WHEN lag(start_ms) OVER v IS NULL THEN 0 ELSE start_ms END AS start_ms, COALESCE(lead(start_ms) OVER v, duration_ms) AS end_ms FROM d1 WINDOW v AS (PARTITION BY video_id ORDER BY beat_id)),
+d1 AS (SELECT p.video_id, p.beat_id, p.start_ms, least(p.end_ms, duration_ms) AS end_ms, kind, p.title, kicker, subtitle, icon, duration_ms FROM pt p JOIN dw USING (video_id, beat_id) JOIN durations USING (video_id) WHERE least(p.end_ms, duration_ms) - p.start_ms >= 900),
+c1 AS (SELECT video_id, beat_id, kind, title, kicker, subtitle, icon, duration_ms, CASE WHEN lag(start_ms) OVER v IS NULL THEN 0 ELSE start_ms END AS start_ms, COALESCE(lead(start_ms) OVER v, duration_ms) AS end_ms FROM d1 WINDOW v AS (PARTITION BY video_id ORDER BY beat_id)),
 c2 AS (SELECT * FROM c1 WHERE end_ms - start_ms >= 900),
-c3 AS (SELECT video_id, beat_id, kind, CASE WHEN lag(start_ms) OVER v IS NULL THEN 0 ELSE start_ms END AS start_ms, COALESCE(lead(start_ms) OVER v, duration_ms) AS end_ms FROM c2 WINDOW v AS (PARTITION BY video_id ORDER BY beat_id)),
-planned AS (SELECT video_id, beat_id, kind, start_ms, end_ms FROM c3 WHERE end_ms - start_ms >= 500
- UNION ALL SELECT video_id, 0, 'topic', 0, duration_ms FROM durations WHERE video_id NOT IN (SELECT video_id FROM c1 WHERE end_ms - start_ms >= 500))"""
+c3 AS (SELECT video_id, beat_id, kind, title, kicker, subtitle, icon, CASE WHEN lag(start_ms) OVER v IS NULL THEN 0 ELSE start_ms END AS start_ms, COALESCE(lead(start_ms) OVER v, duration_ms) AS end_ms FROM c2 WINDOW v AS (PARTITION BY video_id ORDER BY beat_id)),
+planned AS (SELECT video_id, beat_id, kind, title, kicker, subtitle, icon, start_ms, end_ms FROM c3 WHERE end_ms - start_ms >= 500
+ UNION ALL SELECT video_id, 0, 'topic', 'topic', 'TOPIC', '', '', 0, duration_ms FROM durations WHERE video_id NOT IN (SELECT video_id FROM c1 WHERE end_ms - start_ms >= 500))"""
 
 
 def cards(spark, sf):
     return K.plan_cards(labelled(spark, sf), durations(spark, sf), copy_table(spark), hot=hot_videos(spark, sf))
 
 
-query("plan_cards", f"WITH RECURSIVE {PLANNED} SELECT video_id, beat_id, kind, start_ms, end_ms FROM planned")(
-    lambda spark, sf: cards(spark, sf).select("video_id", "beat_id", "kind", "start_ms", "end_ms")
+_planned_cols = ["video_id", "beat_id", "kind", "title", "kicker", "subtitle", "icon", "start_ms", "end_ms"]
+query("plan_cards", f"WITH RECURSIVE {PLANNED} SELECT {', '.join(_planned_cols)} FROM planned")(
+    lambda spark, sf: cards(spark, sf).select(*_planned_cols)
 )
 query(
     "plan_cues",
     f"""WITH RECURSIVE {CARDS}, hk AS (SELECT video_id, arg_min(start_ms, sentence_id) AS at_ms, 'hook' AS reason FROM labelled WHERE role = 'hook' GROUP BY video_id),
 op AS (SELECT * FROM hk UNION ALL SELECT video_id, arg_min(start_ms, beat_id), 'open' FROM cards ANTI JOIN hk USING (video_id) GROUP BY video_id),
 pr AS (SELECT video_id, 0::BIGINT AS ord, at_ms, 'impact' AS kind, 0.32 AS gain, reason FROM op
- UNION ALL SELECT video_id, beat_id + {C.CARD}, start_ms + CASE kind WHEN 'vs_split' THEN 60 WHEN 'stat' THEN 80 ELSE 50 END, CASE kind WHEN 'vs_split' THEN 'swoosh' WHEN 'stat' THEN 'hit' ELSE 'whoosh' END,
-   CASE kind WHEN 'vs_split' THEN 0.24 WHEN 'stat' THEN 0.26 ELSE 0.22 END, CASE kind WHEN 'vs_split' THEN 'compare' WHEN 'stat' THEN 'number' ELSE 'steps' END FROM cards WHERE kind IN ('vs_split', 'stat', 'process')
+ UNION ALL SELECT video_id, beat_id + {C.CARD}, start_ms + CASE kind WHEN 'vs_split' THEN 60 WHEN 'stat' THEN 80 WHEN 'process' THEN 50 ELSE 0 END, CASE kind WHEN 'vs_split' THEN 'swoosh' WHEN 'stat' THEN 'hit' WHEN 'process' THEN 'whoosh' ELSE 'impact' END,
+   CASE kind WHEN 'vs_split' THEN 0.24 WHEN 'stat' THEN 0.26 WHEN 'process' THEN 0.22 ELSE 0.30 END, CASE kind WHEN 'vs_split' THEN 'compare' WHEN 'stat' THEN 'number' WHEN 'process' THEN 'steps' ELSE lower(kicker) END FROM cards WHERE kind IN ('vs_split', 'stat', 'process') OR upper(kicker) IN ('HOOK', 'REVEAL')
  UNION ALL SELECT video_id, sentence_id + {C.SENTENCE}, start_ms, CASE role WHEN 'contrast' THEN 'swoosh' WHEN 'cta' THEN 'whoosh' ELSE 'hit' END, CASE WHEN role IN ('contrast', 'cta') THEN 0.22 ELSE 0.26 END,
    CASE role WHEN 'important_number' THEN 'number' ELSE role END FROM labelled WHERE role IN ('reveal', 'answer', 'contrast', 'important_number', 'cta')),
 u AS (SELECT pr.*, duration_ms FROM pr JOIN durations USING (video_id)), {s_gate_cues('u', 'cued', 1650, 14)} SELECT video_id, at_ms, kind, gain::DOUBLE AS gain, reason FROM cued""",

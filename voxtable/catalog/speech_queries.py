@@ -150,8 +150,12 @@ w_{src} AS (SELECT {key}, k, {ordinal} AS ord, {since} AS since, 0 AS chunk_id F
 query(
     "seg_chunk_time",
     f"""WITH RECURSIVE {TIMED}, {_sql_walk('timed', 'video_id', 'segment_id', 'n.end_ms - w.since > 25000')},
-{_sql_walk('words', 'video_id', 'word_id', 'n.start_ms - w.since >= 18000')}
-SELECT 'segments' AS unit, video_id, ord, chunk_id FROM w_timed UNION ALL SELECT 'words', video_id, ord, chunk_id FROM w_words""",
+{_sql_walk('words', 'video_id', 'word_id', 'n.start_ms - w.since >= 18000')},
+talks AS (SELECT video_id, arg_max(end_ms, segment_id) - arg_min(start_ms, segment_id) AS span FROM timed GROUP BY ALL),
+long AS (SELECT * FROM timed JOIN talks USING (video_id) WHERE span > 330000),
+{_sql_walk('long', 'video_id', 'segment_id', 'n.end_ms - w.since > 240000').strip()}
+SELECT 'segments' AS unit, video_id, ord, chunk_id FROM w_timed UNION ALL SELECT 'words', video_id, ord, chunk_id FROM w_words
+UNION ALL SELECT 'brief', video_id, ord, chunk_id FROM w_long UNION ALL SELECT 'brief', video_id, segment_id, 0 FROM timed JOIN talks USING (video_id) WHERE span <= 330000""",
 )(
     lambda spark, sf: S.chunk_by_time(timed_segments(spark, sf), "segment_id", 25_000, hot=hot_videos(spark, sf))
     .select(F.lit("segments").alias("unit"), "video_id", "ord", "chunk_id")
@@ -161,6 +165,11 @@ SELECT 'segments' AS unit, video_id, ord, chunk_id FROM w_timed UNION ALL SELECT
             F.lit("words").alias("unit"), "video_id", "ord", "chunk_id"
         )
     )
+    .unionByName(
+        S.brief_windows(timed_segments(spark, sf).withColumn("n_words", F.lit(1)), hot_videos(spark, sf)).select(
+            F.lit("brief").alias("unit"), "video_id", F.col("segment_id").alias("ord"), "chunk_id"
+        )
+    )
 )
 query(
     "seg_chunk_count",

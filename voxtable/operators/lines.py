@@ -6,14 +6,14 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxtable import rules
 from voxtable.functions import text as X
 from voxtable.operators import gates as G
 from voxtable.operators.ordered import HotKeys, dense_ids, neighbours, ordered_fold
-from voxtable.operators.segment import PACK_MS, PACK_WORDS, allocate_counts, caption_groups, time_slices
+from voxtable.operators.segment import PACK_MS, PACK_WORDS, allocate_counts, caption_groups, cover_ranges, time_slices, words_in_ranges
 from voxtable.session import cut_lineage
 
 VIDEO = ["video_id"]
@@ -439,12 +439,28 @@ def clean_drafts(drafts: DataFrame) -> DataFrame:
     return d.withColumn("sub", F.when(F.col("style") == "stack", F.col("sub")).otherwise(F.lit("")))
 
 
-def design_rules(lines: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Split lines that cover their words (see split_long) with rarity rules, lifted runs and no flashes.
+def cover_drafts(lines: DataFrame, words: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Lines whose ranges are repaired to cover each word once, with the times of the words that are theirs now.
 
-    Lines are numbered anew from 0 in each video.
+    Lines are numbered by their first word; ranges that lie behind the last word go.
     """
-    split = split_long(lines)
+    ranges = lines.select("video_id", "line_id", "first", (F.col("first") + F.size("starts") - 1).alias("last"))
+    covered = cover_ranges(ranges, words.groupBy("video_id").agg(F.count("*").alias("n_words")), hot)
+    inside = words_in_ranges(covered.select("video_id", "line_id", F.col("first").alias("lo"), F.col("last").alias("hi")), words.select("video_id", "word_id", "start_ms", "end_ms"))
+    timed = inside.groupBy("video_id", "line_id").agg(F.min("lo").alias("first"), F.array_sort(F.collect_list(F.struct("word_id", "start_ms", "end_ms"))).alias("_w"))
+    timed = cut_lineage(timed.select("video_id", "line_id", "first", F.transform("_w", lambda w: w["start_ms"]).alias("starts"), F.transform("_w", lambda w: w["end_ms"]).alias("ends")))
+    placed = dense_ids(timed.select("video_id", "line_id", "first"), VIDEO, "first", "_at", hot).select("video_id", "line_id", "_at")
+    rest = lines.drop("first", "starts", "ends")
+    return rest.join(timed, ["video_id", "line_id"]).join(placed, ["video_id", "line_id"]).drop("line_id").withColumnRenamed("_at", "line_id").select(*lines.columns)
+
+
+def design_rules(lines: DataFrame, hot: HotKeys | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Lines (see split_long) with repaired ranges, split, under rarity rules, with lifted runs and no flashes.
+
+    With `words`, ranges are repaired first; without, lines must cover their words
+    already. Lines are numbered anew from 0 in each video.
+    """
+    split = split_long(lines if words is None else cover_drafts(lines, words, hot))
     parts = neighbours(split.groupBy("video_id", "line_id").agg(F.count("*").alias("_n")), VIDEO, "line_id", total_before={"_before": "_n"}, hot=hot)
     split = split.join(parts.drop("_n"), ["video_id", "line_id"]).withColumn("line_id", F.col("_before") + F.col("part")).drop("_before", "part")
     hooks = G.hook_line(split)
@@ -471,60 +487,113 @@ def cover_groups(groups: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     return near.withColumn("lo", lo).withColumn("hi", F.greatest("hi", "lo")).drop("_peak", "_no")
 
 
-def pack_texts(packs: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Spread a group's text over its packs by word count; packs use their own words when the text is too short.
+KEYS = ["video_id", "group_no"]
 
-    Needs (video_id, group_no, pack_no, n, spoken, text, treatment); Devanagari packs are left out.
+
+def _spread(packs: DataFrame, facts: DataFrame, tokens: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """Give the tokens (pos, _tok) of each group to its packs by word count; facts are _size, _packs, _whole and treatment of a group.
+
+    A token goes by its place to the pack that its place falls to, so no pack carries
+    its group's text. A single pack shows the group's text as it is.
     """
-    keys = ["video_id", "group_no"]
-    toks = X.tokens(X.stabilize(F.col("text")))
-    total = packs.groupBy(*keys).agg(F.sum("n").alias("_all"), F.count("*").alias("_packs"))
-    p = packs.join(total, keys).withColumn("_toks", toks)
-    covers = (F.col("_all") <= 6) | (F.size("_toks") >= F.greatest(F.lit(2), F.floor(F.col("_all") / 4)))
-    p = p.withColumn("_toks", F.when(covers, F.col("_toks")).otherwise(F.array().cast("array<string>"))).withColumn("_size", F.size("_toks"))
-    shared = allocate_counts(p, keys, "pack_no", "_size", "n")
-    placed = neighbours(shared, keys, "pack_no", total_before={"_from": "share"}, hot=hot)
-    piece = F.array_join(F.slice("_toks", (F.col("_from") + 1).cast("int"), F.col("share").cast("int")), " ")
-    shown = F.when(piece != "", piece).otherwise(X.stabilize(F.col("spoken")))
-    first = F.col("_from") == 0
+    shared = allocate_counts(packs.join(facts, KEYS), KEYS, "pack_no", "_size", "n")
+    placed = neighbours(shared, KEYS, "pack_no", total_before={"_from": "share"}, hot=hot)
+    slots = placed.filter((F.col("share") > 0) & (F.col("_packs") > 1)).select(*KEYS, "pack_no", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("share") - 1)).alias("pos"))
+    own = slots.join(tokens, [*KEYS, "pos"]).groupBy(*KEYS, "pack_no").agg(F.array_sort(F.collect_list(F.struct("pos", "_tok"))).alias("_own"))
+    shown = placed.join(own, [*KEYS, "pack_no"], "left")
+    shown = shown.withColumn("shown", F.when(F.col("_packs") == 1, F.col("_whole")).otherwise(F.coalesce(F.array_join("_own._tok", " "), X.stabilize(F.col("spoken")))))
     return (
-        placed.withColumn("shown", F.when(F.col("_packs") == 1, F.col("text")).otherwise(shown))
-        .filter((F.col("shown") != "") & ((F.col("_packs") == 1) | ~X.has_devanagari(F.col("shown"))))
-        .withColumn("treatment", F.when(first, X.treatment_name(F.col("treatment"))).otherwise(F.lit("plain")))
-        .select(*keys, "pack_no", "n", "shown", "treatment")
+        shown.filter((F.col("shown") != "") & ((F.col("_packs") == 1) | ~X.has_devanagari(F.col("shown"))))
+        .withColumn("treatment", F.when(F.col("_from") == 0, X.treatment_name(F.col("treatment"))).otherwise(F.lit("plain")))
+        .select(*KEYS, "pack_no", "n", "shown", "treatment")
     )
 
 
+def _covering(size: Column) -> Column:
+    """Tokens that count: none if they are too few for the group's words."""
+    return F.when((F.col("_all") <= 6) | (size >= F.greatest(F.lit(2), F.floor(F.col("_all") / 4))), size).otherwise(0).cast("bigint")
+
+
+def _told(packs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts and tokens of groups with a text of their own (KEYS, text, treatment)."""
+    total = packs.groupBy(*KEYS).agg(F.sum("n").alias("_all"), F.count("*").alias("_packs"))
+    told = texts.join(total, KEYS).withColumn("_toks", X.tokens(X.stabilize(F.col("text")))).withColumn("_size", _covering(F.size("_toks")))
+    tokens = told.filter("_packs > 1 AND _size > 0").select(*KEYS, F.posexplode("_toks").alias("pos", "_tok"))
+    return told.select(*KEYS, "_size", "_packs", F.col("text").alias("_whole"), "treatment"), tokens.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def pack_texts(packs: DataFrame, texts: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Spread each group's text over its packs by word count; packs use their own words when the text is too short.
+
+    `packs` (video_id, group_no, pack_no, n, spoken) are the packs of a group, `texts`
+    (video_id, group_no, text, treatment) has one row per group. Devanagari packs are left out.
+    """
+    return _spread(packs, *_told(packs, texts), hot)
+
+
+# Words that a correction may join with the next one; no correction reaches across any other word's end.
+OPEN_WORD = r"(?i)(rag|raka|retrieval|augmented|fine|fune|parameter|competition|vector)-*$"
+PIECE_WORDS = 256
+EDGE = "\u0001"
+
+
+def _spoken_tokens(words: DataFrame, piece: int = PIECE_WORDS) -> DataFrame:
+    """(KEYS, piece_no, toks): the corrected tokens of a group's own words, in pieces of some hundred words.
+
+    A piece ends behind a word that no correction joins with the next one, so pieces give
+    the tokens of the whole. Marks at both ends keep the inner ends of pieces as they are.
+    """
+    block = F.floor(F.col("word_id") / piece)
+    w = words.select(*KEYS, "word_id", "word", block.alias("_b"))
+    cuts = w.groupBy(*KEYS, "_b").agg(F.min(F.when(~F.col("word").rlike(OPEN_WORD), F.col("word_id"))).alias("_cut"))
+    at = Window.partitionBy(*KEYS).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("_last", F.last(F.when(F.col("_cut").isNotNull(), F.col("_b")), ignorenulls=True).over(at))
+    w = w.join(cuts, [*KEYS, "_b"]).withColumn("piece_no", F.coalesce(F.when(F.col("word_id") > F.col("_cut"), F.col("_b")), F.col("_last"), F.lit(-1)))
+    ends = Window.partitionBy(*KEYS).orderBy("piece_no")
+    whole = w.groupBy(*KEYS, "piece_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda s: s["word"]), " ").alias("_t"))
+    whole = whole.withColumns({"_more": F.lead("piece_no").over(ends).isNotNull(), "_less": F.lag("piece_no").over(ends).isNotNull()})
+    text = F.concat(F.when(F.col("_less"), EDGE + " ").otherwise(""), F.col("_t"), F.when(F.col("_more"), " " + EDGE).otherwise(""))
+    return whole.select(*KEYS, "piece_no", F.filter(X.tokens(X.stabilize(text)), lambda t: t != EDGE).alias("toks"))
+
+
 def group_captions(groups: DataFrame, words: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Model groups and the words they leave over to caption rows (video_id, group_no, pack_no, times, text)."""
+    """Model groups and the words they leave over to caption rows (video_id, group_no, pack_no, times, text).
+
+    Leftover words are one more group of their video, without a text; it goes if any of
+    its words is Devanagari. Groups without a text are told by their own words.
+    """
     covered = cover_groups(groups, hot)
     ends = words.groupBy("video_id").agg(F.max("word_id").alias("_last"))
     reach = covered.groupBy("video_id").agg((F.max("hi") + 1).alias("lo"), (F.max("group_no") + 1).alias("group_no"))
     rest = ends.join(reach, "video_id", "left").select(
         "video_id", F.coalesce("group_no", F.lit(0)).alias("group_no"), F.coalesce("lo", F.lit(0)).alias("lo"), F.col("_last").alias("hi"),
-        F.lit(None).cast("string").alias("text"), F.lit("plain").alias("treatment"),
+        F.lit(None).cast("string").alias("text"), F.lit("plain").alias("treatment"), F.lit(True).alias("_left"),
     )
-    ranges = covered.select("video_id", "group_no", "lo", "hi", "text", "treatment").unionByName(rest).join(ends, "video_id")
-    ranges = ranges.withColumn("hi", F.least("hi", "_last")).filter("lo <= hi")
-    ids = ranges.select("video_id", "group_no", F.explode(F.sequence("lo", "hi")).alias("word_id"))
+    ranges = covered.select("video_id", "group_no", "lo", "hi", "text", "treatment", F.lit(False).alias("_left")).unionByName(rest).join(ends, "video_id")
+    ranges = ranges.withColumn("hi", F.least("hi", "_last")).filter("lo <= hi").drop("_last")
     # Packs, spoken text and counts are all cut from these words: store them once.
-    inside = cut_lineage(words.join(ids, ["video_id", "word_id"]))
-    keys = ["video_id", "group_no"]
-    packed = inside.join(packs_for(inside, keys, hot), [*keys, "word_id"])
-    packs = packed.groupBy(*keys, "pack_no").agg(
+    inside = cut_lineage(words_in_ranges(ranges.select("video_id", "group_no", "lo", "hi", "_left"), words).drop("lo", "hi"))
+    foreign = inside.filter(F.col("_left") & X.has_devanagari(F.col("word"))).select(*KEYS).distinct()
+    inside = inside.join(foreign, KEYS, "left_anti")
+    packed = inside.join(packs_for(inside, KEYS, hot), [*KEYS, "word_id"])
+    packs = packed.groupBy(*KEYS, "pack_no").agg(
         F.count("*").alias("n"),
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda s: s["word"]), " ").alias("spoken"),
     )
-    said = inside.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda s: s["word"]), " ").alias("_said")
-    )
-    told = ranges.join(said, keys).withColumn("_t", X.stabilize(F.col("text"))).withColumn(
-        "text", F.when(F.coalesce("_t", F.lit("")) != "", F.col("_t")).otherwise(X.stabilize(F.col("_said")))
-    )
-    full = packs.join(told.select(*keys, "text", "treatment"), keys)
-    texts = pack_texts(full, hot)
-    return full.select(*keys, "pack_no", "start_ms", F.greatest("end_ms", F.col("start_ms") + 250).alias("end_ms")).join(
-        texts, [*keys, "pack_no"]
-    )
+    packs = cut_lineage(packs)
+    texts = ranges.withColumn("text", X.stabilize(F.col("text")))
+    facts, tokens = _told(packs, texts.filter("text <> ''").select(*KEYS, "text", "treatment"))
+    untold = texts.filter("coalesce(text, '') = ''").select(*KEYS, "treatment")
+    pieces = _spoken_tokens(inside.join(untold.select(*KEYS), KEYS, "left_semi"))
+    placed = neighbours(pieces, KEYS, "piece_no", total_before={"_before": F.size("toks").cast("bigint")}, hot=hot)
+    total = packs.groupBy(*KEYS).agg(F.sum("n").alias("_all"), F.count("*").alias("_packs"))
+    few = F.array_sort(F.collect_list(F.when(F.col("_packs") == 1, F.struct("piece_no", "toks"))))  # the pieces of one pack of a few words
+    alone = F.array_join(F.flatten(F.transform(few, lambda p: p["toks"])), " ")
+    own = placed.join(total, KEYS).groupBy(*KEYS).agg(F.sum(F.size("toks")).alias("_n"), F.first("_all").alias("_all"), F.first("_packs").alias("_packs"), alone.alias("_whole"))
+    own = own.withColumn("_size", _covering(F.col("_n"))).join(untold, KEYS)
+    said = placed.join(own.filter("_size > 0 AND _packs > 1").select(*KEYS), KEYS).select(*KEYS, "_before", F.posexplode("toks").alias("pos", "_tok"))
+    tokens = tokens.unionByName(said.select(*KEYS, (F.col("_before") + F.col("pos")).alias("pos"), "_tok"))
+    shown = _spread(packs, facts.unionByName(own.select(*facts.columns)), tokens, hot)
+    return packs.select(*KEYS, "pack_no", "start_ms", F.greatest("end_ms", F.col("start_ms") + 250).alias("end_ms")).join(shown, [*KEYS, "pack_no"])

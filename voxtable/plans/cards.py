@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions import text as X
@@ -23,71 +25,135 @@ def snippet(c: Column) -> Column:
     return F.when(F.length(t) > 48, F.concat(F.regexp_replace(F.substring(t, 1, 45), r" [^ ]*\z", ""), F.lit("…"))).otherwise(t)
 
 
+class Card(NamedTuple):
+    """What a card of one rule shows. Texts may hold {figure}, {snippet}, {name}, {note} and {extra} of the sentence."""
+
+    rule: str
+    kind: str
+    kicker: str
+    icon: str
+    title: str
+    confidence: float
+    motion: str = "slide_up"
+    subtitle: str = ""
+    left: str = ""
+    right: str = ""
+    bullets: tuple[tuple[str, str], ...] = ()
+
+
+# Kinds, kickers, icons and confidences of the rules, in the order in which they are tried.
+CARD_RULES = [
+    Card("compare", "vs_split", "THE TRADEOFF", "⚖️", "{rule}", 0.86, left="RAG", right="Fine-tuning"),
+    Card("figure", "stat", "NUMBER", "📊", "{figure}", 0.8, "scale_in", subtitle="{name}"),
+    Card("adapters", "bullets", "PEFT", "⚙️", "{rule}", 0.8),
+    Card("retrieval_steps", "process", "RAG PATH", "🔍", "{rule}", 0.82),
+    Card("tuning_steps", "process", "FINE-TUNE PATH", "🧠", "{rule}", 0.8),
+    Card("retrieval_cost", "bullets", "COST", "💰", "{rule}", 0.8),
+    Card("tuning_cost", "bullets", "COST", "💰", "{rule}", 0.8),
+    Card("concept", "bullets", "CONCEPT", "✨", "{name}", 0.74, subtitle="{note}", bullets=(("", "{note}"), ("✨", "with {extra}"), ("🎯", "{ask}"))),
+    Card("take", "bullets", "TAKE", "💡", "{snippet}", 0.6, bullets=(("💡", "{snippet}"),)),
+]
+CONCEPT_ICONS = {
+    "RAG": "🔍", "Fine-tuning": "🧠", "LLM": "💡", "Documents": "📄", "Domain data": "📁", "Cost": "💰", "Latest data": "🔁", "Static data": "📂", "LoRA": "🧩", "PEFT": "⚙️",
+}
+CONCEPT_KICKERS = {"hook": "HOOK", "question": "HOOK", "key_insight": "INSIGHT", "reveal": "INSIGHT"}
+BULLETS_MOST, BULLET_DELAY_MS = 3, 480
+BULLET = "array<struct<icon:string,text:string,delay_ms:int>>"
+#: What a card without a term calls its figure, and what it says below a question.
+FIGURE_NAME, ASK = "figure", "an open question"
+#: Columns that a copy table may give beside rule and term; where it has null, or lacks the column, the rule's own stands.
+COPY = ["title", "subtitle", "kicker", "icon", "left", "right", "chips", "bullets"]
+
+
+def _conditions(role: Column, names: Column, text: Column, figure: Column) -> list[Column]:
+    """When each rule of CARD_RULES holds, in their order."""
+    has = lambda n: F.array_contains(names, n)
+    steps, cost, some = X.is_process(text), F.lower(text).contains("cost"), F.size(names) > 0
+    return [
+        one_of(role, ["contrast", "contradiction"]) | X.is_comparison(text) | (has("RAG") & has("Fine-tuning")),
+        (role == "important_number") & figure.isNotNull(),
+        has("LoRA") | has("PEFT"),
+        has("RAG") & steps,
+        has("Fine-tuning") & steps,
+        has("RAG") & cost,
+        has("Fine-tuning") & cost,
+        some,
+        one_of(role, ["hook", "key_insight", "reveal", "strong_opinion"]),
+    ]
+
+
+def _filled(template: Column, facts: dict[str, Column]) -> Column:
+    for name, value in facts.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return template
+
+
+def _rule_table() -> Column:
+    """The rules as a map from their number to a row of their values."""
+    def row(c: Card) -> Column:
+        bullets = F.array(*[F.struct(F.lit(i).alias("icon"), F.lit(t).alias("text")) for i, t in c.bullets]) if c.bullets else F.array().cast("array<struct<icon:string,text:string>>")
+        return F.struct(*[F.lit(v).alias(n) for n, v in c._asdict().items() if n != "bullets"], bullets.alias("bullets"))
+
+    return F.array(*[row(c) for c in CARD_RULES])
+
+
 def card_rows(labelled: DataFrame, copy: DataFrame | None = None) -> DataFrame:
-    """One card row per sentence that meets a rule: rule, kind, motion, confidence, span and title.
+    """One card row per sentence that meets a rule: its span and all that the card shows.
 
-    `copy` (rule, term, title, kicker) carries the wording per rule and first term.
-    Without it a card is titled by its rule, a concept card by its term, so that cards
-    repeat each other exactly if rule and term do.
+    The first rule that holds picks a row of the rule table; its texts are filled with
+    the sentence's facts in one expression. A concept card's kicker goes by the role, its
+    icon by the term. At most three bullets that say something stay, each shown 480 ms
+    after the one before. `copy` (rule, term and any of COPY) puts other wording in
+    their place, by rule and for concepts by term.
     """
-    fixed = X.fix_asr(F.col("text"))
-    base = labelled.withColumns({"_t": fixed}).withColumns(
-        {"_names": F.transform(X.terms(F.col("_t")), lambda s: s["name"]), "_fig": X.first_figure(F.col("_t"))}
-    )
-    role, names = F.col("role"), F.col("_names")
-
-    def has(n):
-        return F.array_contains(names, n)
-
-    steps, cost = X.is_process(F.col("_t")), F.lower("_t").contains("cost")
-    contrast = one_of(role, ["contrast", "contradiction"]) | X.is_comparison(F.col("_t")) | (has("RAG") & has("Fine-tuning"))
-    some = F.size(names) > 0
-    branches = [
-        (one_of(role, ["cta", "generic"]) & ~some, None),
-        (contrast, ("compare", "vs_split", "slide_up", 0.86)),
-        ((role == "important_number") & F.col("_fig").isNotNull(), ("figure", "stat", "scale_in", 0.8)),
-        (has("LoRA") | has("PEFT"), ("adapters", "bullets", "slide_up", 0.8)),
-        (has("RAG") & steps, ("retrieval_steps", "process", "slide_up", 0.82)),
-        (has("Fine-tuning") & steps, ("tuning_steps", "process", "slide_up", 0.8)),
-        (has("RAG") & cost, ("retrieval_cost", "bullets", "slide_up", 0.8)),
-        (has("Fine-tuning") & cost, ("tuning_cost", "bullets", "slide_up", 0.8)),
-        (some, ("concept", "bullets", "slide_up", 0.74)),
-        (one_of(role, ["hook", "key_insight", "reveal", "strong_opinion"]), ("take", "bullets", "slide_up", 0.6)),
-    ]
+    base = labelled.withColumn("_t", X.fix_asr(F.col("text"))).withColumns({"_terms": X.terms(F.col("_t")), "_fig": X.first_figure(F.col("_t"))})
+    role, terms = F.col("role"), F.col("_terms")
+    names = F.transform(terms, lambda s: s["name"])
+    base = base.withColumns({"_names": names, "_others": F.slice(names, 2, 2)})
+    conditions = _conditions(role, F.col("_names"), F.col("_t"), F.col("_fig"))
+    number = F.when(one_of(role, ["cta", "generic"]) & (F.size("_names") == 0), F.lit(None).cast("int"))
+    for i, holds in enumerate(conditions):
+        number = number.when(holds, i)
+    picked = base.withColumn("_no", number).filter("_no IS NOT NULL").withColumn("_r", F.get(_rule_table(), F.col("_no")))
 
-    def out(v):
-        if v is None:
-            return F.lit(None).cast("struct<rule:string,kind:string,motion:string,confidence:double>")
-        return F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("rule", "kind", "motion", "confidence"))])
-
-    chosen = None
-    for cond, value in branches:
-        chosen = F.when(cond, out(value)) if chosen is None else chosen.when(cond, out(value))
-    picked = base.withColumn("_r", chosen).filter("_r IS NOT NULL")
-    first_term = F.get(names, F.lit(0))
-    told = (
-        F.when(F.col("_r.rule") == "figure", F.col("_fig"))
-        .when(F.col("_r.rule") == "take", snippet(F.col("_t")))
-        .when(F.col("_r.rule") == "concept", first_term)
-        .otherwise(F.col("_r.rule"))
+    rule, is_concept = F.col("_r.rule"), F.col("_r.rule") == "concept"
+    first = F.get(terms, F.lit(0))
+    facts = {
+        "rule": rule, "figure": F.col("_fig"), "snippet": snippet(F.col("_t")), "note": first["subtitle"], "extra": F.array_join("_others", " · "),
+        "name": F.coalesce(first["name"], F.lit(FIGURE_NAME)), "ask": F.lit(ASK),
+    }
+    icons, kickers = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (CONCEPT_ICONS, CONCEPT_KICKERS))
+    icon = F.when(is_concept, F.coalesce(F.try_element_at(icons, first["name"]), F.col("_r.icon"))).otherwise(F.col("_r.icon"))
+    says = F.filter(
+        F.col("_r.bullets"),
+        lambda b: ~((b["text"].contains("{extra}") & (F.size("_others") == 0)) | (b["text"].contains("{ask}") & (role != "question"))),
     )
+    own = F.transform(says, lambda b: F.struct(F.when(b["icon"] == "", icon).otherwise(b["icon"]).alias("icon"), _filled(b["text"], facts).alias("text")))
     rows = picked.select(
         "video_id",
         F.col("sentence_id").alias("beat_id"),
         "start_ms",
         _hold(F.col("start_ms"), F.col("end_ms"), CARD_MIN_MS, CARD_MAX_MS).alias("end_ms"),
-        "_r.*",
-        told.alias("title"),
-        F.when(F.col("_r.rule") == "concept", first_term).otherwise(F.lit("")).alias("term"),
-    )
-    if copy is None:
-        return rows.withColumn("kicker", F.upper("rule"))
-    words = copy.select("rule", "term", F.col("title").alias("_title"), F.col("kicker").alias("_kick"))
-    return (
-        rows.join(words, ["rule", "term"], "left")
-        .withColumns({"title": F.coalesce("_title", "title"), "kicker": F.coalesce("_kick", F.upper("rule"))})
-        .drop("_title", "_kick")
+        rule.alias("rule"),
+        F.col("_r.kind").alias("kind"),
+        F.col("_r.motion").alias("motion"),
+        F.col("_r.confidence").alias("confidence"),
+        F.when(is_concept, first["name"]).otherwise(F.lit("")).alias("term"),
+        _filled(F.col("_r.title"), facts).alias("title"),
+        _filled(F.col("_r.subtitle"), facts).alias("subtitle"),
+        F.when(is_concept, F.coalesce(F.try_element_at(kickers, role), F.col("_r.kicker"))).otherwise(F.col("_r.kicker")).alias("kicker"),
+        icon.alias("icon"),
+        F.col("_r.left").alias("left"),
+        F.col("_r.right").alias("right"),
+        F.when(is_concept, F.col("_others")).otherwise(F.array().cast("array<string>")).alias("chips"),
+        own.alias("bullets"),
     )
+    if copy is not None:
+        given = [c for c in COPY if c in copy.columns]
+        told = copy.select("rule", "term", *[F.col(c).alias(f"_{c}") for c in given])
+        rows = rows.join(told, ["rule", "term"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in given}).drop(*[f"_{c}" for c in given])
+    delayed = F.transform(F.slice("bullets", 1, BULLETS_MOST), lambda b, i: F.struct(b["icon"].alias("icon"), b["text"].alias("text"), (i * BULLET_DELAY_MS).alias("delay_ms")))
+    return rows.withColumn("bullets", delayed)
 
 
 def plan_cards(
@@ -108,9 +174,13 @@ def plan_cards(
         F.lit("topic").alias("kind"),
         F.lit("slide_up").alias("motion"),
         F.lit(0.5).alias("confidence"),
-        F.lit(topic).alias("title"),
         F.lit("").alias("term"),
+        F.lit(topic).alias("title"),
+        F.lit("").alias("subtitle"),
         F.lit("TOPIC").alias("kicker"),
+        *[F.lit("").alias(c) for c in ("icon", "left", "right")],
+        F.array().cast("array<string>").alias("chips"),
+        F.array().cast(BULLET).alias("bullets"),
         "duration_ms",
     )
     return final.unionByName(fallback)
