@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 LONG_IP = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 SPACED_CARD = re.compile(r"(?<![\w.])[0-9]{4}(?:[. /_]|  )[0-9]{4}(?:[. /_]|  )[0-9]{4}(?:[. /_]|  )[0-9]{1,7}(?![\w.])")
-LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-]|\.[0-9])")
+#: A spelled address whose mark for @ or for a dot can't be prose.
+MARKED = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
 
 #: Endings of mail domains, first digits of cards, words that go before each kind.
 DOMAIN_ENDS = frozenset("com org net edu gov int mil info io co de fr es it uk us eu ch at nl be pt br mx ca au jp in".split())
@@ -87,12 +91,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def written_out(span: str) -> bool:
+    """Whether a spelled address has a mark that prose has not, or else a plain domain with a known end, in lower case and without blanks."""
+    domain = re.split(" at ", span, flags=re.I)[-1].strip(" ")
+    return bool(MARKED.search(span)) or (" " not in domain and domain.rpartition(".")[2] in DOMAIN_ENDS)
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Looser spans that may be personal data too."""
     out = []
     low = text.lower()
     if any(at in low for at in (" at ", "(at)", "[at]", "{at}")):  # one of them is in every match
-        out += [("email", *m.span()) for m in SPELLED.finditer(text)]
+        out += [("email", *m.span()) for m in SPELLED.finditer(text) if written_out(m[0])]
     if re.search("[0-9]", text):
         if text.count(":") >= 7:
             out += [("ip", *m.span()) for m in LONG_IP.finditer(text)]
@@ -139,13 +149,30 @@ def _features(kind: str, text: str, start: int, end: int) -> str:
     return ":".join([kind, ",".join(map(str, votes(kind, text, start, end))), str(min(digits // 4, 5)), marks.replace(":", ";")])
 
 
+class Cover:
+    """Whether a stretch lies inside one of the spans, or overlaps one; found by their order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def _found(batch: pa.RecordBatch) -> pa.RecordBatch:
     base, more = [], []
     for t in batch.column(1):
         text = t.as_py().decode(errors="replace")
         spans = [(k, a, b) for k, found in base_spans(text).items() for a, b in found]
-        taken = set(spans)
-        loose = dict.fromkeys(s for s in proposals(text) if s not in taken)
+        taken = Cover([(a, b) for _, a, b in spans])  # what lies inside a base span, of whatever kind, is that span
+        loose = dict.fromkeys(s for s in proposals(text) if not taken.holds(*s[1:]))
         base.append([{"kind": k, "first": a, "last": b, "pattern": _features(k, text, a, b)} for k, a, b in spans])
         more.append([{"kind": k, "first": a, "last": b, "pattern": _features(k, text, a, b)} for k, a, b in loose])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("pattern", pa.string())]))
@@ -216,9 +243,10 @@ def _told(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
     for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
         spans = [(s["kind"], s["first"], s["last"]) for s in base]
         added: list[tuple[str, int, int]] = []
+        own = {k: Cover([(a, b) for kind, a, b in spans if kind == k]) for k in {s["kind"] for s in more}}
         for s in sorted(more, key=lambda s: (s["kind"], s["first"], -s["last"])):
             new = (s["kind"], s["first"], s["last"])
-            if s["pattern"] in accepted and not any(k == new[0] and a < new[2] and new[1] < b for k, a, b in [*spans, *added[-1:]]):
+            if s["pattern"] in accepted and not own[new[0]].meets(*new[1:]) and not any(k == new[0] and a < new[2] and new[1] < b for k, a, b in added[-1:]):
                 added.append(new)
         for column, value in zip(columns, [*(sum(k == s[0] for s in spans) for k in KINDS), hashlib.sha256(join(spans).encode()).hexdigest(), join([*spans, *added])]):
             column.append(value)
@@ -230,7 +258,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", accept: float = ACCE
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and digest are of the base spans; spans also has the proposals that the
-    classifier gives at least `accept` and that overlap no span of their kind.
+    classifier gives at least `accept`, that lie in no base span of any kind and
+    overlap no span of their own.
     Positions are code points. Null and empty texts have none. Repeated rows are
     each listed. Other columns are not read. No rows: no rows.
     """
