@@ -14,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtable.llm.common import fold_column, over_batches, text_column
 
@@ -155,14 +155,16 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", lang: st
     """(languages, tables) from labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     known = docs.select("doc_id", F.col(lang).cast("string").alias("lang"), text_column(text).alias("t")).filter(F.col("lang").isNotNull() & (fold_column(FOLDS) != HELD_OUT))
-    sizes = known.groupBy("lang").count().collect()
+    sizes = known.groupBy("lang").agg(F.count_distinct("doc_id").alias("count")).collect()
     if not sizes:
         return [], ()
     each = max(LEAST_ROWS, rows / len(sizes))
-    shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
+    shares = spark.createDataFrame([(r["lang"], min(1.0, each / max(1, r["count"]))) for r in sizes], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.join(F.broadcast(shares), "lang").filter(chance < F.col("share")).select("lang", "t")
-    found = sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(over_batches(_sample_windows), "lang string, window binary").limit(2 * int(each * len(sizes)) * SAMPLE_WINDOWS).collect())
+    drawn = known.join(F.broadcast(shares), "lang").withColumn("chance", chance).filter(F.col("chance") < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", F.xxhash64("t"), F.sha2("t", 256)))  # however many rows an id has, each language keeps its share
+    chosen = drawn.withColumn("nth", nth).filter(F.col("nth") <= 2 * int(each)).select("lang", "t")
+    found = sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(over_batches(_sample_windows), "lang string, window binary").collect())
     langs = sorted({g for g, _ in found})
     if not langs:
         return [], ()

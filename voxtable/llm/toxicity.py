@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -110,16 +111,23 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, text: str) -> tuple[D
     sizes = {int(r["toxic"] > 0): r["count"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     share = F.when(F.col("toxic") > 0, F.lit(rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(rows / max(1, sizes.get(0, 0))))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.filter(chance < share).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic")).limit(3 * rows)
+    chosen = known.filter(chance < share).orderBy(chance, "doc_id").limit(3 * rows).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("id"), text_column(text).alias("t")).join(F.broadcast(chosen), "id")
+    # one row per id, so the sample is bounded in rows too
+    texts = texts.groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("toxic").alias("toxic"))
     sketched = texts.select("id", "t", "toxic").mapInArrow(over_batches(_sketched), "id long, t binary, toxic int, sketch long")
     return stored(sketched, "toxic-sample"), sizes
 
 
+#: Least hashes that texts must share to count once: those of a passage that is half of both do so once in hundreds of pairs.
+SKETCH_HASHES = 8
+
+
 def sketch(text: str) -> int:
-    """The least hash of the text's runs of three words: near copies mostly share it, other texts don't."""
+    """A hash of the least hashes of the text's runs of three words: near copies mostly share all of them, texts with a common passage don't."""
     words = WORD.findall(folded(text))
-    return min((xxhash.xxh32_intdigest(" ".join(x)) for x in zip(words, words[1:], words[2:])), default=xxhash.xxh32_intdigest(" ".join(words)))
+    hashes = {xxhash.xxh64_intdigest(" ".join(x)) for x in zip(words, words[1:], words[2:])} or {xxhash.xxh64_intdigest(" ".join(words))}
+    return xxhash.xxh64_intdigest(",".join(map(str, nsmallest(SKETCH_HASHES, hashes)))) >> 1
 
 
 def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,11 +195,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
 
     A term is a word or beginning of at least MIN_TEXTS different toxic texts that occurs there
     far beyond chance; its weight is the logarithm of how much more often. A phrase of a term and one neighbour that clean texts have and toxic
-    ones don't is an exception. Without labels nothing is a term.
+    ones don't is an exception. Without labels nothing is a term. Null texts are
+    empty, labels without an id are left out, of repeated rows of an id one text is
+    taken (the least by hash), near copies of one label count once.
     """
     spark = docs.sparkSession
     sample, sizes = _sample(docs, labels, rows, text)
-    different = sample.groupBy("sketch").agg(F.min_by("t", "id").alias("t"), F.max("toxic").alias("toxic")).select("t", "toxic")
+    different = sample.groupBy("sketch", "toxic").agg(F.min_by("t", "id").alias("t")).select("t", "toxic")  # copies of unlike labels stay apart
     found = different.mapInArrow(_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = stored(found, "toxic-terms")
     total = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") >= MIN_TEXTS).cast("int")).alias("n")).first()
@@ -240,6 +250,9 @@ def _kept(shared, at: int, reject: float, batch: pa.RecordBatch) -> pa.RecordBat
 
 
 def drop_toxic(docs: DataFrame, model: tuple[tuple, tuple, tuple], reject: float = REJECT, text: str = "text") -> DataFrame:
-    """docs without those that score reject or more; all columns stay as they are, whatever their names."""
+    """docs without those that score reject or more; all columns stay as they are, whatever their names.
+
+    Each row goes by its own text, null being empty; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(over_batches(partial(_kept, shared, docs.columns.index(text), reject)), docs.schema)
