@@ -210,7 +210,7 @@ UNION ALL SELECT 'topic', video_id, segment_id, unnest(['q1/q1,q2/', 'ev//logo']
 
 def small_payloads(spark, sf):
     a = answers(spark, sf)
-    cues = MJ.cue_rows(a).select(F.lit("cue").alias("what"), "video_id", F.floor(F.col("ord") / 10_000).alias("answer_no"), F.concat_ws(" ", "kind", F.col("at_ms").cast("string"), "reason").alias("got"))
+    cues = MJ.cue_rows(a).select(F.lit("cue").alias("what"), "video_id", F.shiftright("ord", 32).alias("answer_no"), F.concat_ws(" ", "kind", F.col("at_ms").cast("string"), "reason").alias("got"))
     reps = MJ.repair_rows(a).select(F.lit("repair").alias("what"), "video_id", F.col("segment_id").alias("answer_no"), F.col("text").alias("got"))
     rows = MJ.script_line_rows(a).select(F.lit("line").alias("what"), "video_id", "answer_no", F.col("text").alias("got"))
     tops = MJ.topic_rows(a, 4).select(F.lit("topic").alias("what"), "video_id", "answer_no", F.concat_ws("/", "event", F.array_join("queries", ","), "media_need").alias("got"))

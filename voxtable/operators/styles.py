@@ -70,15 +70,14 @@ def claims(lines: DataFrame, look: str) -> DataFrame:
     """
     decorative = F.lit(look != "editorial")
     n, w, kind, key = F.col("n"), F.col("weight"), F.col("kind"), F.col("key") != ""
-    index, weight_first = F.lit(0), -w
-    by_rank = -(w * 1000 + F.least("n_content", F.lit(999)))
+    index, weight_first, longest = F.lit(0), -w, -F.col("n_content")
     none = F.lit(None).cast("bigint")
 
-    def claim(number, cond, style, o1, target=none, sub=0):
+    def claim(number, cond, style, o1, target=none, sub=0, o2=index):
         return F.when(
             cond,
             F.struct(
-                F.lit(number).alias("number"), o1.cast("bigint").alias("o1"), F.lit(sub).alias("sub"),
+                F.lit(number).alias("number"), o1.cast("bigint").alias("o1"), o2.cast("bigint").alias("o2"), F.lit(sub).alias("sub"),
                 (F.lit(style) if isinstance(style, str) else style).alias("style"), target.cast("bigint").alias("target"),
             ),
         )
@@ -99,13 +98,13 @@ def claims(lines: DataFrame, look: str) -> DataFrame:
         claim(ACCENT, accent & (kind == "drama") & fits["tape"] & key, "tape", weight_first),
         claim(ACCENT, accent & (kind == "quote") & n.between(2, STYLE_WORDS["quote"]), "quote", weight_first),
         claim(PAYOFF, (w >= 2) & ~((kind == "normal") & (w < 3)) & fits["serif"], "serif", weight_first),
-        claim(OPEN_OVAL, opening & fits["oval"], "oval", by_rank),
-        claim(OPEN_UNDERLINE, opening & fits["underline"], "underline", by_rank),
+        claim(OPEN_OVAL, opening & fits["oval"], "oval", weight_first, o2=longest),
+        claim(OPEN_UNDERLINE, opening & fits["underline"], "underline", weight_first, o2=longest),
     ]
     for k, (style, per, size) in enumerate(FILL):
         wanted = F.bround(F.col("talk_ms") / per)
         allowed = F.lit(True) if style == "serif" else decorative
-        options.append(claim(FILL_FIRST + k, allowed & (w >= 1) & fits[style] & (F.col("strong_size") >= size), style, by_rank, wanted))
+        options.append(claim(FILL_FIRST + k, allowed & (w >= 1) & fits[style] & (F.col("strong_size") >= size), style, weight_first, wanted, o2=longest))
     found = lines.withColumn("c", F.explode(F.array_compact(F.array(*options))))
     return found.select("video_id", "line_id", "start_ms", "t0", "next_id", F.col("absorbs"), "c.*")
 
@@ -152,7 +151,7 @@ def allocate_styles(lines: DataFrame, look: str = "classic", hot: HotKeys | None
     # Read by the scan and by the join behind it, and the rest builds on the result several times: store both.
     base = cut_lineage(base)
     placed = ordered_fold(
-        claims(base, look), VIDEO, ["number", "o1", "start_ms", "line_id", "sub"], [{}, {}], _place_step, "style string", carry=["line_id"], hot=hot
+        claims(base, look), VIDEO, ["number", "o1", "o2", "start_ms", "line_id", "sub"], [{}, {}], _place_step, "style string", carry=["line_id"], hot=hot
     )
     styled = base.join(placed, ["video_id", "line_id"], "left").withColumn("style", F.coalesce("style", F.lit("plain")))
     styled = neighbours(styled, VIDEO, "line_id", lag={"absorbed": "absorbs"}, hot=hot).withColumn("absorbed", F.coalesce("absorbed", F.lit(False)))

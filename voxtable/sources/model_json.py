@@ -79,7 +79,7 @@ def cue_rows(answers: DataFrame) -> DataFrame:
     items = answers.select("*", F.posexplode(parse(F.col("raw"), "sfx array<struct<at:double,kind:string,reason:string>>")["sfx"]).alias("item_no", "i"))
     return items.filter(one_of(F.col("i.kind"), ["whoosh", "swoosh", "impact", "hit"])).select(
         "video_id",
-        (F.col("answer_no") * 10_000 + F.col("item_no")).alias("ord"),
+        (F.shiftleft(F.col("answer_no").cast("bigint"), 32) + F.col("item_no")).alias("ord"),
         F.bround(F.coalesce("i.at", F.lit(0.0)) * 1000).cast("bigint").alias("at_ms"),
         "i.kind",
         F.substring(F.coalesce("i.reason", F.lit("")), 1, 40).alias("reason"),
