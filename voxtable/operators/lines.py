@@ -460,13 +460,14 @@ def design_rules(lines: DataFrame, hot: HotKeys | None = None, words: DataFrame
     With `words`, ranges are repaired first; without, lines must cover their words
     already. Lines are numbered anew from 0 in each video.
     """
-    split = split_long(lines if words is None else cover_drafts(lines, words, hot))
+    # Read by the numbering, the hook and the forms of every line: stored once, as are the forms.
+    split = cut_lineage(split_long(lines if words is None else cover_drafts(lines, words, hot)))
     parts = neighbours(split.groupBy("video_id", "line_id").agg(F.count("*").alias("_n")), VIDEO, "line_id", total_before={"_before": "_n"}, hot=hot)
     split = split.join(parts.drop("_n"), ["video_id", "line_id"]).withColumn("line_id", F.col("_before") + F.col("part")).drop("_before", "part")
     hooks = G.hook_line(split)
     ready = entry_rungs(split.join(hooks, "video_id").withColumn("hook", F.col("line_id") == F.col("hook_line")))
     term = lambda r: F.when(r["style"].isin(DECORATED), X.norm(F.when(r["emphasis"] != "", r["emphasis"]).otherwise(r["text"])))
-    ready = ready.withColumn("styles", F.transform("rungs", lambda r: r["style"])).withColumn("terms", F.transform("rungs", term))
+    ready = cut_lineage(ready.withColumn("styles", F.transform("rungs", lambda r: r["style"])).withColumn("terms", F.transform("rungs", term)))
     keep = ["line_id", "first", "last", "start_ms", "end_ms", "mood", "icon", "cta"]
     chosen = ordered_fold(ready.select("video_id", "line_id", "start_ms", "styles", "terms"), VIDEO, ["line_id"], [{}, {}], _rung_step, "rung int", carry=["line_id"], hot=hot)
     ruled = ready.join(chosen, ["video_id", "line_id"]).select("video_id", *keep, F.get("rungs", F.col("rung")).alias("_r")).select("video_id", *keep, "_r.text", "_r.sub", "_r.style", "_r.emphasis")
